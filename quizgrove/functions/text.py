@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Entities decoded without Python; the ampersand comes last.
 ENTITIES = (
@@ -28,7 +29,9 @@ HIDDEN_BLOCKS = (
 COMMENT = r"(?s)<!--.*?-->"
 TAG = r"(?s)</?[A-Za-z!][^>]*>"
 ANY_ANGLE = r"(?s)<[^>]+>"
-SPACE = r"[\s\x{00A0}\x{3000}]+"
+SPACE = (
+    r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
 # Fixed values of the text rules.
 OPTION_PATTERN = r"[A-D][\.、]"
 CIRCLED_ONE = "①"
@@ -39,7 +42,7 @@ TOKENS_KEPT = 7500
 TRUNCATED = " [TRUNCATED]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

@@ -30,7 +30,7 @@ def json_field(text: Column, name: str) -> Column:
 
 def repeatable_id(prefix: str, *parts: Column) -> Column:
     """An id that a retried task produces again."""
-    return F.concat(F.lit(prefix), F.hex(F.xxhash64(*parts)))
+    return F.concat(F.lit(prefix), F.substring(F.md5(F.concat_ws("|", *parts)), 1, 16))
 
 
 def label(code: Column, names: Mapping[int, str], default: str) -> Column:

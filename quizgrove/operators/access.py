@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizgrove.functions import paths
+from quizgrove.session import saved
 
 
 @dataclass(frozen=True)
@@ -130,7 +131,10 @@ class Classes:
 def membership_classes(live: DataFrame) -> Classes:
     # The set per user is bounded by the number of organisations, not by the rows of the table.
     members = F.sort_array(F.collect_set(F.struct("org_id", "org_key")))
-    per_user = live.groupBy("user_id").agg(F.sha2(F.to_json(members), 256).alias("class_id"), members.alias("members"))
+    per_user = saved(
+        live.groupBy("user_id").agg(F.sha2(F.to_json(members), 256).alias("class_id"), members.alias("members")),
+        "membership-classes",
+    )
     classes = per_user.groupBy("class_id").agg(F.any_value("members").alias("members"))
     return Classes(
         users=per_user.select("user_id", "class_id"),
@@ -224,21 +228,41 @@ def overview_stats(
     )
 
     grants = approved_grants(acl, rules.words)
-    to_org = (
-        _org_grants(grants).join(q, "question_id").join(classes.members.select("class_id", "org_id"), "org_id")
-        .select("class_id", "question_id", "q_key", "subject")
-        .distinct()
+    # Questions granted to the same organisations on the same path count together.
+    org_sets = (
+        _org_grants(grants).groupBy("question_id").agg(F.sort_array(F.collect_set("org_id")).alias("orgs"))
+        .join(q, "question_id")
+        .groupBy("q_key", "orgs").agg(*measures)
+        .withColumn("pattern_id", F.sha2(F.to_json(F.struct("q_key", "orgs")), 256))
     )
-    to_user = _user_grants(grants).join(q, "question_id").join(classes.users, "user_id")
-    reached = path_visible(
-        to_org.select("class_id", "q_key").union(to_user.select("class_id", "q_key")), classes, mode
+    patterns = saved(org_sets, "grant-patterns")
+    members = classes.members.select("class_id", "org_id")
+    by_org = saved(
+        patterns.select("pattern_id", "q_key", F.explode("orgs").alias("org_id"))
+        .join(members, "org_id")
+        .select("class_id", "pattern_id", "q_key")
+        .distinct(),
+        "class-patterns",
     )
-    extra_org = to_org.join(reached, ["class_id", "q_key"], "left_anti")
+    to_user = saved(_user_grants(grants).join(q, "question_id").join(classes.users, "user_id"), "user-granted")
+    candidates = by_org.select("class_id", "q_key").union(to_user.select("class_id", "q_key"))
+    reached = saved(path_visible(candidates, classes, mode), "path-visible")
+    extra_org = (
+        by_org.join(reached, ["class_id", "q_key"], "left_anti")
+        .join(patterns.select("pattern_id", *counts), "pattern_id")
+        .groupBy("class_id")
+        .agg(*_sums(counts))
+    )
+    also_by_org = (
+        to_user.select("user_id", "class_id", "question_id").join(members, "class_id")
+        .join(_org_grants(grants), ["question_id", "org_id"], "left_semi")
+        .select("user_id", "question_id")
+    )
     extra_user = to_user.join(reached, ["class_id", "q_key"], "left_anti").join(
-        to_org.select("class_id", "question_id"), ["class_id", "question_id"], "left_anti"
+        also_by_org, ["user_id", "question_id"], "left_anti"
     )
 
-    per_class = by_path.unionByName(extra_org.groupBy("class_id").agg(*measures)).groupBy("class_id").agg(*_sums(counts))
+    per_class = by_path.unionByName(extra_org).groupBy("class_id").agg(*_sums(counts))
     per_user = (
         classes.users.join(per_class, "class_id")
         .select("user_id", *counts)

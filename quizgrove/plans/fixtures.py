@@ -6,6 +6,7 @@ Each view is one SQL text for both engines. ``{table}`` marks a base table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -134,10 +135,21 @@ JOIN {embeddings} b ON b.vec_id=a.vec_id+a.step AND b.label=a.label"""
 _NUMBERS = {"spark": "explode(sequence(1,20))", "duckdb": "unnest(range(1,21))"}
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def _base(spark: SparkSession, path: str) -> DataFrame:
+    if path in _schemas:
+        return spark.read.schema(_schemas[path]).parquet(path)
+    df = spark.read.parquet(path)
+    _schemas[path] = df.schema
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derived view as a DataFrame."""
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _base(spark, f"{sf_dir}/{name}.parquet")
     if name == "f_external":
         embeddings = table(spark, sf_dir, "embeddings")
         text = _EXTERNAL.replace("{numbers}", _NUMBERS["spark"])
