@@ -133,8 +133,8 @@ def risk_groups(warnings: DataFrame) -> DataFrame:
     """Count and mean rates per risk level (A5)."""
     return warnings.groupBy("risk_level").agg(
         F.count("*").alias("n_rows"),
-        F.round(F.avg("attendance_rate"), 6).alias("mean_attendance"),
-        F.round(F.avg("submit_rate"), 6).alias("mean_submit"),
+        F.round(F.avg("attendance_rate"), 9).alias("mean_attendance"),
+        F.round(F.avg("submit_rate"), 9).alias("mean_submit"),
     )
 
 

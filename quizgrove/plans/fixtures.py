@@ -113,6 +113,13 @@ FROM {events}""",
  cast(1+vec_id%3 AS int) grade_id, cast(1+vec_id%5 AS int) difficulty_id, text content,
  CASE WHEN label%4<2 THEN concat('A. ', label, ' B. ', label+1) ELSE '' END options
 FROM {embeddings} LEFT JOIN {documents} ON doc_id=vec_id""",
+    ),
+    "f_attempt": (
+        ("lineitem", "orders", "part"),
+        """SELECT o_custkey learner_id, l_suppkey teacher_id, l_partkey question_id, p_brand topic, p_type question_type,
+ p_size difficulty, cast(l_shipdate AS date) AS day, CASE WHEN l_returnflag='R' THEN 0 ELSE 1 END correct,
+ CASE WHEN l_linestatus='F' THEN 1 ELSE 0 END self_rating, l_extendedprice score, l_discount gain
+FROM {lineitem} JOIN {orders} ON l_orderkey=o_orderkey JOIN {part} ON l_partkey=p_partkey""",
     ),
     "f_source": (
         ("orders",),

@@ -145,8 +145,8 @@ _WARNING = with_views("f_warning")
 
 @query(
     "a5_risk_group",
-    f"""{_WARNING} SELECT risk_level, count(*) n_rows, round(avg(attendance_rate),6) mean_attendance,
- round(avg(submit_rate),6) mean_submit FROM f_warning GROUP BY risk_level""",
+    f"""{_WARNING} SELECT risk_level, count(*) n_rows, round(avg(attendance_rate),9) mean_attendance,
+ round(avg(submit_rate),9) mean_submit FROM f_warning GROUP BY risk_level""",
 )
 def risk_group(spark, sf_dir):
     return replicate.risk_groups(_warnings(spark, sf_dir))
