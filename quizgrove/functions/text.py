@@ -104,8 +104,7 @@ def build_stem_with_options(content: Column, options: Column, type_id: Column) -
 
 
 def tokens(text: Column) -> Column:
-    words = F.split(squeeze(text), " ")
-    return F.filter(words, lambda word: word != "")
+    return F.array_remove(F.split(squeeze(text), " "), "")
 
 
 def token_count(text: Column) -> Column:

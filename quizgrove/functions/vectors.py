@@ -47,7 +47,7 @@ def hashed_embedding(text: Column, dimension: int = HASH_DIMENSION) -> Column:
     counts = _once(
         places,
         lambda found: F.transform(
-            every_place, lambda place: F.size(F.filter(found, lambda other: other == place)).cast("double")
+            every_place, lambda place: (F.size(found) - F.size(F.array_remove(found, place))).cast("double")
         ),
     )
     return l2_normalize(counts)

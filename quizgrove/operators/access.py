@@ -128,17 +128,21 @@ class Classes:
     members: DataFrame  # class_id, org_id, org_key
 
 
+def _digest(*columns: str) -> Column:
+    """A short key that stands for the exact values of the columns."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns))))
+
+
 def membership_classes(live: DataFrame) -> Classes:
     # The set per user is bounded by the number of organisations, not by the rows of the table.
     members = F.sort_array(F.collect_set(F.struct("org_id", "org_key")))
     per_user = saved(
-        live.groupBy("user_id").agg(F.sha2(F.to_json(members), 256).alias("class_id"), members.alias("members")),
-        "membership-classes",
+        live.groupBy("user_id").agg(members.alias("members")).withColumn("class_id", _digest("members")), "user-classes"
     )
     classes = per_user.groupBy("class_id").agg(F.any_value("members").alias("members"))
     return Classes(
         users=per_user.select("user_id", "class_id"),
-        members=classes.select("class_id", F.inline("members")),
+        members=saved(classes.select("class_id", F.inline("members")), "class-members"),
     )
 
 
@@ -233,12 +237,15 @@ def overview_stats(
         _org_grants(grants).groupBy("question_id").agg(F.sort_array(F.collect_set("org_id")).alias("orgs"))
         .join(q, "question_id")
         .groupBy("q_key", "orgs").agg(*measures)
-        .withColumn("pattern_id", F.sha2(F.to_json(F.struct("q_key", "orgs")), 256))
+        .withColumn("pattern_id", _digest("q_key", "orgs"))
     )
     patterns = saved(org_sets, "grant-patterns")
     members = classes.members.select("class_id", "org_id")
+    tasks = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_org = saved(
+        # Few rows go in and many come out: a fixed number of tasks shares the work.
         patterns.select("pattern_id", "q_key", F.explode("orgs").alias("org_id"))
+        .repartition(tasks, "pattern_id", "org_id")
         .join(members, "org_id")
         .select("class_id", "pattern_id", "q_key")
         .distinct(),
