@@ -433,7 +433,9 @@ def visibility_check(
     live = memberships(user_org, rules)
     classes = membership_classes(live)
     grants = approved_grants(acl, rules.words)
-    asked = pairs.join(questions_in_scope(question, rules), "question_id").join(classes.users, "user_id")
+    asked = saved(
+        pairs.join(questions_in_scope(question, rules), "question_id").join(classes.users, "user_id"), "asked-pairs"
+    )
     reached = path_visible(asked, classes, rules.path_mode)
     by_path = asked.join(reached, ["class_id", "q_key"], "left_semi").select("user_id", "question_id")
     by_user = asked.join(_user_grants(grants), ["user_id", "question_id"], "left_semi").select("user_id", "question_id")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizgrove.operators.ranking import percentiles, value_positions
+from quizgrove.session import saved
 
 # Fixed values of the metrics.
 SPACING_DAYS = (2, 14)
@@ -195,7 +196,7 @@ def histogram(rows: DataFrame, value: str, width: float) -> DataFrame:
 
 def standard_scores(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Per group and distinct score: z-score, percent rank and how many rows have it."""
-    positions = value_positions(rows, [group], value)
+    positions = saved(value_positions(rows, [group], value), "positions")
     # Mean and deviation from the counted values: the rows are not read again.
     weight, x = F.col("n"), F.col(value)
     stats = positions.groupBy(group).agg(
@@ -390,9 +391,10 @@ def list_quality(found: DataFrame, external: DataFrame, items: DataFrame) -> Dat
     rates = hits.agg(
         F.round(F.count("hit") / F.count("*"), 6).alias("hit_rate"), F.count_distinct("item_id").alias("recommended")
     )
-    cells = found.select("query_id", "item_id").join(
-        items.select(F.col("question_id").alias("item_id"), F.posexplode("embedding").alias("at", "x")), "item_id"
+    listed = found.select("query_id", "item_id").join(
+        items.select(F.col("question_id").alias("item_id"), "embedding"), "item_id"
     )
+    cells = listed.select("query_id", F.posexplode("embedding").alias("at", "x"))
     x = F.col("x").cast("double")
     sums = cells.groupBy("query_id", "at").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count("*").alias("n"))
     lists = sums.groupBy("query_id").agg(F.sum(F.col("s") * F.col("s") - F.col("q")).alias("cross"), F.max("n").alias("n"))

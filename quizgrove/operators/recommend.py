@@ -311,6 +311,13 @@ def consistency(items: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
+def candidates(items: DataFrame, minimum: int = 5) -> DataFrame:
+    """Rows with a content longer than ``minimum``, or all rows when there is none (P10)."""
+    long_enough = F.coalesce(F.length(F.trim("content")) > minimum, F.lit(False))
+    some = items.agg(F.max(long_enough).alias("some")).select("some").scalar()
+    return items.filter(long_enough | ~F.coalesce(some, F.lit(False)))
+
+
 def sample_row(items: DataFrame, text: Column, seed: int, minimum: int = 5) -> DataFrame:
     """One repeatable pick: longer contents first, then any row with a text, then any row."""
     long_enough = F.coalesce(F.length(F.trim("content")) > minimum, F.lit(False))

@@ -1,8 +1,9 @@
 """Exact nearest neighbours by inner product.
 
-The query side is counted first. Up to ``broadcast_queries`` rows it is sent to every task and the
-corpus is scanned once, without a shuffle; each task keeps only the best ``k`` of each query. Beyond
-that both sides are cut into hash blocks of bounded size and every pair of blocks is one task.
+The query side is counted first. Up to ``broadcast_queries`` rows (fewer for long vectors) it is sent
+to every task and the corpus is scanned once, without a shuffle; each task keeps only the best ``k``
+of each query. Beyond that both sides are cut into hash blocks of bounded size and every pair of
+blocks is one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_QUERIES = 4096
+BROADCAST_CELLS = 4_000_000  # 32 MB of doubles
 CORPUS_BLOCK = 65536
 SCORE_CELLS = 4_000_000
 _RESULT = "query_id {id_type}, item_id {item_type}, score double"
@@ -80,18 +82,19 @@ def top_k_similar(
         id_type=queries.schema["query_id"].dataType.simpleString(),
         item_type=corpus.schema["item_id"].dataType.simpleString(),
     )
-    asked = queries.limit(broadcast_queries + 1).count()
-    if asked <= broadcast_queries:
+    first = queries.select(F.size("embedding").alias("n")).first()
+    allowed = min(broadcast_queries, BROADCAST_CELLS // max(1, first.n if first else 1))
+    if queries.limit(allowed + 1).count() <= allowed:
         found = _scan(queries, corpus, schema, k, digits, exclude_self)
     else:
-        found = _blocks(queries, corpus, schema, k, digits, exclude_self, broadcast_queries, corpus_block)
+        found = _blocks(queries, corpus, schema, k, digits, exclude_self, allowed, corpus_block)
     return _ranked(found, k)
 
 
 def _scan(
     queries: DataFrame, corpus: DataFrame, schema: str, k: int, digits: int, exclude_self: bool
 ) -> DataFrame:
-    # At most ``broadcast_queries`` rows: the caller has counted them.
+    # Few rows: the caller has counted them.
     local = queries.toPandas()
     shared = corpus.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _matrix(local["embedding"])))
 

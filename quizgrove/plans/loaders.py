@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quizgrove.functions import text
+from quizgrove.operators import recommend as recommend_operators
 from quizgrove.plans.fixtures import table, with_views
 from quizgrove.plans.recommend import _growth, _GROWTH
 from quizgrove.plans.registry import query
@@ -29,6 +30,39 @@ def _export(spark, sf_dir, separator, width):
 _CLEAN = clean_sql("text")
 
 
+@query("s2_detect_sep", "SELECT 'comma' name, ',' separator UNION ALL SELECT 'tab', chr(9)")
+def detect_sep(spark, sf_dir):
+    found = []
+    for name, separator in (("comma", ","), ("tab", "\t")):
+        path = new_folder(spark, "sniffed")
+        rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+        rows.write.options(sep=separator).csv(path)
+        found.append((name, files.detect_separator(spark, path)))
+    return spark.createDataFrame(found, "name string, separator string")
+
+
+@query("s5_options", "SELECT doc_id, concat('A. ', lang, ' B. ', source) options, lang FROM documents")
+def options(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("A. "), "lang", F.lit(" B. "), "source").alias("column_5"), "lang"
+    )
+    return files.name_options(rows)
+
+
+@query(
+    "r5_update_from_file",
+    f"""SELECT doc_id question_id, nullif(replace({_CLEAN},',',' '),'') content, concat('A. ', lang, ' B. ', source) options
+FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND length({_CLEAN})>0""",
+)
+def update_from_file(spark, sf_dir):
+    rows = files.load_legacy(spark, _export(spark, sf_dir, ",", 15))
+    batch = rows.select(
+        F.col("question_id").cast("bigint").alias("question_id"), "content", "options", F.lit(0).alias("seq")
+    )
+    added = recommend_operators.add_questions(table(spark, sf_dir, "f_item"), batch)
+    return added.filter(F.size("embedding") == 64).select("question_id", "content", "options")
+
+
 @query(
     "s3_load",
     f"""SELECT CAST(doc_id AS VARCHAR) question_id, concat('t', doc_id%4+1) type_id, nullif({_CLEAN},'') content,

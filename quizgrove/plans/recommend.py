@@ -387,3 +387,13 @@ def loop_report(spark, sf_dir):
     rows = _growth(spark, sf_dir)
     outcomes = rows.select("iteration", (F.col("added") > 0).alias("success"), (F.col("iteration") * 1.5).alias("seconds"))
     return recommend.loop_report(rows, outcomes)
+
+
+@query(
+    "p10_candidates",
+    """SELECT doc_id question_id FROM documents WHERE length(trim(text))>20000 UNION ALL
+SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM documents WHERE length(trim(text))>20000)""",
+)
+def candidates(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.col("text").alias("content"))
+    return recommend.candidates(documents, 20000).select("question_id")

@@ -52,6 +52,44 @@ def full_sync(spark, sf_dir):
     return spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
+@query("a15_copied_rows", "SELECT count(*) n_rows FROM lineitem")
+def copied_rows(spark, sf_dir):
+    observed = tables.write_full(table(spark, sf_dir, "lineitem"), new_folder(spark, "full-copy"))
+    return spark.createDataFrame([(observed.get["n_rows"],)], "n_rows bigint")
+
+
+_TYPED = (
+    ("l_orderkey", "bigint(20)", False),
+    ("l_linenumber", "tinyint(4) unsigned", True),
+    ("l_quantity", "decimal(12,2)", True),
+    ("l_returnflag", "varchar(1)", True),
+    ("l_shipdate", "date", True),
+)
+
+
+@query(
+    "s8_typed_copy",
+    """SELECT l_orderkey, CAST(l_linenumber AS SMALLINT) l_linenumber, CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR) l_quantity,
+ l_returnflag, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) l_shipdate, 'bigint,smallint,decimal(12,2),string,date' kinds FROM lineitem""",
+)
+def typed_copy(spark, sf_dir):
+    rows = tables.typed(table(spark, sf_dir, "lineitem"), tables.spark_schema(_TYPED))
+    kinds = F.concat_ws(",", *[F.typeof(name) for name in rows.columns]).alias("kinds")
+    return rows.select(kinds, "l_orderkey", "l_linenumber", "l_returnflag", *_text("l_quantity", "l_shipdate"))
+
+
+@query("s9_bucketed_table", "SELECT o_orderkey, count(*) n_lines FROM orders JOIN lineitem ON l_orderkey=o_orderkey GROUP BY o_orderkey")
+def bucketed_table(spark, sf_dir):
+    joined = []
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        path = new_folder(spark, f"bucketed-{name}")
+        target = path.rsplit("/", 1)[1].replace("-", "_")
+        tables.create_table(table(spark, sf_dir, name).select(key), target, [key], path=path)
+        joined.append(spark.table(target))
+    orders, lines = joined
+    return orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy("o_orderkey").agg(F.count("*").alias("n_lines"))
+
+
 _SYNC = with_views("f_source", "f_target")
 _NEW = """new AS (SELECT s.* FROM f_source s WHERE snapshot_date>=(SELECT max(snapshot_date) FROM f_target)
  AND NOT EXISTS (SELECT 1 FROM f_target t WHERE t.o_orderkey=s.o_orderkey AND t.snapshot_date=s.snapshot_date))"""
@@ -236,6 +274,7 @@ change AS (SELECT kafka_offset, topic, date '1970-01-01' + CAST(v->>'$.snapshot_
  v->>'$.risk_level' risk_level, v->>'$.__op' op, CAST(v->>'$.__ts_ms' AS BIGINT) ts_ms FROM parsed WHERE v IS NOT NULL)"""
 _LATEST = f"""{_PARSED}, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, student_id
  ORDER BY ts_ms DESC, kafka_offset DESC) rn FROM change WHERE topic='srv.src.abc_warning') x WHERE rn=1)"""
+_LATEST_AND_WARNINGS = with_views("f_warning") + ", " + _LATEST.removeprefix("WITH ")
 _ROW = """CAST(snapshot_date AS VARCHAR) snapshot_date, student_id, attendance_rate, violation_cnt, risk_level, op, ts_ms"""
 
 
@@ -260,6 +299,19 @@ def cdc_latest(spark, sf_dir):
     return _shown(_latest(spark, sf_dir))
 
 
+@query(
+    "p15_point_lookup",
+    f"""{_LATEST_AND_WARNINGS}
+SELECT CAST(w.snapshot_date AS VARCHAR) snapshot_date, w.student_id, l.op, l.ts_ms FROM f_warning w
+JOIN latest l ON l.snapshot_date=w.snapshot_date AND l.student_id=w.student_id""",
+)
+def point_lookup(spark, sf_dir):
+    wanted = _warnings(spark, sf_dir).select("snapshot_date", "student_id")
+    rows = changes.good(_changes(spark, sf_dir)).filter(F.regexp_extract("topic", changes.TOPIC, 3) == "abc_warning")
+    found = replicate.latest_per_key(rows.join(wanted, list(feeds.KEYS), "left_semi"), feeds.KEYS)
+    return found.select(*_text("snapshot_date"), "student_id", "op", "ts_ms")
+
+
 @query("c6_live_rows", f"{_LATEST} SELECT {_ROW} FROM latest WHERE op<>'d'")
 def live_rows(spark, sf_dir):
     return _shown(replicate.live_rows(_latest(spark, sf_dir)))
@@ -365,7 +417,7 @@ def stream_upsert(spark, sf_dir):
 
 @query(
     "c7_snapshot_stream",
-    f"""{_LATEST.replace("WITH ", with_views("f_warning") + ", ", 1)}
+    f"""{_LATEST_AND_WARNINGS}
 SELECT CAST(coalesce(l.snapshot_date, w.snapshot_date) AS VARCHAR) snapshot_date, coalesce(l.student_id, w.student_id) student_id,
  CASE WHEN l.op IS NULL THEN w.risk_level ELSE l.risk_level END risk_level, coalesce(l.op,'r') op
 FROM f_warning w FULL JOIN latest l ON l.snapshot_date=w.snapshot_date AND l.student_id=w.student_id""",

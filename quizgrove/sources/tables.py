@@ -96,9 +96,19 @@ def key_columns(columns: Sequence[tuple[str, str]]) -> list[str]:
     return keys or [columns[0][0]]
 
 
-def create_table(df: DataFrame, name: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+def create_table(
+    df: DataFrame, name: str, keys: Sequence[str], buckets: int = BUCKETS, path: str | None = None
+) -> None:
     """A table bucketed by its key, so that joins and upserts on the key need no shuffle."""
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
+    writer = df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+
+
+def typed(df: DataFrame, schema: StructType) -> DataFrame:
+    """The columns of a schema, cast to its types."""
+    return df.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields])
 
 
 def write_full(df: DataFrame, path: str) -> Observation:
