@@ -191,11 +191,79 @@ def _user_grants(grants: DataFrame) -> DataFrame:
 
 # --- overview counts -------------------------------------------------------------------------
 
+PAIR_LIMIT = 24
+
 
 def _sums(names: Sequence[str]) -> list[Column]:
     return [F.sum(name).alias(name) for name in names]
 
 
+def _granted_counts(
+    granted: DataFrame, members: DataFrame, tops: DataFrame, uppers: DataFrame,
+    measures: Sequence[Column], counts: Sequence[str], mode: str,
+) -> DataFrame:
+    """Per class: questions granted to each of its organisations and not visible by path.
+
+    A question granted to several organisations of a class counts once for each of them. Counts per
+    (organisation, path) and per subtree stand in for the questions, so no question meets a class.
+    """
+    cells = granted.groupBy("org_id", "q_key").agg(*measures)
+    totals = cells.groupBy("org_id").agg(*_sums(counts))
+    keyed = cells.filter(F.col("q_key").isNotNull())
+    subtrees = (
+        keyed.select("org_id", F.explode(paths.prefixes(F.col("q_key"), mode)).alias("node"), *counts)
+        .groupBy("org_id", "node")
+        .agg(*_sums(counts))
+    )
+    below = members.join(tops, "class_id").join(subtrees, ["org_id", "node"])
+    above = members.join(uppers, "class_id").join(keyed.withColumnRenamed("q_key", "node"), ["org_id", "node"])
+    visible = below.select("class_id", *counts).union(above.select("class_id", *counts))
+    minus = visible.select("class_id", *[(-F.col(name)).alias(name) for name in counts])
+    return members.join(totals, "org_id").select("class_id", *counts).union(minus)
+
+
+def _pairs(rows: DataFrame, key: str) -> DataFrame:
+    """The pairs of organisations in each short, sorted ``orgs`` array."""
+    heads = rows.select(key, "orgs", F.posexplode("orgs").alias("at", "org_a"))
+    return heads.select(key, "org_a", F.explode(F.slice("orgs", F.col("at") + 2, F.size("orgs"))).alias("org_b"))
+
+
+def _repeated_grants(
+    org_grants: DataFrame, q: DataFrame, members: DataFrame, measures: Sequence[Column], counts: Sequence[str]
+) -> DataFrame:
+    """Per class and grant pattern: how often its questions were counted more than once.
+
+    Only questions granted to two or more organisations and classes with two or more of them take
+    part. Questions granted to the same organisations on the same path form one pattern.
+    """
+    sorted_set = F.sort_array(F.collect_set("org_id")).alias("orgs")
+    sets = org_grants.groupBy("question_id").agg(sorted_set).filter(F.size("orgs") > 1)
+    patterns = saved(
+        sets.join(q, "question_id").groupBy("q_key", "orgs").agg(*measures).withColumn(
+            "pattern_id", _digest("q_key", "orgs")
+        ),
+        "grant-patterns",
+    )
+    groups = members.groupBy("class_id").agg(sorted_set).filter(F.size("orgs") > 1)
+    short = F.size("orgs") <= PAIR_LIMIT
+    # Short on both sides: meet on pairs, so that only real overlaps are made. n pairs are k(k-1)/2.
+    pairs = _pairs(patterns.filter(short), "pattern_id").join(_pairs(groups.filter(short), "class_id"), ["org_a", "org_b"])
+    overlaps = pairs.groupBy("class_id", "pattern_id").agg(
+        ((F.sqrt(8 * F.count("*") + 1) - 1) / 2).cast("long").alias("again")
+    )
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        rows = left.select("pattern_id", F.explode("orgs").alias("org_id")).join(
+            right.select("class_id", F.explode("orgs").alias("org_id")), "org_id"
+        )
+        found = rows.groupBy("class_id", "pattern_id").agg((F.count("*") - 1).alias("again"))
+        return found.filter(F.col("again") > 0)
+
+    # A long set on either side (there are few) would make too many pairs: meet on organisations.
+    overlaps = overlaps.union(meet(patterns.filter(~short), groups)).union(meet(patterns.filter(short), groups.filter(~short)))
+    return saved(overlaps.join(patterns.select("pattern_id", "q_key", *counts), "pattern_id"), "repeated-grants")
+
+
 def overview_stats(
     users: DataFrame,
     question: DataFrame,
@@ -232,33 +300,16 @@ def overview_stats(
     )
 
     grants = approved_grants(acl, rules.words)
-    # Questions granted to the same organisations on the same path count together.
-    org_sets = (
-        _org_grants(grants).groupBy("question_id").agg(F.sort_array(F.collect_set("org_id")).alias("orgs"))
-        .join(q, "question_id")
-        .groupBy("q_key", "orgs").agg(*measures)
-        .withColumn("pattern_id", _digest("q_key", "orgs"))
-    )
-    patterns = saved(org_sets, "grant-patterns")
-    members = classes.members.select("class_id", "org_id")
-    tasks = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_org = saved(
-        # Few rows go in and many come out: a fixed number of tasks shares the work.
-        patterns.select("pattern_id", "q_key", F.explode("orgs").alias("org_id"))
-        .repartition(tasks, "pattern_id", "org_id")
-        .join(members, "org_id")
-        .select("class_id", "pattern_id", "q_key")
-        .distinct(),
-        "class-patterns",
-    )
+    members = classes.members.select("class_id", "org_id").distinct()
+    by_grant = _granted_counts(_org_grants(grants).join(q, "question_id"), members, tops, uppers, measures, counts, mode)
+    repeats = _repeated_grants(_org_grants(grants), q, members, measures, counts)
     to_user = saved(_user_grants(grants).join(q, "question_id").join(classes.users, "user_id"), "user-granted")
-    candidates = by_org.select("class_id", "q_key").union(to_user.select("class_id", "q_key"))
+    candidates = repeats.select("class_id", "q_key").union(to_user.select("class_id", "q_key"))
     reached = saved(path_visible(candidates, classes, mode), "path-visible")
-    extra_org = (
-        by_org.join(reached, ["class_id", "q_key"], "left_anti")
-        .join(patterns.select("pattern_id", *counts), "pattern_id")
-        .groupBy("class_id")
-        .agg(*_sums(counts))
+    extra_org = by_grant.unionByName(
+        repeats.join(reached, ["class_id", "q_key"], "left_anti").select(
+            "class_id", *[(-F.col("again") * F.col(name)).alias(name) for name in counts]
+        )
     )
     also_by_org = (
         to_user.select("user_id", "class_id", "question_id").join(members, "class_id")

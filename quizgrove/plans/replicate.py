@@ -331,7 +331,7 @@ _AS_OF_MS = "CAST(epoch_ms(TIMESTAMP '2024-06-01') AS BIGINT)"
 SELECT count(*) n_rows, round(avg({_AS_OF_MS}-ts_ms),4) mean_ms, max({_AS_OF_MS}-ts_ms) max_ms, min({_AS_OF_MS}-ts_ms) min_ms FROM last""",
 )
 def latency(spark, sf_dir):
-    return replicate.latency(_changes(spark, sf_dir), F.lit("2024-06-01").cast("timestamp"))
+    return replicate.latency(_changes(spark, sf_dir), F.lit("2024-06-01T00:00:00Z").cast("timestamp"))
 
 
 @query(
@@ -340,7 +340,7 @@ def latency(spark, sf_dir):
 SELECT count(*) n_rows, round(avg({_AS_OF_MS}-ts_ms),4) mean_ms, max({_AS_OF_MS}-ts_ms) max_ms, min({_AS_OF_MS}-ts_ms) min_ms FROM change""",
 )
 def latency_all(spark, sf_dir):
-    return replicate.latency(_changes(spark, sf_dir), F.lit("2024-06-01").cast("timestamp"), last=None)
+    return replicate.latency(_changes(spark, sf_dir), F.lit("2024-06-01T00:00:00Z").cast("timestamp"), last=None)
 
 
 @query("s12_route", f"""{with_views("f_change")} SELECT kafka_offset, split_part(topic,'.',3) "table" FROM f_change""")

@@ -121,6 +121,23 @@ def test_checks_match_the_literal_join(spark, mode):
     assert {(r.user_id, r.question_id) for r in got} == expected
 
 
+@pytest.mark.parametrize("limit", [1, 2, 24])
+def test_counts_with_many_shared_grants(spark, monkeypatch, limit):
+    """Questions granted to several organisations of one user count once, whichever way they meet."""
+    rng = random.Random(9)
+    users, _, questions, _ = random_bank(5)
+    members = [(u, f"O{o}", rng.choice(["1/1", "2", None]), None) for u in users[:8] for o in rng.sample(range(6), 4)]
+    grants = [(q, "org", f"O{o}", 1, "approved") for q in range(40) for o in rng.sample(range(6), rng.randrange(5))]
+    grants += [(q, "user", rng.choice(users), 1, "approved") for q in range(40)]
+    bank = (users, members, questions, grants)
+    monkeypatch.setattr(access, "PAIR_LIMIT", limit)
+    rules = access.AccessRules(as_of="2024-01-01", words=WORDS)
+    expected = literal_rows(questions, members, grants, "segment")
+    for row in access.overview_stats(*frames(spark, bank), {"a_questions": "a"}, rules).collect():
+        seen = {q for u, q, _ in expected if u == row.user_id}
+        assert (row.total_questions, row.a_questions) == (len(seen), sum(questions[q][1] == "a" for q in seen))
+
+
 def test_prefixes_of_empty_and_null_paths(spark):
     row = spark.range(1).select(
         paths.prefixes(F.lit("")).alias("empty"),
