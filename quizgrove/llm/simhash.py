@@ -120,7 +120,9 @@ def keys(prints: DataFrame, most: int) -> DataFrame:
 def linked(prints: DataFrame, most: int) -> DataFrame:
     """print and component (the least fingerprint it is linked to, over any chain) of different fingerprints."""
     buckets = keys(prints, most)
-    shared = buckets.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("top")).filter("least < top")
+    # a bucket that is no print's own holds no pair that it alone would show
+    shared = buckets.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("top"), F.max("own").alias("owned"))
+    shared = shared.filter("least < top AND owned").drop("owned")
     members = saved(buckets.join(shared, "key"), "buckets")
     stars = [
         members.filter((differing(F.col("print"), F.col(hub)) <= most) & (F.col("print") != F.col(hub)))
