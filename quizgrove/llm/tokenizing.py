@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Pieces of text whose ids a worker keeps before it starts afresh (some 150 MB).
-KEPT_PIECES = 3_000_000
+#: Pieces of text whose ids a worker keeps before it starts afresh (some 60 MB).
+KEPT_PIECES = 1_500_000
 #: Bytes of text encoded at once, so that a worker's memory doesn't follow the size of its batches.
 BYTES_AT_ONCE = 1 << 24
 
@@ -110,7 +110,7 @@ class Encoder:
         self.tokenizer.no_padding()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: pa.Array):
         """An array of ids for each text, a few texts at a time."""
@@ -152,16 +152,16 @@ class Pieces(Encoder):
 
     def forget(self) -> None:
         self.known = pa.array([], type=pa.string())
-        self.start = np.zeros(0, dtype=np.int64)
+        self.start = np.zeros(0, dtype=np.int32)
         self.length = np.zeros(0, dtype=np.int32)  # -1: the piece can't be encoded alone
         self.flat = np.zeros(0, dtype=np.uint32)
 
     def learn(self, new: pa.Array) -> None:
         pieces = new.to_pylist()
         alone = np.array([bool(piece) and not piece[0].isspace() for piece in pieces], dtype=bool)
-        start, length = np.zeros(len(pieces), dtype=np.int64), np.full(len(pieces), -1, dtype=np.int32)
+        start, length = np.zeros(len(pieces), dtype=np.int32), np.full(len(pieces), -1, dtype=np.int32)
         if alone.any():
-            joined = " " + " ".join(piece for piece, fits in zip(pieces, alone, strict=True) if fits)
+            joined = " " + " ".join(pieces if alone.all() else [piece for piece, fits in zip(pieces, alone, strict=True) if fits])
             ids = np.asarray(self.whole([joined])[0], dtype=np.uint32)
             begin = np.flatnonzero(self.begins[ids])
             if len(begin) != alone.sum():
@@ -173,42 +173,45 @@ class Pieces(Encoder):
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
 
     def encoded(self, run: pa.Array):
-        """Per text: the bounds of its pieces, whether they can be put together; per piece: begin and length in the last."""
+        """Each text's first ids, the bounds of its other pieces, and whether they can be put together; each piece's
+        begin and length in ``flat`` (of no use for first pieces)."""
         cut = pc.split_pattern(run, " ")
         bounds = cut.offsets.to_numpy().astype(np.int64)
-        words = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        bounds = bounds - bounds[0]
+        words = cut.values.slice(bounds[0], bounds[-1] - bounds[0])
+        bounds -= bounds[0]
+        heads = self.whole(words.take(pa.array(bounds[:-1])).to_pylist())
+        words = words.dictionary_encode()
         places = pc.index_in(words.dictionary, value_set=self.known)
-        if places.null_count:
-            self.learn(words.dictionary.filter(places.is_null()))
-            places = pc.index_in(words.dictionary, value_set=self.known)
-        places = places.to_numpy(zero_copy_only=False)[words.indices.to_numpy(zero_copy_only=False)]
+        new = places.is_null().to_numpy(zero_copy_only=False)
+        places = places.fill_null(0).to_numpy().copy()
+        if new.any():
+            places[new] = len(self.known) + np.arange(new.sum(), dtype=np.int32)
+            self.learn(words.dictionary.filter(pa.array(new)))
+        places = places[words.indices.to_numpy(zero_copy_only=False)]
         start, length = self.start[places], self.length[places]
-        first = bounds[:-1]
-        heads = self.whole(cut.values.take(pa.array(cut.offsets.to_numpy()[:-1])).to_pylist())
-        length[first] = [len(head) for head in heads]
-        start[first] = len(self.flat) + np.cumsum(length[first]) - length[first]
-        fits = np.minimum.reduceat(length, first) >= 0
-        return bounds, fits, start, length, np.concatenate([self.flat, *(np.asarray(h, dtype=np.uint32) for h in heads)])
+        length[bounds[:-1]] = 0
+        return heads, bounds, np.minimum.reduceat(length, bounds[:-1]) >= 0, start, length
 
     def ids(self, texts: pa.Array):
         for run in slices(texts):
-            bounds, fits, start, length, flat = self.encoded(run)
-            for i in range(len(run)):
+            heads, bounds, fits, start, length = self.encoded(run)
+            for i, head in enumerate(heads):
                 if not fits[i]:
                     yield np.asarray(self.whole([run[i].as_py()])[0], dtype=np.uint32)
                     continue
                 own = slice(bounds[i], bounds[i + 1])
-                lengths = length[own]
-                ends = np.cumsum(lengths)
-                yield flat[np.repeat(start[own] - ends + lengths, lengths) + np.arange(ends[-1])]
+                ends = np.cumsum(length[own], dtype=np.int64)
+                found = np.empty(len(head) + int(ends[-1]), dtype=np.uint32)
+                found[: len(head)] = head
+                found[len(head) :] = self.flat[np.repeat(start[own] - ends + length[own], length[own]) + np.arange(ends[-1])]
+                yield found
             self.bound()
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         found = [np.zeros(0, dtype=np.int64)]
         for run in slices(texts):
-            bounds, fits, _, length, _ = self.encoded(run)
-            own = np.add.reduceat(length.astype(np.int64), bounds[:-1])
+            heads, bounds, fits, _, length = self.encoded(run)
+            own = np.add.reduceat(length, bounds[:-1], dtype=np.int64) + [len(head) for head in heads]
             for i in np.flatnonzero(~fits):
                 own[i] = len(self.whole([run[int(i)].as_py()])[0])
             found.append(own)
