@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Pieces of text whose ids a worker keeps before it starts afresh (some 60 MB).
-KEPT_PIECES = 1_500_000
+#: Pieces of text whose ids a worker keeps before it starts afresh (some 50 MB).
+KEPT_PIECES = 1_000_000
+#: New pieces encoded in one call; the library needs some 150 bytes a token meanwhile.
+PIECES_AT_ONCE = 10_000
 #: Bytes of text encoded at once, so that a worker's memory doesn't follow the size of its batches.
-BYTES_AT_ONCE = 1 << 24
+BYTES_AT_ONCE = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -57,6 +60,7 @@ def version_of(content: bytes, kind: str) -> str:
 
 
 def encoder_of(content: bytes, kind: str) -> Encoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
     if kind == "model":
         return Sentences(content)
     return Pieces(content) if splits_at_spaces(json.loads(content)) else Encoder(content)
@@ -161,8 +165,9 @@ class Pieces(Encoder):
         alone = np.array([bool(piece) and not piece[0].isspace() for piece in pieces], dtype=bool)
         start, length = np.zeros(len(pieces), dtype=np.int32), np.full(len(pieces), -1, dtype=np.int32)
         if alone.any():
-            joined = " " + " ".join(pieces if alone.all() else [piece for piece, fits in zip(pieces, alone, strict=True) if fits])
-            ids = np.asarray(self.whole([joined])[0], dtype=np.uint32)
+            fitting = pieces if alone.all() else [piece for piece, fits in zip(pieces, alone, strict=True) if fits]
+            parts = [fitting[i : i + PIECES_AT_ONCE] for i in range(0, len(fitting), PIECES_AT_ONCE)]
+            ids = np.concatenate([np.asarray(self.whole([" " + " ".join(part)])[0], dtype=np.uint32) for part in parts])
             begin = np.flatnonzero(self.begins[ids])
             if len(begin) != alone.sum():
                 raise ValueError("the tokenizer doesn't begin a word at each space")
