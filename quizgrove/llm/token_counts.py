@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizgrove.llm.tokenizing import TokenizerFile
+from quizgrove.session import saved
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 
@@ -56,5 +57,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int) -> Dat
         F.octet_length(content).cast("long").alias("n_bytes"),
         F.unhex(F.sha2(content, 256)).alias("digest"),
     )
-    counted = rows.join(read_cache(spark, cache, file.version), "digest", "left")
+    # saved, so that the join stands alone between its shuffles and Spark may split a hot digest
+    stored = saved(read_cache(spark, cache, file.version), "stored-counts")
+    counted = rows.join(stored, "digest", "left")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
