@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps: each round links, in turn, a node's larger and its smaller neighbours to the
     least one it knows; the edges never become more. Rounds are as many as the logarithm of the
     nodes, each written to shared storage, and end when a round changes nothing. Nodes with very many
-    neighbours only need the least of them, found by an aggregate and joined back, so no node's
-    neighbours are gathered in one task.
+    neighbours only need the least of them, found by an aggregate, saved and joined back as Spark splits skewed
+    joins, so no node's neighbours are gathered in one task.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     edges, state = saved(edges, "edges"), None
@@ -35,9 +35,9 @@ def star(edges: DataFrame, larger: bool) -> DataFrame:
     if larger:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        linked = both.filter("b > a").join(least, "a").select(F.col("least").alias("a"), "b")
+        linked = both.filter("b > a").join(saved(least, "least"), "a").select(F.col("least").alias("a"), "b")
         return linked.distinct()
-    least = edges.groupBy("b").agg(F.min("a").alias("least"))
+    least = saved(edges.groupBy("b").agg(F.min("a").alias("least")), "least")
     linked = edges.join(least, "b")
     own = least.select(F.col("least").alias("a"), "b")
     others = linked.select(F.col("least").alias("a"), F.col("a").alias("b")).filter("a < b")

@@ -122,7 +122,7 @@ def linked(prints: DataFrame, most: int) -> DataFrame:
     buckets = keys(prints, most)
     # a bucket that is no print's own holds no pair that it alone would show
     shared = buckets.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("top"), F.max("own").alias("owned"))
-    shared = shared.filter("least < top AND owned").drop("owned")
+    shared = saved(shared.filter("least < top AND owned").drop("owned"), "shared-buckets")
     members = saved(buckets.join(shared, "key"), "buckets")
     stars = [
         members.filter((differing(F.col("print"), F.col(hub)) <= most) & (F.col("print") != F.col(hub)))
@@ -133,7 +133,7 @@ def linked(prints: DataFrame, most: int) -> DataFrame:
     members = members.select("key", "print", "own").join(first, "print", "left")
     members = members.withColumn("component", F.coalesce("component", "print"))
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.filter("low < high").select("key", "low")
+    mixed = saved(mixed.filter("low < high").select("key", "low"), "mixed-keys")
     members = saved(members.join(mixed, "key"), "mixed-buckets")
     # a pair of two components has one at least that isn't the bucket's lowest
     a = members.select("key", F.col("print").alias("p"), F.col("component").alias("a"), F.col("own").alias("own_a"), "low")
@@ -166,7 +166,7 @@ def near_rows(docs: DataFrame, width: int, most: int) -> DataFrame:
     prints = saved(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     groups = saved(linked(prints, most), "near-components")
     names = groups.join(prints, "print").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = saved(groups.join(names, "component"), "near-names")
+    named = saved(groups.join(saved(names, "component-ids"), "component"), "near-names")
     return rows.join(named, "print")
 
 
