@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,16 +42,17 @@ def l2_normalize(vector: Column) -> Column:
 
 
 def hashed_embedding(text: Column, dimension: int = HASH_DIMENSION) -> Column:
-    """Offline embedding: word counts hashed into ``dimension`` places, then normalised (R1 default)."""
+    """Offline embedding: word counts hashed into ``dimension`` places, then normalised (R1 default).
+
+    Places are counted in one pass over a text's words, a batch of texts at a time.
+    """
     places = F.transform(
         tokens(F.lower(text)),
         lambda word: (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dimension).cast("int"),
     )
-    every_place = F.sequence(F.lit(0), F.lit(dimension - 1))
-    counts = _once(
-        places,
-        lambda found: F.transform(
-            every_place, lambda place: (F.size(found) - F.size(F.array_remove(found, place))).cast("double")
-        ),
-    )
-    return l2_normalize(counts)
+
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if x is None else np.bincount(x, minlength=dimension).astype(float) for x in batch])
+
+    return l2_normalize(F.pandas_udf(counted, "array<double>")(places))

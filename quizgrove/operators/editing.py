@@ -68,13 +68,15 @@ def apply_edits(
     judged = edits.join(rights, ["user_id", "question_id"]).withColumn(
         "in_place", F.col("can_overwrite") & F.coalesce("overwrite", F.lit(False))
     )
-    last = (
-        judged.filter("in_place").groupBy("question_id").agg(F.max_by("new_content", "edit_id").alias("new_content"))
-    )
+    # by time if the edits have one, else by their number: a longer id is a later one
+    number = [F.char_length("edit_id"), F.col("edit_id")]
+    order = F.struct(*([F.col("edited_at")] if "edited_at" in edits.columns else []), *number)
+    last = judged.filter("in_place").groupBy("question_id")
+    last = last.agg(F.max_by(F.struct("new_content"), order).alias("last_edit"))
     updated = (
         question.join(last, "question_id", "left")
-        .withColumn("content", F.coalesce("new_content", "content"))
-        .drop("new_content")
+        .withColumn("content", F.when(F.col("last_edit").isNull(), F.col("content")).otherwise(F.col("last_edit.new_content")))
+        .drop("last_edit")
     )
     copies = judged.filter(~F.col("in_place")).select(
         "edit_id", "question_id", "new_content", F.col("user_id").alias("new_creator")
@@ -154,40 +156,41 @@ def resolve_requests(
     )
 
 
-def fork_lineage(question: DataFrame, max_rounds: int = 40) -> DataFrame:
+def fork_lineage(question: DataFrame) -> DataFrame:
     """Origin and number of forks between for every question.
 
-    Each round doubles the distance covered, so a chain of n forks needs log2(n) rounds. A round is a
-    written table: losing an executor costs one round, and the plan does not grow.
+    Each round doubles the distance covered, so a chain of n forks needs log2(n) rounds. A round writes the questions
+    whose origin is not yet certain and, apart, those that are done: losing an executor costs one round, finished rows
+    are not written again, and the plan does not grow. No chain is longer than there are questions, so a
+    depth beyond their number is a cycle.
     """
-    spark = question.sparkSession
+    spark, count = question.sparkSession, question.count()
+    folder = new_folder(spark, "lineage")
     state = question.select(
         "question_id",
         F.coalesce("parent_id", "question_id").alias("origin_id"),
-        F.col("parent_id").isNotNull().cast("int").alias("depth"),
+        F.col("parent_id").isNotNull().cast("bigint").alias("depth"),
     )
-    folder = new_folder(spark, "lineage")
-    for number in range(max_rounds):
-        path = f"{folder}/round={number}"
-        if number == 0:
-            state.withColumn("moved", F.col("depth") > 0).write.parquet(path)
-        else:
-            jump = state.filter(F.col("depth") > 0).select(
-                F.col("question_id").alias("origin_id"),
-                F.col("origin_id").alias("further"),
-                F.col("depth").alias("more"),
-            )
-            (
-                state.drop("moved").join(jump, "origin_id", "left")
-                .select(
-                    "question_id",
-                    F.coalesce("further", "origin_id").alias("origin_id"),
-                    (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                    F.col("more").isNotNull().alias("moved"),
-                )
-                .write.parquet(path)
-            )
-        state = spark.read.parquet(path)
-        if state.filter("moved").isEmpty():
-            return state.drop("moved")
-    raise ValueError("parent_id has a cycle")
+    state.filter("depth = 0").write.parquet(f"{folder}/done/round=0")
+    state.filter("depth > 0").write.parquet(f"{folder}/open/round=0")
+    read = spark.read.schema(state.schema)
+    number = 0
+    while not (left := read.parquet(f"{folder}/open/round={number}")).isEmpty():
+        if left.agg(F.max("depth")).first()[0] > count:
+            raise ValueError("parent_id has a cycle")
+        jump = left.select(F.col("question_id").alias("origin_id"), F.col("origin_id").alias("further"), F.col("depth").alias("more"))
+        moved = left.join(jump, "origin_id", "left").select(
+            "question_id",
+            F.coalesce("further", "origin_id").alias("origin_id"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.col("more").isNotNull().alias("moved"),
+        )
+        # what did not move stands at a question without an open row: a finished one, whose own origin counts
+        number += 1
+        done = read.parquet(f"{folder}/done/round=0", *[f"{folder}/done/round={n}" for n in range(1, number)])
+        ends = done.select(F.col("question_id").alias("origin_id"), F.col("origin_id").alias("end"), F.col("depth").alias("beyond"))
+        closed = moved.filter("NOT moved").join(ends, "origin_id", "left")
+        closed = closed.select("question_id", F.coalesce("end", "origin_id").alias("origin_id"), (F.col("depth") + F.coalesce("beyond", F.lit(0))).alias("depth"))
+        closed.write.parquet(f"{folder}/done/round={number}")
+        moved.filter("moved").drop("moved").write.parquet(f"{folder}/open/round={number}")
+    return read.parquet(*[f"{folder}/done/round={n}" for n in range(number + 1)])

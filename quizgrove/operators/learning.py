@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizgrove.operators.joins import null_safe_join
 from quizgrove.operators.ranking import percentiles, value_positions
 from quizgrove.session import saved
 
@@ -128,7 +129,7 @@ def association(attempts: DataFrame, left: str, right: str) -> DataFrame:
     by_right = pairs.groupBy(right).agg(F.sum("n").alias("n_right"))
     total = pairs.agg(F.sum("n").alias("n")).select("n").scalar()
     lift = F.col("n") * total / (F.col("n_left") * F.col("n_right"))
-    return pairs.join(by_left, left).join(by_right, right).select(left, right, "n", F.round(lift, 6).alias("lift"))
+    return null_safe_join(null_safe_join(pairs, by_left, [left]), by_right, [right]).select(left, right, "n", F.round(lift, 6).alias("lift"))
 
 
 def classifier_quality(rows: DataFrame, actual: str, predicted: str, group: Sequence[str]) -> DataFrame:
@@ -203,10 +204,10 @@ def standard_scores(rows: DataFrame, group: str, value: str) -> DataFrame:
         (F.sum(weight * x) / F.sum(weight)).alias("mean"), F.max("total").alias("rows_in_group")
     )
     spread = (
-        positions.join(stats, group).groupBy(group)
+        null_safe_join(positions, stats, [group]).groupBy(group)
         .agg(F.sqrt(F.sum(weight * (x - F.col("mean")) * (x - F.col("mean"))) / F.max("rows_in_group")).alias("spread"))
     )
-    scored = positions.join(stats.select(group, "mean"), group).join(spread, group)
+    scored = null_safe_join(null_safe_join(positions, stats.select(group, "mean"), [group]), spread, [group])
     return scored.select(
         group,
         value,
@@ -222,11 +223,12 @@ def box_plot(rows: DataFrame, group: str, value: str) -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
     outside = (F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)
     # Groups are few; the join only adds three numbers to a row before it is counted.
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("n")).join(quarters, group)
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    counts = null_safe_join(counts, quarters, [group])
     outliers = counts.groupBy(group).agg(F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"))
     spread = rows.groupBy(group).agg(F.round(F.stddev(value) / F.avg(value), 6).alias("variation"))
     rounded = [F.round(name, 4).alias(name) for name in ("q1", "median", "q3")]
-    return quarters.select(group, *rounded).join(outliers, group).join(spread, group)
+    return null_safe_join(null_safe_join(quarters.select(group, *rounded), outliers, [group]), spread, [group])
 
 
 def rank_changes(attempts: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ def rank_changes(attempts: DataFrame) -> DataFrame:
     points = attempts.groupBy("learner_id", F.year("day").alias("year")).agg(F.sum("correct").alias("points"))
     positions = value_positions(points.withColumn("lost", -F.col("points")), ["year"], "lost")
     ranks = positions.select("year", (-F.col("lost")).alias("points"), (F.col("before") + 1).alias("place"))
-    ranked = points.join(ranks, ["year", "points"])
+    ranked = null_safe_join(points, ranks, ["year", "points"])
     before = F.lag("place").over(Window.partitionBy("learner_id").orderBy("year"))
     return ranked.withColumn("change", before - F.col("place")).select("learner_id", "year", "points", "place", "change")
 
@@ -247,7 +249,7 @@ def value_added(attempts: DataFrame) -> DataFrame:
     )
     topics = cells.groupBy("topic").agg((F.sum("s") / F.sum("n")).alias("m"))
     n, s, s2, m = (F.col(name) for name in ("n", "s", "s2", "m"))
-    teachers = cells.join(topics, "topic").groupBy("teacher_id").agg(
+    teachers = null_safe_join(cells, topics, ["topic"]).groupBy("teacher_id").agg(
         F.sum("n").alias("n"),
         F.sum(s - n * m).alias("r"),
         F.sum(s2 - 2 * m * s + n * m * m).alias("r2"),
@@ -364,7 +366,7 @@ def contribution(attempts: DataFrame) -> DataFrame:
     """Share of each learner in the points of a topic."""
     cells = attempts.groupBy("topic", "learner_id").agg(F.sum("correct").alias("points"))
     totals = cells.groupBy("topic").agg(F.sum("points").alias("all_points"))
-    return cells.join(totals, "topic").select(
+    return null_safe_join(cells, totals, ["topic"]).select(
         "topic", "learner_id", "points", F.round(F.try_divide("points", "all_points"), 8).alias("share")
     )
 

@@ -2,7 +2,7 @@
 
 Equal values are counted together first. The distinct values of a large group are then cut into ranges
 by approximate quantiles, so that a group holding most of the rows is ranked by many tasks; the
-result is exact whatever the cuts are.
+result is exact whatever the cuts are. NULL is a group like any other.
 """
 
 from __future__ import annotations
@@ -12,22 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizgrove.operators.joins import null_safe_join
+
 RANGES = 256
-SPLIT_OVER = 200_000
 
 
-def value_positions(
-    rows: DataFrame, group: Sequence[str], value: str, ranges: int = RANGES, split_over: int = SPLIT_OVER
-) -> DataFrame:
+def value_positions(rows: DataFrame, group: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
     """Per group and distinct value: ``n`` equal rows, ``before`` smaller rows, ``total`` rows."""
     group = list(group)
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
     cuts = [step / ranges for step in range(1, ranges)]
-    used = F.when(F.count("*") > split_over, len(cuts)).otherwise(0)
-    bounds = counts.groupBy(*group).agg(
-        F.slice(F.percentile_approx(value, cuts, 10 * ranges), F.lit(1), used).alias("bounds")
-    )
-    placed = counts.join(bounds, group) if group else counts.withColumn("bounds", bounds.select("bounds").scalar())
+    bounds = counts.groupBy(*group).agg(F.percentile_approx(value, cuts, 10 * ranges).alias("bounds"))
+    placed = null_safe_join(counts, bounds, group) if group else counts.withColumn("bounds", bounds.select("bounds").scalar())
     placed = placed.withColumn(
         "value_range", F.size(F.filter("bounds", lambda bound: bound < F.col(value)))
     ).drop("bounds")
@@ -43,7 +39,7 @@ def value_positions(
     )
     smaller = Window.partitionBy(*group, "value_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     within = placed.withColumn("inside", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-    return within.join(starts, [*group, "value_range"]).select(
+    return null_safe_join(within, starts, [*group, "value_range"]).select(
         *group, value, "n", (F.col("start") + F.col("inside")).alias("before"), "total"
     )
 

@@ -47,8 +47,16 @@ def incremental_rows(
 
 def insert_skip(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The target after inserting rows, one per key, skipping known keys."""
-    fresh = missing_rows(rows, target, keys).dropDuplicates(list(keys))
-    return target.unionByName(fresh)
+    return target.unionByName(one_per_key(missing_rows(rows, target, keys), keys))
+
+
+def one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the rows with a key, the least by their other columns in order, so that each run keeps the same."""
+    others = [name for name in rows.columns if name not in keys]
+    if not others:
+        return rows.distinct()
+    kept = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("kept_row"))
+    return kept.select(*keys, "kept_row.*").select(*rows.columns)
 
 
 def reconcile(source: DataFrame, target: DataFrame, column: str) -> DataFrame:

@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizgrove.session import saved
+
 BROADCAST_QUERIES = 4096
 BROADCAST_CELLS = 4_000_000  # 32 MB of doubles
-CORPUS_BLOCK = 65536
+BLOCK_BYTES = 64 << 20  # of vectors in a block of the corpus
 SCORE_CELLS = 4_000_000
 _RESULT = "query_id {id_type}, item_id {item_type}, score double"
 
@@ -69,21 +71,25 @@ def top_k_similar(
     exclude_self: bool = True,
     digits: int = 6,
     broadcast_queries: int = BROADCAST_QUERIES,
-    corpus_block: int = CORPUS_BLOCK,
+    corpus_block: int | None = None,
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` of the ``k`` most similar items of each query.
 
     ``queries``: query_id, embedding. ``corpus``: item_id (unique), embedding. Scores are rounded to
-    ``digits`` so that equal vectors tie and the lower id wins.
+    ``digits`` so that equal vectors tie and the lower id wins. The query vectors are saved first, so that an
+    embedder runs once for each. Blocks of the corpus hold ``corpus_block`` rows, by default as many as
+    take ``BLOCK_BYTES``.
     """
-    queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    queries = saved(queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()), "query-vectors")
     corpus = corpus.select("item_id", "embedding").filter(F.col("embedding").isNotNull())
     schema = _RESULT.format(
         id_type=queries.schema["query_id"].dataType.simpleString(),
         item_type=corpus.schema["item_id"].dataType.simpleString(),
     )
     first = queries.select(F.size("embedding").alias("n")).first()
-    allowed = min(broadcast_queries, BROADCAST_CELLS // max(1, first.n if first else 1))
+    width = max(1, first.n if first else 1)
+    corpus_block = corpus_block or max(1, BLOCK_BYTES // (8 * width))
+    allowed = min(broadcast_queries, max(1, BROADCAST_CELLS // width))
     if queries.limit(allowed + 1).count() <= allowed:
         found = _scan(queries, corpus, schema, k, digits, exclude_self)
     else:

@@ -359,7 +359,7 @@ judged AS (SELECT e.*, q.creator_id owner, overwrite AND (q.creator_id=e.user_id
    AND ((a.grantee_type='user' AND a.grantee_id=e.user_id) OR (a.grantee_type='org' AND a.grantee_id IN
     (SELECT m.org_id FROM f_user_org m WHERE m.user_id=e.user_id AND {_LIVE}))))) in_place
  FROM f_edit e JOIN f_question q USING (question_id)),
-last AS (SELECT question_id, arg_max(new_content, edit_id) new_content FROM judged WHERE in_place GROUP BY question_id)
+last AS (SELECT question_id, arg_max(new_content, (length(CAST(edit_id AS VARCHAR)), CAST(edit_id AS VARCHAR))) new_content FROM judged WHERE in_place GROUP BY question_id)
 SELECT 'row' kind, CAST(q.question_id AS VARCHAR) question_id, coalesce(new_content, content) content, creator_id, parent_id
 FROM f_question q LEFT JOIN last USING (question_id)
 UNION ALL SELECT 'fork', concat('Q',edit_id), new_content, user_id, question_id FROM judged WHERE NOT in_place""",

@@ -123,8 +123,8 @@ def error_tree(spark, sf_dir):
 @query(
     "l10_association",
     f"""{_A}, p AS (SELECT question_type, topic, count(*) n FROM f_attempt WHERE correct=0 GROUP BY ALL)
-SELECT question_type, topic, n, round(n*(SELECT sum(n) FROM p)/((SELECT sum(n) FROM p b WHERE b.question_type=p.question_type)
- *(SELECT sum(n) FROM p c WHERE c.topic=p.topic)),6)::DOUBLE lift FROM p""",
+SELECT question_type, topic, n, round(n*(SELECT sum(n) FROM p)/((SELECT sum(n) FROM p b WHERE b.question_type IS NOT DISTINCT FROM p.question_type)
+ *(SELECT sum(n) FROM p c WHERE c.topic IS NOT DISTINCT FROM p.topic)),6)::DOUBLE lift FROM p""",
 )
 def association(spark, sf_dir):
     return learning.association(_attempts(spark, sf_dir), "question_type", "topic")

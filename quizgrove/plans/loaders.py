@@ -14,8 +14,11 @@ from quizgrove.session import new_folder
 from quizgrove.sources import files
 
 
-def _export(spark, sf_dir, separator, width):
-    """Documents as header-less lines; text cleaned so that a line is a row."""
+def _export(spark, sf_dir, separator, width, odd_lines=True):
+    """Documents as header-less lines; text cleaned so that a line is a row.
+
+    ``odd_lines``: beside every tenth document a short line, and a line with a cell too many.
+    """
     rows = table(spark, sf_dir, "documents")
     cells = [F.lit("x")] * width
     cells[0] = F.col("doc_id").cast("string")
@@ -23,22 +26,42 @@ def _export(spark, sf_dir, separator, width):
     cells[10] = F.replace(text.clean_html(F.col("text")), F.lit(separator), F.lit(" "))
     cells[11] = F.concat(F.lit("A. "), "lang", F.lit(" B. "), "source")
     path = new_folder(spark, "export") + ".csv"
-    rows.select(F.concat_ws(separator, *cells).alias("value")).write.text(path)
+    line = F.concat_ws(separator, *cells)
+    odd = F.lit(odd_lines)
+    short = F.when(odd & (F.col("doc_id") % 10 == 0), F.concat(F.lit("s"), "doc_id", F.lit(separator), F.lit("t0")))
+    long = F.when(odd & (F.col("doc_id") % 10 == 1), F.concat_ws(separator, line, F.lit("more")))
+    rows.select(F.explode(F.array_compact(F.array(line, short, long))).alias("value")).write.text(path)
     return path
 
 
 _CLEAN = clean_sql("text")
 
 
-@query("s2_detect_sep", "SELECT 'comma' name, ',' separator UNION ALL SELECT 'tab', chr(9)")
+@query(
+    "s2_detect_sep",
+    """WITH line AS (SELECT o_orderkey, concat(o_orderkey, '|', o_custkey, '|', o_orderstatus) line FROM orders),
+head AS (SELECT left(string_agg(line, chr(10) ORDER BY o_orderkey), 2048) h FROM (SELECT * FROM line ORDER BY o_orderkey LIMIT 2048)),
+n AS (SELECT CAST(length(h)-length(replace(h,'|','')) AS BIGINT) n FROM head)
+SELECT 'comma' name, CAST(0 AS BIGINT) tabs, n commas, ',' separator FROM n UNION ALL SELECT 'tab', n, 0, chr(9) FROM n""",
+)
 def detect_sep(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    head = rows.orderBy("o_orderkey").limit(files.SNIFF_CHARACTERS).coalesce(1)
     found = []
     for name, separator in (("comma", ","), ("tab", "\t")):
         path = new_folder(spark, "sniffed")
-        rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-        rows.write.options(sep=separator).csv(path)
-        found.append((name, files.detect_separator(spark, path)))
-    return spark.createDataFrame(found, "name string, separator string")
+        head.write.options(sep=separator).csv(path)
+        found.append(files.separator_counts(spark, path).select(F.lit(name).alias("name"), "*"))
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "s3_rejected",
+    f"""SELECT concat_ws('|', doc_id, concat('t', doc_id%4+1), 'x','x','x','x','x','x','x','x', replace({_CLEAN},'|',' '),
+ concat('A. ', lang, ' B. ', source), 'x','x','x','more') line, 16 n_cells FROM documents WHERE doc_id%10=1""",
+)
+def rejected(spark, sf_dir):
+    return files.rejected_lines(spark, _export(spark, sf_dir, "|", 15), "|")
 
 
 @query("s5_options", "SELECT doc_id, concat('A. ', lang, ' B. ', source) options, lang FROM documents")
@@ -55,7 +78,7 @@ def options(spark, sf_dir):
 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND length({_CLEAN})>0""",
 )
 def update_from_file(spark, sf_dir):
-    rows = files.load_legacy(spark, _export(spark, sf_dir, ",", 15))
+    rows = files.load_legacy(spark, _export(spark, sf_dir, ",", 15, odd_lines=False))
     batch = rows.select(
         F.col("question_id").cast("bigint").alias("question_id"), "content", "options", F.lit(0).alias("seq")
     )
@@ -66,7 +89,8 @@ def update_from_file(spark, sf_dir):
 @query(
     "s3_load",
     f"""SELECT CAST(doc_id AS VARCHAR) question_id, concat('t', doc_id%4+1) type_id, nullif({_CLEAN},'') content,
- concat('A. ', lang, ' B. ', source) options, 'x' question_archive FROM documents""",
+ concat('A. ', lang, ' B. ', source) options, 'x' question_archive FROM documents
+UNION ALL SELECT concat('s', doc_id), 't0', NULL, NULL, NULL FROM documents WHERE doc_id%10=0""",
 )
 def load(spark, sf_dir):
     rows = files.load_export(spark, _export(spark, sf_dir, "\t", 27), "\t")
@@ -76,7 +100,8 @@ def load(spark, sf_dir):
 @query(
     "s4_legacy",
     f"""SELECT CAST(doc_id AS VARCHAR) question_id, concat('t', doc_id%4+1) subject_id, nullif(replace({_CLEAN},',',' '),'') content,
- concat('A. ', lang, ' B. ', source) options, 'x' analysis FROM documents""",
+ concat('A. ', lang, ' B. ', source) options, 'x' analysis FROM documents
+UNION ALL SELECT concat('s', doc_id), 't0', NULL, NULL, NULL FROM documents WHERE doc_id%10=0""",
 )
 def legacy(spark, sf_dir):
     rows = files.load_legacy(spark, _export(spark, sf_dir, ",", 15))

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from quizgrove.functions.text import looks_like_options
 
@@ -25,71 +25,102 @@ LEGACY_POSITIONS = {
     10: "content", 12: "answer", 13: "answer_list", 14: "analysis",
 }
 SNIFF_CHARACTERS = 2048
-OPTION_SAMPLE = 1000
 ENRICHED = "_enriched"
-_CORRUPT = "_corrupt_record"
 
 
-def _head(spark: SparkSession, path: str) -> str:
-    lines = spark.read.text(path).limit(SNIFF_CHARACTERS).select(F.substring("value", 1, SNIFF_CHARACTERS).alias("v"))
-    return "\n".join(row.v for row in lines.toLocalIterator())
+def separator_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Tabs and commas among the first characters of a file, and the separator they speak for.
+
+    Tab if there are tabs and not fewer than commas, else comma.
+    """
+    lines = spark.read.text(path).limit(SNIFF_CHARACTERS).select(F.substring("value", 1, SNIFF_CHARACTERS).alias("line"))
+    head = lines.agg(F.substring(F.array_join(F.collect_list("line"), "\n"), 1, SNIFF_CHARACTERS).alias("head"))
+    counts = [
+        (F.length("head") - F.length(F.replace(F.col("head"), F.lit(mark), F.lit("")))).cast("long").alias(name)
+        for name, mark in (("tabs", "\t"), ("commas", ","))
+    ]
+    tab = F.col("tabs") >= F.greatest(F.col("commas"), F.lit(1))
+    return head.select(*counts).withColumn("separator", F.when(tab, "\t").otherwise(","))
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
-    """Tab when the head of the file has tabs and at least as many as commas, else comma."""
-    head = _head(spark, path)[:SNIFF_CHARACTERS]
-    return "\t" if "\t" in head and head.count("\t") >= head.count(",") else ","
-
-
-def _read(spark: SparkSession, path: str, names: list[str], separator: str, header: bool) -> DataFrame:
-    """All columns as text; rows with too many fields are dropped, short rows end in NULLs."""
-    schema = StructType([StructField(name, StringType()) for name in (*names, _CORRUPT)])
-    rows = (
-        spark.read.schema(schema)
-        .options(header=header, sep=separator, quote="", mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
-        .option("enforceSchema", True)
-        .csv(path)
-    )
-    fields = F.size(F.split(F.col(_CORRUPT), separator))
-    return rows.filter(F.col(_CORRUPT).isNull() | (fields <= len(names))).drop(_CORRUPT)
+    return separator_counts(spark, path).first().separator
+
+
+def _cells(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """Each line that isn't empty with its cells; no quoting, so a separator always separates."""
+    lines = spark.read.text(path).filter(F.length("value") > 0)
+    return lines.select("value", F.split("value", _literal(separator), -1).alias("cells"))
 
 
-def _first_fields(spark: SparkSession, path: str, separator: str) -> list[str]:
+def _literal(text: str) -> str:
+    """``text`` as a pattern that fits only itself."""
+    return "".join(f"\\{mark}" if mark in "\\.[]{}()*+?^$|" else mark for mark in text)
+
+
+def _rows(cells: DataFrame, names: list[str], header: str | None) -> DataFrame:
+    """All columns as text: short rows end in NULLs, empty cells are NULL, rows with too many cells are left out.
+
+    Which rows there are depends on the lines alone, not on the columns that are read later.
+    """
+    kept = cells.filter(F.size("cells") <= len(names))
+    if header is not None:
+        kept = kept.filter(F.col("value") != header)
+    return kept.select(*[F.nullif(F.get("cells", F.lit(at)), F.lit("")).alias(name) for at, name in enumerate(names)])
+
+
+def _layout(spark: SparkSession, path: str, separator: str) -> tuple[list[str], str | None]:
+    """Column names and, if the file names them itself, the line that does."""
     line = spark.read.text(path).head()
-    return [""] if line is None else line.value.rstrip("\r").split(separator)
+    first = [""] if line is None else line.value.split(separator)
+    if "question_id" in first:
+        return first, line.value
+    return list(EXPORT_COLUMNS[: len(first)]), None
 
 
 def load_export(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """A question export with or without a header (S3). Texts rich in commas need a stated separator."""
+    """A question export with or without a header (S3). Texts rich in commas need a stated separator.
+
+    Lines with more cells than columns are left out; ``rejected_lines`` has them.
+    """
     separator = separator or detect_separator(spark, path)
-    first = _first_fields(spark, path, separator)
-    header = "question_id" in first
-    names = first if header else list(EXPORT_COLUMNS[: len(first)])
-    rows = _read(spark, path, names, separator, header)
+    names, header = _layout(spark, path, separator)
+    rows = _rows(_cells(spark, path, separator), names, header)
     for name in KEY_COLUMNS:
         if name not in names:
             rows = rows.withColumn(name, F.lit(""))
     return rows
 
 
+def rejected_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """The lines that a loader leaves out for having too many cells, and how many they have."""
+    separator = separator or detect_separator(spark, path)
+    names, _ = _layout(spark, path, separator)
+    cells = _cells(spark, path, separator).filter(F.size("cells") > len(names))
+    return cells.select(F.col("value").alias("line"), F.size("cells").alias("n_cells"))
+
+
 def load_legacy(
     spark: SparkSession, path: str, separator: str | None = None, first_row: bool = False
 ) -> DataFrame:
     """A header-less file with a few known positions and an options column to find."""
     separator = separator or detect_separator(spark, path)
-    width = len(_first_fields(spark, path, separator))
+    line = spark.read.text(path).head()
+    width = 1 if line is None else len(line.value.split(separator))
     names = [LEGACY_POSITIONS.get(place, f"column_{place}") for place in range(width)]
-    return name_options(_read(spark, path, names, separator, header=False), first_row)
+    return name_options(_rows(_cells(spark, path, separator), names, None), first_row)
 
 
 def name_options(rows: DataFrame, first_row: bool = False) -> DataFrame:
     """Renames the rightmost column whose values look like answer options.
 
-    Most of up to 1000 filled values must match; ``first_row`` looks at one row only.
+    Most of a column's filled values must match, over all rows; ``first_row`` looks at one row only.
     """
     texts = [name for name in rows.columns if rows.schema[name].dataType == StringType()]
-    sample = rows.limit(1 if first_row else OPTION_SAMPLE)
-    votes = sample.agg(
+    if not texts:
+        return rows
+    voters = rows.limit(1) if first_row else rows
+    votes = voters.agg(
         *[F.count_if(looks_like_options(F.col(name))).alias(f"{name}_hits") for name in texts],
         *[F.count_if(F.length(F.trim(name)) > 0).alias(f"{name}_filled") for name in texts],
     ).first()

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quizgrove.operators.replicate import incremental_rows, latest_per_key
+from quizgrove.operators.replicate import incremental_rows, latest_per_key, one_per_key
+from quizgrove.session import saved
 from quizgrove.sources import changes as change_source
 
 KEYS = ("snapshot_date", "student_id")
+#: Folder of the rows whose table is not listed.
+UNROUTED = "_unrouted_"
 
 
 def _batch_path(root: str, batch_id: int) -> str:
@@ -118,13 +121,19 @@ def with_snapshot(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str] =
 
 
 def split_tables(root: str, tables: Sequence[str]):
-    """Batch function that routes a multi-table feed to one folder per table."""
+    """Batch function that routes a multi-table feed to one folder per table.
+
+    Rows of tables not listed go to ``UNROUTED`` with their table's name, so that no row is lost whose offset counts
+    as read. The batch is worked out once and written for all tables from there.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        rows = change_source.routed(batch)
+        rows = saved(change_source.routed(batch), "routed")
+        listed = F.coalesce(F.col("table").isin(*tables), F.lit(False))
         for name in tables:
             part = rows.filter(F.col("table") == name)
             part.drop("table").write.mode("overwrite").parquet(_batch_path(f"{root}/{name}", batch_id))
+        rows.filter(~listed).write.mode("overwrite").parquet(_batch_path(f"{root}/{UNROUTED}", batch_id))
 
     return work
 
@@ -133,6 +142,10 @@ def table_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
     return _read_batches(spark, f"{root}/{name}", "kafka_offset bigint, topic string, value string")
 
 
+def unrouted_rows(spark: SparkSession, root: str) -> DataFrame:
+    return _read_batches(spark, f"{root}/{UNROUTED}", "table string, kafka_offset bigint, topic string, value string")
+
+
 # --- high-water-mark copy --------------------------------------------------------------------
 
 
@@ -144,7 +157,7 @@ def incremental_batch(
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         held = copied(spark, root, start_table, batch_id)
-        rows = incremental_rows(batch, held, column, keys, empty_floor).dropDuplicates(list(keys))
+        rows = one_per_key(incremental_rows(batch, held, column, keys, empty_floor), keys)
         rows.select(*start_table.columns).write.mode("overwrite").parquet(_batch_path(root, batch_id))
 
     return work

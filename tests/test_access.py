@@ -198,4 +198,4 @@ def test_lineage_of_long_chains_and_cycles(spark):
     assert all(r.origin_id == 0 and r.depth == r.question_id for r in rows) and len(rows) == 200
     cycle = spark.createDataFrame([(1, 2), (2, 1)], "question_id long, parent_id long")
     with pytest.raises(ValueError):
-        editing.fork_lineage(cycle, max_rounds=4)
+        editing.fork_lineage(cycle)

@@ -114,3 +114,22 @@ def test_bucketed_table_joins_without_shuffle(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP DATABASE bank CASCADE")
+
+
+def test_rows_do_not_depend_on_the_columns_read(spark, tmp_path):
+    for separator in (",", "|", "\t"):
+        lines = ["question_id,content,answer", "1,a,b", "2,short", "3,a,b,c,d", "", "4,,b"]
+        path = put(tmp_path, f"m{ord(separator)}.csv", "\n".join(lines).replace(",", separator) + "\n")
+        rows = files.load_export(spark, path, separator)
+        assert rows.count() == len(rows.collect()) == 3
+        assert [r.question_id for r in rows.select("question_id").collect()] == ["1", "2", "4"]
+        assert sum(r["count"] for r in rows.groupBy("answer").count().collect()) == 3
+        assert rows.filter("question_id = '4'").first().content is None
+        rejected = files.rejected_lines(spark, path, separator).collect()
+        assert [(r.line.split(separator)[0], r.n_cells) for r in rejected] == [("3", 5)]
+
+
+def test_options_are_found_by_all_rows(spark, tmp_path):
+    lines = [f"{i},s,,t,,g,,,d,,text,{'A. x' if i >= 1000 else ''},ans,list,ana" for i in range(3000)]
+    rows = files.load_legacy(spark, put(tmp_path, "late.csv", "\n".join(lines) + "\n"), ",")
+    assert rows.filter("options = 'A. x'").count() == 2000

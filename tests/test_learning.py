@@ -4,21 +4,22 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quizgrove.operators import learning, ranking
 
 
-@pytest.mark.parametrize("split_over", [0, 10**9])
-def test_positions_and_percentiles_with_a_hot_group(spark, split_over, monkeypatch):
+@pytest.mark.parametrize("ranges", [2, 16, 256])
+def test_positions_and_percentiles_with_a_hot_group(spark, ranges):
     rng = random.Random(2)
     rows = [("hot", float(rng.choice([7, rng.randrange(200)]))) for _ in range(900)] + [("cold", 1.0), ("cold", 3.0)]
+    rows += [(None, float(rng.randrange(9))) for _ in range(40)]
     frame = spark.createDataFrame(rows, "g string, x double")
-    found = ranking.value_positions(frame, ["g"], "x", ranges=16, split_over=split_over).collect()
-    for group in ("hot", "cold"):
+    found = ranking.value_positions(frame, ["g"], "x", ranges=ranges).collect()
+    for group in ("hot", "cold", None):
         values = sorted(x for g, x in rows if g == group)
         mine = {r.x: (r.n, r.before, r.total) for r in found if r.g == group}
         assert mine == {x: (values.count(x), sum(v < x for v in values), len(values)) for x in set(values)}
-    monkeypatch.setattr(ranking, "SPLIT_OVER", split_over)
     points = {"a": 0.0, "b": 0.333, "c": 0.9, "d": 1.0}
     got = {r.g: r for r in ranking.percentiles(frame, ["g"], "x", points).collect()}
     for group in got:
@@ -67,3 +68,19 @@ def test_time_to_clear_needs_a_later_day(spark):
     assert got == {"a": 3, "b": None}
     effect = {r.student_id: (r.before, r.after) for r in learning.intervention_effect(rows, "high").collect()}
     assert effect == {"a": (0.9, 0.65), "b": (None, 0.4)}
+
+
+def test_null_groups_are_groups(spark):
+    frame = spark.createDataFrame(
+        [(None, 1.0), (None, 2.0), (None, 6.0), ("a", 1.0), ("a", 1.0), ("a", 3.0)], "topic string, score double"
+    )
+    scores = learning.standard_scores(frame, "topic", "score").collect()
+    assert sum(r.n for r in scores if r.topic is None) == 3 and sum(r.n for r in scores if r.topic == "a") == 3
+    boxes = {r.topic: r for r in learning.box_plot(frame, "topic", "score").collect()}
+    assert boxes[None].median == 2.0 and boxes["a"].median == 1.0
+    tries = attempts(spark, [(1, None, 1), (1, "t", 0), (2, None, 0), (2, "t", 1)])
+    shares = {(r.topic, r.learner_id): r.share for r in learning.contribution(tries).collect()}
+    assert shares[None, 1] == 1.0 and shares["t", 2] == 1.0 and len(shares) == 4
+    assert {r.teacher_id: r.n for r in learning.value_added(tries).collect()} == {1: 2, 2: 2}
+    lifts = learning.association(tries.withColumn("kind", F.lit(None).cast("string")), "kind", "topic").collect()
+    assert {r.topic: r.lift for r in lifts} == {None: 1.0, "t": 1.0}

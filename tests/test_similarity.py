@@ -141,3 +141,20 @@ def test_provider_rows(spark):
     )
     rows = recommend.flatten_responses(responses).orderBy("question_id").collect()
     assert [(r.question_id, r.type_id, r.content, r.options) for r in rows] == [(5, 2, "q", ""), (6, 1, "", "")]
+
+
+def test_an_embedder_runs_once_for_each_query(spark, tmp_path):
+    mark = str(tmp_path)
+
+    @F.udf("array<double>")
+    def embed(text):
+        import os
+        import uuid
+
+        open(os.path.join(mark, f"{text}-{uuid.uuid4().hex}"), "w").close()
+        return [1.0, 0.0]
+
+    queries = spark.createDataFrame([("a",), ("b",)], "query_id string").withColumn("embedding", embed("query_id"))
+    corpus = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "item_id string, embedding array<double>")
+    assert top_k_similar(queries, corpus, 1).count() == 2
+    assert sorted(p.name[0] for p in tmp_path.iterdir()) == ["a", "b"]
