@@ -31,7 +31,7 @@ def embed(
 ) -> DataFrame:
     """Adds a unit-length ``embedding`` of a text column.
 
-    Without an embedder the built-in hashed words are used and no Python worker is started. An
+    Without an embedder the built-in hashed words are used. An
     embedder gets at most ``batch_size`` texts a call and is tried again when it fails.
     """
     if embedder is None:
@@ -322,7 +322,8 @@ def sample_row(items: DataFrame, text: Column, seed: int, minimum: int = 5) -> D
     """One repeatable pick: longer contents first, then any row with a text, then any row."""
     long_enough = F.coalesce(F.length(F.trim("content")) > minimum, F.lit(False))
     rank = F.when((F.length(text) > 0) & long_enough, 0).when(F.length(text) > 0, 1).otherwise(2)
-    return items.orderBy(rank, F.xxhash64(F.col("question_id"), F.lit(seed)), "question_id").limit(1)
+    drawn = F.md5(F.concat_ws("/", F.col("question_id").cast("string"), F.lit(str(seed))))
+    return items.orderBy(rank, drawn, "question_id").limit(1)
 
 
 def keyword_pick(items: DataFrame, words: Sequence[str], order: str, last: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizgrove.functions.values import days_behind, latency_ms
+from quizgrove.operators.ranking import percentiles
 
 # Fixed value: row gap below which the copy counts as healthy.
 HEALTHY_GAP = 1000
@@ -183,6 +184,12 @@ def latency(changes: DataFrame, as_of: Column, last: int | None = 10) -> DataFra
     )
 
 
+def latency_percentile(changes: DataFrame, as_of: Column, fraction: float = 0.99) -> DataFrame:
+    """Interpolated percentile of the latency of all changes, in milliseconds."""
+    rows = changes.filter(F.col("ts_ms").isNotNull()).select(latency_ms(as_of, F.col("ts_ms")).alias("delay"))
+    return percentiles(rows, [], "delay", {f"p{round(100 * fraction)}_ms": fraction})
+
+
 def value_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Frequencies of several columns in one pass, most frequent first, NULL left out (A10)."""
     long = rows.select(*[F.col(name).cast("string").alias(name) for name in columns]).unpivot(

@@ -146,12 +146,16 @@ def filtered_page(spark, sf_dir):
 @query(
     "x6_visibility_check",
     f"""{with_views("f_user", "f_user_org", "f_question", "f_acl", "f_pair")},
-hit AS (
- SELECT p.user_id, p.question_id FROM f_pair p JOIN f_question q USING (question_id) JOIN f_user_org m ON m.user_id=p.user_id
-  LEFT JOIN f_acl a ON a.resource_id=q.question_id AND a.perm_level>=0 AND a.review_status='approved'
-  WHERE {_COVERS["segment"]} OR {_GRANTED}
- UNION SELECT p.user_id, p.question_id FROM f_pair p JOIN f_question q USING (question_id)
-  JOIN f_user u ON u.user_id=p.user_id WHERE u.user_type='sysadmin')
+pair AS MATERIALIZED (SELECT p.user_id, p.question_id, q.org_path FROM f_pair p JOIN f_question q USING (question_id)),
+member AS MATERIALIZED (SELECT DISTINCT user_id, org_id, org_path FROM f_user_org),
+granted AS MATERIALIZED (SELECT DISTINCT resource_id, grantee_type, grantee_id FROM f_acl WHERE perm_level>=0 AND review_status='approved'),
+hit AS MATERIALIZED (
+ SELECT q.user_id, q.question_id FROM pair q JOIN member m ON m.user_id=q.user_id WHERE {_COVERS["segment"]}
+ UNION SELECT q.user_id, q.question_id FROM pair q JOIN member m ON m.user_id=q.user_id
+  JOIN granted a ON a.resource_id=q.question_id AND a.grantee_id=q.user_id WHERE a.grantee_type='user'
+ UNION SELECT q.user_id, q.question_id FROM pair q JOIN member m ON m.user_id=q.user_id
+  JOIN granted a ON a.resource_id=q.question_id AND a.grantee_id=m.org_id WHERE a.grantee_type='org'
+ UNION SELECT q.user_id, q.question_id FROM pair q JOIN f_user u ON u.user_id=q.user_id WHERE u.user_type='sysadmin')
 SELECT p.user_id, p.question_id, h.user_id IS NOT NULL visible
 FROM f_pair p LEFT JOIN hit h ON h.user_id=p.user_id AND h.question_id=p.question_id""",
 )
@@ -165,11 +169,14 @@ def visibility_check(spark, sf_dir):
 def _edit_sql(approved_only: bool) -> str:
     review = " AND a.review_status='approved'" if approved_only else ""
     return f"""{with_views("f_user_org", "f_question", "f_acl", "f_pair")},
-hit AS (SELECT DISTINCT p.user_id, p.question_id FROM f_pair p JOIN f_question q USING (question_id)
- LEFT JOIN f_acl a ON a.resource_id=q.question_id AND a.perm_level>=1{review}
- WHERE q.creator_id=p.user_id OR (a.grantee_type='user' AND a.grantee_id=p.user_id)
-  OR (a.grantee_type='org' AND EXISTS (SELECT 1 FROM f_user_org m
-   WHERE m.user_id=p.user_id AND m.org_id=a.grantee_id AND {_LIVE})))
+pair AS MATERIALIZED (SELECT p.user_id, p.question_id, q.creator_id FROM f_pair p JOIN f_question q USING (question_id)),
+granted AS MATERIALIZED (SELECT DISTINCT a.resource_id, a.grantee_type, a.grantee_id FROM f_acl a WHERE a.perm_level>=1{review}),
+member AS MATERIALIZED (SELECT DISTINCT user_id, org_id FROM f_user_org m WHERE {_LIVE}),
+hit AS MATERIALIZED (SELECT user_id, question_id FROM pair WHERE creator_id=user_id
+ UNION SELECT p.user_id, p.question_id FROM pair p JOIN granted a ON a.resource_id=p.question_id AND a.grantee_id=p.user_id
+  WHERE a.grantee_type='user'
+ UNION SELECT p.user_id, p.question_id FROM pair p JOIN member m ON m.user_id=p.user_id
+  JOIN granted a ON a.resource_id=p.question_id AND a.grantee_id=m.org_id WHERE a.grantee_type='org')
 SELECT p.user_id, p.question_id, h.user_id IS NOT NULL can_overwrite
 FROM f_pair p LEFT JOIN hit h ON h.user_id=p.user_id AND h.question_id=p.question_id"""
 
@@ -406,10 +413,11 @@ FROM {acl} JOIN {question} ON question_id=resource_id WHERE review_status='pendi
 @query(
     "x11_resolve",
     f"""{with_views("f_user", "f_question", "f_acl")},
-decision AS ({_DECISIONS.format(acl="f_acl", question="f_question")}),
-allowed AS (SELECT d.* FROM decision d JOIN f_question q ON q.question_id=d.resource_id
- LEFT JOIN f_user u ON u.user_id=d.approver_id
- WHERE d.action IN ('approve','reject') AND (q.creator_id=d.approver_id OR u.user_type='sysadmin'))
+decision AS MATERIALIZED ({_DECISIONS.format(acl="f_acl", question="f_question")}),
+judged AS MATERIALIZED (SELECT d.*, q.creator_id FROM decision d JOIN f_question q ON q.question_id=d.resource_id
+ WHERE d.action IN ('approve','reject')),
+allowed AS MATERIALIZED (SELECT * FROM judged WHERE creator_id=approver_id
+ UNION SELECT d.* FROM judged d JOIN f_user u ON u.user_id=d.approver_id WHERE u.user_type='sysadmin')
 SELECT a.acl_id, a.resource_id, a.grantee_id,
  CASE d.action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE a.review_status END review_status,
  d.approver_id

@@ -96,6 +96,20 @@ def search(spark, sf_dir):
     return recommend.search(asked, items, 10, {"subject_id": 18, "grade_id": 2, "unknown": 5}).select(*_SEARCH_COLUMNS)
 
 
+@query(
+    "r2_text_search",
+    f"""{with_views("f_item")}, {_SCORED},
+{_ranked_sql("top", 3, "query_id%100=0")}
+{_SHOWN.format(source="top")}""",
+)
+def text_search(spark, sf_dir):
+    # the vectors of f_item stand for what an embedder returns for their questions' texts
+    items = _items(spark, sf_dir)
+    texts = items.filter("question_id%100=0").select(F.col("question_id").alias("query_id"), F.col("embedding").alias("query_text"))
+    asked = recommend.queries_by_text(texts, lambda text: text)
+    return recommend.search(asked, items, 3, exclude_self=False).select(*_SEARCH_COLUMNS)
+
+
 @query(
     "t5_overfetch",
     f"""{with_views("f_item")}, {_SCORED}, {_ranked_sql("wide", 30, "true")},
@@ -219,7 +233,12 @@ def shape(spark, sf_dir):
     return recommend.with_payload(found, items).select(*_SEARCH_COLUMNS)
 
 
-@query("t8_sample")
+@query(
+    "t8_sample",
+    f"""SELECT doc_id question_id, text "content" FROM documents ORDER BY CASE
+ WHEN length({clean_sql("text")})>0 AND coalesce(length(trim(text)),0)>5 THEN 0 WHEN length({clean_sql("text")})>0 THEN 1 ELSE 2 END,
+ md5(concat(doc_id,'/7')), doc_id LIMIT 1""",
+)
 def sample(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.col("text").alias("content"))
     return recommend.sample_row(documents, text.clean_html(F.col("content")), seed=7)

@@ -343,6 +343,15 @@ def latency_all(spark, sf_dir):
     return replicate.latency(_changes(spark, sf_dir), F.lit("2024-06-01T00:00:00Z").cast("timestamp"), last=None)
 
 
+@query(
+    "c13_latency_p99",
+    f"""{_PARSED} SELECT round(quantile_cont(CAST({_AS_OF_MS}-ts_ms AS DOUBLE),0.99),3) p99_ms FROM change WHERE ts_ms IS NOT NULL""",
+)
+def latency_p99(spark, sf_dir):
+    found = replicate.latency_percentile(_changes(spark, sf_dir), F.lit("2024-06-01T00:00:00Z").cast("timestamp"))
+    return found.select(F.round("p99_ms", 3).alias("p99_ms"))
+
+
 @query("s12_route", f"""{with_views("f_change")} SELECT kafka_offset, split_part(topic,'.',3) "table" FROM f_change""")
 def route(spark, sf_dir):
     return changes.routed(table(spark, sf_dir, "f_change")).select("kafka_offset", "table")
