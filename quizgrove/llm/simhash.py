@@ -120,10 +120,13 @@ def keys(prints: DataFrame, most: int) -> DataFrame:
 def linked(prints: DataFrame, most: int) -> DataFrame:
     """print and component (the least fingerprint it is linked to, over any chain) of different fingerprints."""
     buckets = keys(prints, most)
-    # a bucket that is no print's own holds no pair that it alone would show
-    shared = buckets.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("top"), F.max("own").alias("owned"))
-    shared = saved(shared.filter("least < top AND owned").drop("owned"), "shared-buckets")
-    members = saved(buckets.join(shared, "key"), "buckets")
+    own = buckets.filter("own")
+    # the few own keys are grouped, the many changed ones only looked up among them, once
+    owned = saved(own.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("top")), "own-buckets")
+    met = saved(buckets.filter("NOT own").join(owned, "key"), "changed-in-own")
+    shared = met.select("key").union(owned.filter("least < top").select("key")).distinct()
+    shared = saved(shared.join(owned, "key"), "shared-buckets")
+    members = met.unionByName(saved(own.join(shared, "key"), "owners"))
     stars = [
         members.filter((differing(F.col("print"), F.col(hub)) <= most) & (F.col("print") != F.col(hub)))
         .select(F.col(hub).alias("a"), F.col("print").alias("b"))
