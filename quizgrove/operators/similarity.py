@@ -80,7 +80,8 @@ def top_k_similar(
     embedder runs once for each. Blocks of the corpus hold ``corpus_block`` rows, by default as many as
     take ``BLOCK_BYTES``.
     """
-    queries = saved(queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()), "query-vectors")
+    # the filter comes after, or it would run the embedder a second time
+    queries = saved(queries.select("query_id", "embedding"), "query-vectors").filter(F.col("embedding").isNotNull())
     corpus = corpus.select("item_id", "embedding").filter(F.col("embedding").isNotNull())
     schema = _RESULT.format(
         id_type=queries.schema["query_id"].dataType.simpleString(),
