@@ -5,7 +5,8 @@ its quality weight. A source gives as many whole epochs as its target holds; the
 documents with the least keys, in order, until their sizes add up to it.
 
 No source is ordered as a whole: keys fall into buckets of some thousand documents, sizes are added up by bucket
-before they are shuffled, and only the bucket in which a source's budget ends is sorted.
+before they are shuffled, and only the bucket in which a source's budget ends is sorted. Where weights are so
+uneven that this bucket is large, it is cut by its own range of keys until it is not.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Documents in a bucket, on average.
 BUCKET_ROWS = 4096
+#: A bucket in which a budget ends is cut further while it holds more documents than this.
+END_ROWS = 64 * BUCKET_ROWS
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,36 +85,63 @@ def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(counted(table), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
+def ending(sums: DataFrame, rest: DataFrame, budget: str) -> DataFrame:
+    """of (the source) and end: what the part in which its budget ends leaves of it, its least and greatest key and rows.
+
+    ``sums``: source, part (ascending with the keys), size, low, high, rows. ``rest`` has the budget of each source.
+    """
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = by_source(sums.withColumn("upto", F.sum("size").over(upto)), rest.select("source", budget))
+    left = (F.col(budget) - F.col("upto") + F.col("size")).alias("left")
+    ends = sums.filter(F.col("upto") > F.col(budget)).groupBy(F.col("source").alias("of"))
+    return ends.agg(F.min(F.struct("part", left, "low", "high", "rows")).alias("end"))
+
+
+def narrowed(slim: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with each large ending bucket cut into even ranges of its keys, and the one in which the budget ends kept."""
+    wide = plan.filter((F.col("rows") > END_ROWS) & (F.col("low") < F.col("high")))
+    wide = wide.select("source", "left", "low", "high", F.ceil(F.col("rows") / BUCKET_ROWS).alias("parts"))
+    inside = by_source(slim.select("source", "size", "key"), wide.drop("left")).filter("key BETWEEN low AND high")
+    part = F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("parts"))
+    ends = ending(part_sums(inside, F.least(F.col("parts") - 1, part)), wide, "left")
+    both = plan.join(ends, F.col("source").eqNullSafe(F.col("of")), "left")
+    newer = [F.coalesce(f"end.{name}", name).alias(name) for name in ("left", "low", "high", "rows")]
+    return both.select("source", "source_size", "target", "epochs", *newer)
+
+
+def part_sums(rows: DataFrame, part: Column) -> DataFrame:
+    sums = (F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("rows"))
+    return rows.groupBy("source", part.alias("part")).agg(*sums)
+
+
 def budgets(slim: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
-    """One row a source: its size and target, the whole epochs, its buckets, and the bucket in which the rest of the
-    target ends, with what the buckets before that leave of it."""
+    """One row a source: its size and target, the whole epochs, the keys (low to high) of the bucket in which the rest
+    of the target ends, its rows, and what the documents before it leave of the rest."""
     targets = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = source_targets(targets, weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("epochs", epochs.cast("long"))
     targets = targets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     targets = saved(targets.withColumn("buckets", F.ceil(F.col("docs") / BUCKET_ROWS).cast("long")), "mix-targets")
-    sums = by_source(slim, targets.select("source", "buckets"))
-    sums = sums.groupBy("source", bucket_of(F.col("key"), F.col("buckets")).alias("bucket")).agg(F.sum("size").alias("size"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = by_source(sums.withColumn("upto", F.sum("size").over(upto)), targets.select("source", "budget"))
-    left = F.col("budget") - F.col("upto") + F.col("size")
-    ends = sums.filter("upto > budget").groupBy("source").agg(F.min(F.struct("bucket", left.alias("left"))).alias("end"))
-    ends = ends.select(F.col("source").alias("of"), F.col("end.bucket").alias("end"), F.col("end.left").alias("left"))
+    sums = part_sums(by_source(slim, targets.select("source", "buckets")), bucket_of(F.col("key"), F.col("buckets")))
+    ends = ending(sums, targets, "budget")
     plan = targets.join(ends, F.col("source").eqNullSafe(F.col("of")), "left")
-    return saved(plan.select("source", "source_size", "target", "epochs", "buckets", "end", "left"), "mix-plan")
+    plan = saved(plan.select("source", "source_size", "target", "epochs", "end.left", "end.low", "end.high", "end.rows"), "mix-plan")
+    while not plan.filter((F.col("rows") > END_ROWS) & (F.col("low") < F.col("high"))).isEmpty():
+        plan = saved(narrowed(slim, plan), "mix-plan")
+    return plan
 
 
 def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of ``drawn`` with their source's source_size and target, and copies: the times each is taken."""
-    rows = by_source(rows, plan).withColumn("bucket", bucket_of(F.col("key"), F.col("buckets")))
-    ending = F.coalesce(F.col("bucket") == F.col("end"), F.lit(False)) & (F.col("size") > 0)
-    earlier = F.coalesce(F.col("bucket") < F.col("end"), F.lit(False)) & (F.col("size") > 0)
-    certain = rows.filter(~ending).withColumn("more", earlier.cast("long"))
+    rows = by_source(rows, plan.drop("rows"))
+    here = F.coalesce(F.col("key").between(F.col("low"), F.col("high")), F.lit(False)) & (F.col("size") > 0)
+    earlier = F.coalesce(F.col("key") < F.col("low"), F.lit(False)) & (F.col("size") > 0)
+    certain = rows.filter(~here).withColumn("more", earlier.cast("long"))
     in_order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "tie")
     whole = Window.partitionBy("source")
     upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = rows.filter(ending).withColumn("upto", F.sum("size").over(upto)).withColumn("place", F.row_number().over(in_order))
+    last = rows.filter(here).withColumn("upto", F.sum("size").over(upto)).withColumn("place", F.row_number().over(in_order))
     fits = F.col("upto") <= F.col("left")
     last = last.withColumn("rest", F.col("left") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(whole), F.lit(0)))
     off = F.abs(F.col("size") - F.col("rest"))

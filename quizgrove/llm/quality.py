@@ -230,9 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = known.agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     known = known.select("doc_id", F.col("low").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most sample_rows rows
-    rows = count_texts(texts, "counts").select("doc_id", "quality", "counts.*").orderBy("doc_id", *COUNTS).toPandas()
-    # repeated ids can't make the sample larger than its bound
-    rows = rows.drop_duplicates("doc_id").reset_index(drop=True)
+    # one row an id: repeated ids can't make the sample larger than its bound
+    rows = count_texts(texts, "counts").groupBy("doc_id", "quality").agg(F.min("counts").alias("counts"))
+    rows = rows.select("doc_id", "quality", "counts.*").toPandas().sort_values("doc_id", ignore_index=True)
     good = rows["quality"].to_numpy(dtype=np.float64)
     if len(np.unique(good)) < 2:
         return keep_all()

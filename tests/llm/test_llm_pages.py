@@ -138,6 +138,19 @@ def test_mix_matches_plain_version(spark, monkeypatch, seed, bucket_rows):
     assert mixing.mix_table(docs.limit(0)).collect() == []
 
 
+def test_large_ending_buckets_are_cut(spark, monkeypatch):
+    rows = [(i, " ".join(["字" * (i % 90 + 1)] * (i % 7 + 1)), "ab"[i % 2]) for i in range(600)] + [(None, "x y", "a")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = brute.copies(rows)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(mixing, "END_ROWS", 8)
+    slim = mixing.drawn(docs, mixing.SEED, "doc_id")
+    assert all(r["rows"] <= 8 or r["low"] == r["high"] for r in mixing.budgets(slim, mixing.WEIGHTS, 3).collect())
+    found = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix_table(docs).collect() if r["doc_id"] is not None}
+    # only the one document that closes a source's budget may be another
+    assert sum(abs(found[i] - n) for (i, _, _), n in zip(rows, plain, strict=True) if i is not None) <= 4
+
+
 def test_taken_words_come_near_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     by_source = mixing.mix_table(docs.select("doc_id", "text", "source")).join(docs.select("doc_id", "source"), "doc_id")
