@@ -343,6 +343,21 @@ def overview_stats(
     )
 
 
+def visible_totals(
+    users: DataFrame,
+    question: DataFrame,
+    user_org: DataFrame,
+    acl: DataFrame,
+    rules: AccessRules = AccessRules(),
+    criteria: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """Length of every user's list under the criteria of a listing, as ``total_questions`` (A3).
+
+    A question counts once, however many grants reach it. Super administrators see every enabled question.
+    """
+    return overview_stats(users, matching(question, criteria or {}), user_org, acl, {}, rules)
+
+
 # --- listing ---------------------------------------------------------------------------------
 
 def _by_age() -> list[Column]:
@@ -521,16 +536,20 @@ def edit_check(
     held = acl.filter(F.col("perm_level") >= 1).withColumnRenamed("resource_id", "question_id")
     if require_approved:
         held = held.filter(F.col("review_status") == rules.words.approved)
-    known = question.select("question_id", "creator_id")
-    asked = pairs.join(known, "question_id")
+    classes = membership_classes(memberships(user_org, rules))
+    known = pairs.join(question.select("question_id", "creator_id"), "question_id")
+    asked = saved(known.join(classes.users, "user_id", "left"), "asked-edits")
     own = asked.filter(F.col("creator_id") == F.col("user_id")).select("user_id", "question_id")
-    asked = asked.select("user_id", "question_id")
-    by_user = asked.join(_user_grants(held), ["user_id", "question_id"], "left_semi")
-    orgs = memberships(user_org, rules).select("user_id", "org_id").distinct()
-    by_org = asked.join(orgs, "user_id").join(_org_grants(held), ["question_id", "org_id"], "left_semi")
-    allowed = (
-        own.union(by_user).union(by_org.select("user_id", "question_id")).distinct().withColumn("can_overwrite", F.lit(True))
-    )
+    by_user = asked.select("user_id", "question_id").join(_user_grants(held), ["user_id", "question_id"], "left_semi")
+    # users with the same memberships ask for a question once
+    class_hits = (
+        asked.select("class_id", "question_id").distinct()
+        .join(classes.members.select("class_id", "org_id"), "class_id")
+        .join(_org_grants(held), ["question_id", "org_id"], "left_semi")
+        .select("class_id", "question_id")
+    )
+    by_org = asked.join(class_hits, ["class_id", "question_id"], "left_semi").select("user_id", "question_id")
+    allowed = own.union(by_user).union(by_org).distinct().withColumn("can_overwrite", F.lit(True))
     return pairs.join(allowed, ["user_id", "question_id"], "left").withColumn(
         "can_overwrite", F.coalesce("can_overwrite", F.lit(False))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quizgrove.functions import paths
 from quizgrove.operators.access import AccessRules, Words, edit_check
-from quizgrove.session import new_folder
+from quizgrove.session import new_folder, saved
 
 
 def create_questions(
@@ -68,6 +68,7 @@ def apply_edits(
     judged = edits.join(rights, ["user_id", "question_id"]).withColumn(
         "in_place", F.col("can_overwrite") & F.coalesce("overwrite", F.lit(False))
     )
+    judged = saved(judged, "judged-edits")  # overwrites and forks both read it
     # by time if the edits have one, else by their number: a longer id is a later one
     number = [F.char_length("edit_id"), F.col("edit_id")]
     order = F.struct(*([F.col("edited_at")] if "edited_at" in edits.columns else []), *number)

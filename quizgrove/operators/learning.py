@@ -380,6 +380,25 @@ def mastery_map(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("learner_id", "topic").agg(F.round(rate, 9).alias("rate"), level.alias("level"))
 
 
+def learning_styles(attempts: DataFrame) -> DataFrame:
+    """Learners who rate themselves above their results are confident, the others careful."""
+    confident = F.avg("self_rating") > F.avg("correct")
+    return attempts.groupBy("learner_id").agg(F.when(confident, "confident").otherwise("careful").alias("style"))
+
+
+def strategy_match(attempts: DataFrame, styles: DataFrame, strategy: str) -> DataFrame:
+    """How well each strategy fits each learning style, and which suits it best.
+
+    ``styles``: learner_id, style. ``fit`` is the share of right answers; of equal fits the one with more attempts
+    suits, then the lesser name.
+    """
+    rows = null_safe_join(attempts.select("learner_id", strategy, "correct"), styles, ["learner_id"])
+    cells = rows.groupBy("style", strategy).agg(_mean("correct").alias("fit"), F.count("*").alias("n"))
+    order = Window.partitionBy("style").orderBy(F.col("fit").desc_nulls_last(), F.col("n").desc(), strategy)
+    # a row per style and strategy is left here
+    return cells.withColumn("suits", F.row_number().over(order) == 1)
+
+
 def list_quality(found: DataFrame, external: DataFrame, items: DataFrame) -> DataFrame:
     """Hit rate, share of items ever recommended, and diversity of the lists.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from quizgrove.functions import text as text_functions
 from quizgrove.functions.vectors import hashed_embedding
 from quizgrove.operators.access import matching
 from quizgrove.operators.similarity import top_k_similar
+from quizgrove.session import saved
 
 Embedder = Callable[[list[str]], "np.ndarray"]
 
@@ -229,6 +231,32 @@ def growth(base: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+def closed_loop(
+    items: DataFrame,
+    batches: Sequence[DataFrame],
+    add: Callable[[DataFrame, DataFrame], DataFrame],
+    evaluate: Callable[[DataFrame], DataFrame],
+) -> tuple[DataFrame, DataFrame]:
+    """Rounds of enriching, embedding and evaluating (R11): the items after the last round, and a row for each round.
+
+    ``add(items, batch)`` gives the new rows of a round's outside responses with their embeddings, such as
+    ``add_questions``. ``evaluate(items)`` gives total, found and success of each query, such as
+    ``ranks_of_marked``. What a round adds is saved, so that no text is embedded twice and the plan grows by one scan.
+    """
+    rounds = []
+    for number, batch in enumerate(batches):
+        fresh = saved(add(items, batch), "loop-added")
+        before, items = items, append(items, fresh)
+        outcome = evaluate(items).agg(
+            F.count("*").alias("queries"), F.count_if("success").alias("successful"),
+            F.coalesce(F.sum("found"), F.lit(0)).alias("found"),
+            F.round(F.try_divide(F.sum("found"), F.sum("total")), 6).alias("recall"),
+        )
+        sizes = [side.agg(F.count("*").alias("n")).select("n").scalar().alias(name) for side, name in ((before, "before"), (fresh, "added"))]
+        rounds.append(saved(outcome.select(F.lit(number).alias("iteration"), *sizes, *outcome.columns), "loop-round"))
+    return items, reduce(DataFrame.unionByName, rounds)
+
+
 def loop_report(growth_rows: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Totals over all rounds (A13). ``outcomes``: iteration, success, seconds."""
     joined = outcomes.join(growth_rows.select("iteration", "added"), "iteration", "left")

@@ -78,28 +78,28 @@ def overview_stats_compat(spark, sf_dir):
     )
 
 
-def _rows_sql(mode: str) -> str:
+def _rows_sql(mode: str, wanted: str = "") -> str:
     return f"""{with_views("f_user", "f_user_org", "f_question", "f_acl")},
 rows AS (SELECT DISTINCT m.user_id, q.question_id, q.created_at,
   CASE WHEN q.creator_id=m.user_id OR (a.perm_level>=1 AND ({_GRANTED})) THEN 1 ELSE 0 END can_edit
  FROM f_question q JOIN f_user_org m ON m.{_LIVE.strip("()").replace(" OR expires_at", " OR m.expires_at")}
  LEFT JOIN f_acl a ON a.resource_id=q.question_id AND a.perm_level>=0 AND a.review_status='approved'
- WHERE q.enabled=1 AND ({_COVERS[mode]} OR {_GRANTED})
+ WHERE q.enabled=1{wanted} AND ({_COVERS[mode]} OR {_GRANTED})
   AND m.user_id IN (SELECT user_id FROM f_user WHERE user_type<>'sysadmin'))"""
 
 
-def _page_sql(mode: str, raw: bool) -> str:
+def _page_sql(mode: str, raw: bool, wanted: str = "", places: str = "place<=20") -> str:
     source = "rows" if raw else "(SELECT user_id, question_id, created_at, max(can_edit) can_edit FROM rows GROUP BY ALL)"
-    return f"""{_rows_sql(mode)}
+    return f"""{_rows_sql(mode, wanted)}
 SELECT user_id, question_id, CAST(created_at AS VARCHAR) created_at, can_edit, place FROM (
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, question_id, can_edit DESC) place
- FROM {source}) x WHERE place<=20"""
+ FROM {source}) x WHERE {places}"""
 
 
-def _page(spark, sf_dir, rules, raw=False):
+def _page(spark, sf_dir, rules, raw=False, **listing):
     return access.visible_page(
         table(spark, sf_dir, "f_user"), table(spark, sf_dir, "f_question"), table(spark, sf_dir, "f_user_org"),
-        table(spark, sf_dir, "f_acl"), rules, raw=raw,
+        table(spark, sf_dir, "f_acl"), rules, raw=raw, **listing,
     ).withColumn("created_at", F.col("created_at").cast("string"))
 
 
@@ -118,6 +118,29 @@ def visible_list_compat(spark, sf_dir):
     return _page(spark, sf_dir, LISTING_COMPAT, raw=True)
 
 
+_WANTED = " AND q.subject='2-HIGH' AND q.grade='MACHINERY'"
+_CRITERIA = {"subject": "2-HIGH", "grade": "MACHINERY", "difficulty": "", "no_such_column": 1}
+
+
+@query("p4_visible_filtered_page", _page_sql("segment", raw=False, wanted=_WANTED, places="place BETWEEN 21 AND 40"))
+def visible_filtered_page(spark, sf_dir):
+    return _page(spark, sf_dir, LISTING, page=2, criteria=_CRITERIA)
+
+
+@query(
+    "a3_visible_total",
+    f"""{_scope_sql("segment", _LIVE, "enabled=1" + _WANTED.replace("q.", ""))},
+counted AS (SELECT user_id, count(*) n FROM visible GROUP BY user_id)
+SELECT u.user_id, CAST(CASE WHEN user_type='sysadmin' THEN (SELECT count(*) FROM scoped) ELSE coalesce(n,0) END AS BIGINT) total_questions
+FROM f_user u LEFT JOIN counted c ON c.user_id=u.user_id""",
+)
+def visible_total(spark, sf_dir):
+    return access.visible_totals(
+        table(spark, sf_dir, "f_user"), table(spark, sf_dir, "f_question"), table(spark, sf_dir, "f_user_org"),
+        table(spark, sf_dir, "f_acl"), LISTING, _CRITERIA,
+    )
+
+
 @query(
     "x5_admin_list",
     f"""{with_views("f_question")}
@@ -138,8 +161,7 @@ FROM f_question q WHERE enabled=1 AND subject='2-HIGH' AND grade='MACHINERY'
 ORDER BY q.created_at DESC, question_id LIMIT 20 OFFSET 20""",
 )
 def filtered_page(spark, sf_dir):
-    criteria = {"subject": "2-HIGH", "grade": "MACHINERY", "difficulty": "", "no_such_column": 1}
-    page = access.admin_page(table(spark, sf_dir, "f_question"), page=2, criteria=criteria)
+    page = access.admin_page(table(spark, sf_dir, "f_question"), page=2, criteria=_CRITERIA)
     return page.select("question_id", "subject", "grade", F.col("created_at").cast("string").alias("created_at"), "can_edit")
 
 

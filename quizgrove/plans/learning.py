@@ -376,6 +376,18 @@ def mastery_map(spark, sf_dir):
     return learning.mastery_map(_attempts(spark, sf_dir))
 
 
+@query(
+    "l26_strategy_match",
+    f"""{_A}, styles AS (SELECT learner_id, CASE WHEN avg(self_rating)>avg(correct) THEN 'confident' ELSE 'careful' END style
+ FROM f_attempt GROUP BY learner_id),
+cells AS (SELECT style, question_type, round(avg(correct),9) fit, count(*) n FROM f_attempt JOIN styles USING (learner_id) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY style ORDER BY fit DESC, n DESC, question_type)=1 suits FROM cells""",
+)
+def strategy_match(spark, sf_dir):
+    attempts = _attempts(spark, sf_dir)
+    return learning.strategy_match(attempts, learning.learning_styles(attempts), "question_type")
+
+
 @query(
     "l27_list_quality",
     f"""{with_views("f_external")}, {_SCORED}, {_ranked_sql("top", 10)},

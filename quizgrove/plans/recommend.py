@@ -395,6 +395,40 @@ def growth(spark, sf_dir):
     return _growth(spark, sf_dir).select("iteration", "before", "added", "after")
 
 
+@query(
+    "r11_loop",
+    f"""{with_views("f_external")}, {_SCORED},
+first AS (SELECT ext_id, min(query_id%3) since FROM f_external GROUP BY ext_id),
+member AS (SELECT vec_id, CASE WHEN label<5 THEN -1 ELSE since END since FROM embeddings LEFT JOIN first ON ext_id=vec_id
+ WHERE label<5 OR since IS NOT NULL),
+round AS (SELECT unnest([0,1,2]) iteration),
+ranked AS (SELECT iteration, query_id, item_id, row_number() OVER (PARTITION BY iteration, query_id ORDER BY score DESC, item_id) rank
+ FROM round CROSS JOIN scored JOIN member ON vec_id=item_id WHERE since<=iteration AND query_id<>item_id),
+per_query AS (SELECT r.iteration, e.query_id, count(*) total, count(t.rank) found
+ FROM round r CROSS JOIN (SELECT DISTINCT query_id, ext_id FROM f_external) e
+ LEFT JOIN ranked t ON t.iteration=r.iteration AND t.query_id=e.query_id AND t.item_id=e.ext_id AND t.rank<=10 GROUP BY ALL)
+SELECT iteration, (SELECT count(*) FROM member WHERE since<iteration) before, (SELECT count(*) FROM member WHERE since=iteration) added,
+ count(*) queries, count(*) FILTER (found>=0.6*total) successful, CAST(sum(found) AS BIGINT) found,
+ round(sum(found)/sum(total),6) recall FROM per_query GROUP BY iteration""",
+)
+def closed_loop(spark, sf_dir):
+    embeddings = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "question_id")
+    external = table(spark, sf_dir, "f_external")
+    marked = external.withColumnRenamed("ext_id", "item_id")
+    outside = embeddings.select("question_id", "embedding", F.lit(0).alias("seq"))
+    batches = [
+        outside.join(external.filter(F.col("query_id") % 3 == n).select(F.col("ext_id").alias("question_id")), "question_id")
+        for n in range(3)
+    ]
+    probes = embeddings.select(F.col("question_id").alias("query_id"), "embedding")
+
+    def evaluate(items):
+        return recommend.ranks_of_marked(top_k_similar(probes, _corpus(items), recommend.LIST_LENGTH), marked)
+
+    base = embeddings.filter("label < 5").select("question_id", "embedding")
+    return recommend.closed_loop(base, batches, lambda items, batch: recommend.new_rows(items, batch, "seq").drop("seq"), evaluate)[1]
+
+
 @query(
     "a13_loop_report",
     f"""{with_views("f_external")}, {_GROWTH}

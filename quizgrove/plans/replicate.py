@@ -49,7 +49,27 @@ def schema(spark, sf_dir):
 def full_sync(spark, sf_dir):
     path = new_folder(spark, "full-copy")
     tables.write_full(table(spark, sf_dir, "f_source"), path)
-    return spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return tables.read_full(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+_ORDERS = (
+    ("o_orderkey", "bigint(20)", False, "PRI"),
+    ("o_custkey", "int(11) unsigned", True, "MUL"),
+    ("o_orderstatus", "char(1)", True, ""),
+    ("o_orderdate", "date", True, ""),
+)
+
+
+@query(
+    "c1_table_sync",
+    """SELECT o_orderkey, CAST(o_custkey AS BIGINT) o_custkey, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) o_orderdate,
+ (SELECT count(*) FROM orders) n_rows FROM orders""",
+)
+def table_sync(spark, sf_dir):
+    path = new_folder(spark, "synced-orders")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    target, copied = tables.sync_table(table(spark, sf_dir, "orders"), _ORDERS, name, buckets=8, path=path)
+    return target.withColumns({"o_orderdate": F.col("o_orderdate").cast("string"), "n_rows": F.lit(copied.get["n_rows"])})
 
 
 @query("a15_copied_rows", "SELECT count(*) n_rows FROM lineitem")
@@ -84,7 +104,7 @@ def bucketed_table(spark, sf_dir):
     for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
         path = new_folder(spark, f"bucketed-{name}")
         target = path.rsplit("/", 1)[1].replace("-", "_")
-        tables.create_table(table(spark, sf_dir, name).select(key), target, [key], path=path)
+        tables.create_table(table(spark, sf_dir, name).select(key), target, [key], buckets=8, path=path)
         joined.append(spark.table(target))
     orders, lines = joined
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy("o_orderkey").agg(F.count("*").alias("n_lines"))
@@ -412,10 +432,9 @@ def _finish(query_handle):
 def _upserted(spark, sf_dir):
     feed = _feed(spark, table(spark, sf_dir, "f_change"), "change-feed")
     root = new_folder(spark, "upsert")
-    stream = changes.file_changes(spark, feed, files_per_batch=3)
-    work = feeds.upsert_batch(f"{root}/copy", max_bad=_ANY_BAD, table="abc_warning")
+    stream = changes.file_changes(spark, feed, files_per_batch=2)
+    work = feeds.upsert_batch(f"{root}/copy", max_bad=_ANY_BAD, table="abc_warning", compact_every=2)
     _finish(feeds.start(stream, work, f"{root}/checkpoint"))
-    feeds.compact(spark, f"{root}/copy", upto=1)
     return feeds.current(spark, f"{root}/copy")
 
 

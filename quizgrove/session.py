@@ -59,6 +59,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def finished_numbers(spark: SparkSession, prefix: str) -> list[int]:
+    """The numbers n of the finished folders ``{prefix}{n}``, from the shared file system."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{prefix}*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in found or [])
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 

@@ -11,8 +11,7 @@ from pyspark.sql.types import (
     BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType,
     StringType, StructField, StructType, TimestampNTZType,
 )
-
-BUCKETS = 10
+from quizgrove.session import finished_numbers, remove_folder
 
 # Source column types and the type each becomes.
 _TYPES: dict[str, DataType] = {
@@ -96,11 +95,12 @@ def key_columns(columns: Sequence[tuple[str, str]]) -> list[str]:
     return keys or [columns[0][0]]
 
 
-def create_table(
-    df: DataFrame, name: str, keys: Sequence[str], buckets: int = BUCKETS, path: str | None = None
-) -> None:
-    """A table bucketed by its key, so that joins and upserts on the key need no shuffle."""
-    writer = df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite")
+def create_table(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """A table bucketed by its key, so that joins and upserts on the key need no shuffle.
+
+    ``buckets`` follows the table's size: rows are dealt by bucket first, so that each is one file, written by one task.
+    """
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite")
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
@@ -112,11 +112,41 @@ def typed(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def write_full(df: DataFrame, path: str) -> Observation:
-    """Replaces a copy; the observation holds the number of rows written."""
-    rows = Observation("copied")
-    df.observe(rows, F.count("*").alias("n_rows")).write.mode("overwrite").parquet(path)
+    """Replaces a copy; the observation holds the number of rows written.
+
+    A copy is a new version below ``path``; ``read_full`` takes the newest finished one, so a failed job leaves the last
+    copy as it was. The version before stays for readers that have begun on it; older ones go.
+    """
+    spark, rows = df.sparkSession, Observation("copied")
+    versions = finished_numbers(spark, f"{path}/version=")
+    number = versions[-1] + 1 if versions else 0
+    df.observe(rows, F.count("*").alias("n_rows")).write.mode("overwrite").parquet(f"{path}/version={number}")
+    for old in versions[:-1]:
+        remove_folder(spark, f"{path}/version={old}")
     return rows
 
 
+def read_full(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished copy that ``write_full`` left below ``path``."""
+    versions = finished_numbers(spark, f"{path}/version=")
+    if not versions:
+        raise FileNotFoundError(f"no finished copy below {path}")
+    return spark.read.parquet(f"{path}/version={versions[-1]}")
+
+
+def sync_table(
+    source: DataFrame, columns: Sequence[tuple[str, str, bool, str]], name: str, buckets: int, path: str | None = None
+) -> tuple[DataFrame, Observation]:
+    """A full copy of a source table: its schema, the target table by its key, the rows and their number.
+
+    ``columns``: name, source type, nullable and key kind of each. Returns the target and the observed ``n_rows``.
+    """
+    schema = spark_schema([column[:3] for column in columns])
+    keys = key_columns([(column[0], column[3]) for column in columns])
+    copied = Observation("copied")
+    create_table(typed(source, schema).observe(copied, F.count("*").alias("n_rows")), name, keys, buckets, path)
+    return source.sparkSession.table(name), copied
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quizgrove.operators.replicate import incremental_rows, latest_per_key, one_per_key
-from quizgrove.session import saved
+from quizgrove.session import finished_numbers, remove_folder, saved
 from quizgrove.sources import changes as change_source
 
 KEYS = ("snapshot_date", "student_id")
@@ -26,15 +26,8 @@ def _base_path(root: str, upto: int) -> str:
     return f"{root}/base/upto={upto}"
 
 
-def _numbers(spark: SparkSession, pattern: str) -> list[int]:
-    """The numbers of the finished folders that match, from the shared file system."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
-    found = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path)
-    return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in found or [])
-
-
 def _read_batches(spark: SparkSession, root: str, schema, after: int = -1, before: int | None = None) -> DataFrame:
-    numbers = [n for n in _numbers(spark, _batch_path(root, 0).replace("=0", "=*")) if n > after]
+    numbers = [n for n in finished_numbers(spark, f"{root}/rows/batch_id=") if n > after]
     paths = [_batch_path(root, n) for n in numbers if before is None or n < before]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
@@ -64,10 +57,14 @@ def progress(query: StreamingQuery) -> dict[str, object]:
 # --- newest-per-key copy ---------------------------------------------------------------------
 
 
-def upsert_batch(root: str, keys: Sequence[str] = KEYS, max_bad: int = change_source.MAX_BAD, table: str | None = None):
+def upsert_batch(
+    root: str, keys: Sequence[str] = KEYS, max_bad: int = change_source.MAX_BAD, table: str | None = None,
+    compact_every: int | None = 100,
+):
     """Batch function of the upsert stream (C5): bad records aside, one row per key kept.
 
-    A batch costs what it holds; the copy is not rewritten. ``compact`` folds batches together.
+    A batch costs what it holds; the copy is not rewritten. After every ``compact_every`` batches ``compact`` folds
+    them together, so that readers never meet more folders than two rounds of them.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -82,6 +79,8 @@ def upsert_batch(root: str, keys: Sequence[str] = KEYS, max_bad: int = change_so
             kept.write.mode("overwrite").parquet(_batch_path(root, batch_id))
         finally:
             rows.unpersist()
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, root, batch_id, keys)
 
     return work
 
@@ -94,7 +93,7 @@ def _state_schema(spark: SparkSession):
 def current(spark: SparkSession, root: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """The latest row of every key, deletes included with ``op='d'``."""
     schema = _state_schema(spark)
-    bases = _numbers(spark, _base_path(root, 0).replace("=0", "=*"))
+    bases = finished_numbers(spark, f"{root}/base/upto=")
     after = bases[-1] if bases else -1
     rows = _read_batches(spark, root, schema, after)
     if bases:
@@ -103,14 +102,26 @@ def current(spark: SparkSession, root: str, keys: Sequence[str] = KEYS) -> DataF
 
 
 def compact(spark: SparkSession, root: str, upto: int, keys: Sequence[str] = KEYS) -> None:
-    """Folds all finished batches up to ``upto`` into one table that readers prefer from then on."""
+    """Folds all finished batches up to ``upto`` into one table that readers prefer from then on.
+
+    What the table before was made of is removed, and tables older than it; that table itself and the batches since
+    stay for readers that have begun on them, and for a repeated call.
+    """
     schema = _state_schema(spark)
-    bases = _numbers(spark, _base_path(root, 0).replace("=0", "=*"))
+    found = finished_numbers(spark, f"{root}/base/upto=")
+    if found and found[-1] > upto:
+        return  # a newer table holds these batches
+    bases = [n for n in found if n < upto]
     after = bases[-1] if bases else -1
     rows = _read_batches(spark, root, schema, after, upto + 1)
     if bases:
         rows = rows.unionByName(spark.read.schema(schema).parquet(_base_path(root, after)))
     latest_per_key(rows, keys).write.mode("overwrite").parquet(_base_path(root, upto))
+    for number in bases[:-1]:
+        remove_folder(spark, _base_path(root, number))
+    for number in finished_numbers(spark, f"{root}/rows/batch_id="):
+        if number <= after:
+            remove_folder(spark, _batch_path(root, number))
 
 
 def with_snapshot(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

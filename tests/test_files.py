@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql.types import ByteType, DateType, DecimalType, IntegerType, LongType, StringType
 
+from quizgrove.session import finished_numbers
 from quizgrove.sources import files, tables
 
 
@@ -96,16 +97,36 @@ def test_full_copy_replaces_and_counts(spark, tmp_path):
     for _ in range(2):
         observed = tables.write_full(spark.range(7).toDF("id"), path)
         assert observed.get["n_rows"] == 7
+    assert tables.read_full(spark, path).count() == 7
+    # a copy that did not finish is not read
+    spark.range(2).toDF("id").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/version=2")
+    assert tables.read_full(spark, path).count() == 7
+    tables.write_full(spark.range(4).toDF("id"), path)
+    tables.write_full(spark.range(5).toDF("id"), path)
+    assert tables.read_full(spark, path).count() == 5
+    assert finished_numbers(spark, f"{path}/version=") == [2, 3]
+
+
+def test_appended_rows_are_added(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for count in (3, 4):
+        tables.append_rows(spark.range(count).toDF("id"), path)
     assert spark.read.parquet(path).count() == 7
-    tables.append_rows(spark.range(3).toDF("id"), path)
-    assert spark.read.parquet(path).count() == 10
+
+
+def test_table_sync_takes_schema_key_and_count_from_the_source(spark, tmp_path):
+    columns = [("code", "varchar(9)", True, ""), ("id", "int(11) unsigned", False, "PRI"), ("price", "decimal(8,2)", True, "")]
+    source = spark.createDataFrame([("a", 1, 2.5, "extra"), (None, 2, None, "extra")], "code string, id int, price double, more string")
+    target, copied = tables.sync_table(source, columns, "synced_prices", buckets=3, path=str(tmp_path / "synced"))
+    assert [f.dataType.simpleString() for f in target.schema] == ["string", "bigint", "decimal(8,2)"]
+    assert sorted(map(tuple, target.select("id", "code").collect())) == [(1, "a"), (2, None)] and copied.get["n_rows"] == 2
 
 
 def test_bucketed_table_joins_without_shuffle(spark, tmp_path):
     rows = spark.range(1000).selectExpr("id", "id * 2 AS twice")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS bank LOCATION '{tmp_path}/bank.db'")
     for name in ("bank.left_side", "bank.right_side"):
-        tables.create_table(rows, name, ["id"])
+        tables.create_table(rows, name, ["id"], buckets=10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         joined = spark.table("bank.left_side").join(spark.table("bank.right_side").drop("twice"), "id")

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from quizgrove.operators.replicate import latest_per_key
+from quizgrove.session import finished_numbers
 from quizgrove.sources import changes
 from quizgrove.streaming import feeds
 
@@ -51,6 +52,21 @@ def test_any_order_gives_the_same_copy_and_compaction_keeps_it(spark, tmp_path):
         assert state(spark, folder) == expected(spark, rows)
 
 
+def test_folded_batches_are_removed_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    rows, folder = events(), f"{tmp_path}/folded"
+    work = feeds.upsert_batch(f"{folder}/copy", compact_every=2)
+    parts = [spark.createDataFrame(rows[at : at + 10], FEED) for at in range(0, 60, 10)]
+    for number, part in enumerate(parts):
+        work(part, number)
+        assert state(spark, folder) == expected(spark, rows[: 10 * number + 10])
+    assert finished_numbers(spark, f"{folder}/copy/rows/batch_id=") == [4, 5]
+    assert finished_numbers(spark, f"{folder}/copy/base/upto=") == [3, 5]
+    work(parts[5], 5)
+    assert state(spark, folder) == expected(spark, rows)
+    feeds.compact(spark, f"{folder}/copy", upto=2)
+    assert state(spark, folder) == expected(spark, rows)
+
+
 def test_resume_and_repeated_batch(spark, tmp_path):
     rows, folder, feed = events(), str(tmp_path / "x"), str(tmp_path / "feed")
     spark.createDataFrame(rows[:30], FEED).coalesce(1).write.mode("append").parquet(feed)
