@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quizgrove.llm import decontaminate, line_spread, mixing, quality, simhash, substring, token_counts, token_files, url_rules, warc
+from quizgrove.llm import decontaminate, line_spread, mixing, passages, quality, simhash, substring, token_counts, token_files, url_rules, warc
 from quizgrove.llm.common import load
 from quizgrove.llm.oracles import ORACLE  # noqa: F401
 from quizgrove.session import new_folder
@@ -29,6 +29,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_table(load(spark, sf_dir, "documents"))
 
 
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op3, whose lines are those of its SQL: repeated passages in short lines and inside long ones too."""
+    return passages.passage_table(load(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -70,6 +75,6 @@ QUERIES = {
     function.__name__: function
     for function in (
         op1_token_counts, op2_token_files, op3_substring_dedup, op4_decontamination, op5_line_spread, op6_simhash,
-        op7_url_rules, op8_warc, op9_mixing, op10_quality, pipeline,
+        op7_url_rules, op8_warc, op9_mixing, op10_quality, passage_dedup, pipeline,
     )
 }
