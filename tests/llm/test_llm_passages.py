@@ -1,4 +1,4 @@
-"""Repeated passages in short lines."""
+"""Repeated passages in short lines and inside long ones."""
 
 from __future__ import annotations
 
@@ -66,3 +66,15 @@ def test_random_texts_match_the_plain_version(spark):
         assert sum(len(words) for _, words in wanted) < sum(len(text.split()) for _, text in rows)
         for doc_id, words in wanted:
             assert re.sub(r"\s+", " ", found[doc_id]).split() == [w.replace("é", "É") for w in words]
+
+
+def test_a_passage_inside_a_longer_line_goes(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    before, after = (" ".join(f"{side}{i}" for i in range(200)) for side in "ab")
+    rows = [(1, f"x {passage} y"), (2, f"{before} {passage} {after}"), (3, f"{before} {passage}\nnext"), (4, " ".join(passage.split()[:19]))]
+    assert all(r["spans"] is None for r in substring.without_repeats(documents(spark, rows)).collect())
+    start = len(before)
+    found = {r["doc_id"]: (r["text"], r["spans"]) for r in passages.without_passages(documents(spark, rows)).collect()}
+    assert found[1] == (rows[0][1], None) and found[4] == (rows[3][1], None)
+    assert found[2][0] == f"{before} {after}" and [tuple(s) for s in found[2][1]] == [(start, start + 1 + len(passage))]
+    assert found[3][0] == "next"
