@@ -147,13 +147,14 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = PHRASE_WORDS
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, length: int = PHRASE_WORDS, lists: int = 2, slop: int = 3) -> DataFrame:
-    """phrase, doc_id, text_key: the ``lists`` rarest terms of the phrase stand in the text in any order, each at
-    most ``slop`` words off its place relative to the rarest. No other term is looked at.
+    """phrase, doc_id, text_key: all terms of the phrase stand in the text in any order, each at most ``slop`` words
+    off its place relative to the rarest. The ``lists`` rarest give the candidates; for the others only the postings
+    near a candidate are looked up.
     """
     each = distinct_phrases(items, length)
     postings = index(docs, vocabulary(each))
-    ranked = saved(ranked_terms(each, postings).filter(F.col("rank") <= lists), "ranked-terms")
-    begins = postings.join(counted(ranked), "term").withColumn("begin", F.col("position") - F.col("offset"))
+    every = saved(ranked_terms(each, postings), "ranked-terms")
+    begins = postings.join(counted(every.filter(F.col("rank") <= lists)), "term").withColumn("begin", F.col("position") - F.col("offset"))
     first = begins.filter("rank = 1").select("id", "size", "doc_id", "text_key", "begin").distinct()
     # begins at most slop apart lie in the same or the next of strips as wide as slop
     strip = F.floor(F.col("begin") / (slop + 1))
@@ -163,7 +164,17 @@ def proximity_matches(docs: DataFrame, items: DataFrame, length: int = PHRASE_WO
     pairs = pairs.filter(F.abs(F.col("begin") - F.col("other")) <= slop)
     ranks = pairs.groupBy("id", "size", "doc_id", "text_key", "begin").agg(F.countDistinct("rank").alias("ranks"))
     both = ranks.filter(F.col("ranks") == F.least(F.col("size"), F.lit(lists)) - 1).drop("ranks")
-    found = both.unionByName(first.filter("size = 1")).select("id", "doc_id", "text_key").distinct()
+    both = saved(both.unionByName(first.filter(F.least(F.col("size"), F.lit(lists)) == 1)), "near-terms")
+    wanted = both.join(counted(every.filter(F.col("rank") > lists).select("id", "term", "offset", "rank")), "id")
+    strip = F.floor((F.col("begin") + F.col("offset")) / (slop + 1))
+    wanted = wanted.withColumn("strip", F.explode(F.array(strip - 1, strip, strip + 1)))
+    place = F.floor(F.col("position") / (slop + 1)).alias("strip")
+    useful = postings.select("term", F.col("doc_id").alias("other_id"), "text_key", "position", place)
+    pairs = wanted.join(useful, ["term", "text_key", "strip"]).filter(F.col("doc_id").eqNullSafe(F.col("other_id")))
+    pairs = pairs.filter(F.abs(F.col("begin") + F.col("offset") - F.col("position")) <= slop)
+    ranks = pairs.groupBy("id", "size", "doc_id", "text_key", "begin").agg(F.countDistinct("rank").alias("ranks"))
+    whole = ranks.filter(F.col("ranks") == F.col("size") - lists).drop("ranks")
+    found = whole.unionByName(both.filter(F.col("size") <= lists)).select("id", "doc_id", "text_key").distinct()
     return found.join(counted(each.drop("size")), "id").drop("id")
 
 

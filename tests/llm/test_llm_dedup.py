@@ -181,3 +181,13 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "fox dog", "x"), (2, "beta", "x"), (3, None, "x")], "item_id long, text string, phrase string")
     found = decontaminate.proximity_matches(docs, items, length=2, lists=2, slop=3)
     assert {(r["phrase"], r["doc_id"]) for r in found.collect()} == {("fox dog", 1), ("fox dog", 2), ("beta", 1)}
+
+
+def test_proximity_looks_at_every_term(spark):
+    rows = [(1, "red fox big dog", "s"), (2, "fox red dog x big", "s"), (3, "red fox", "s"), (4, "big red", "s"), (5, "fox dog", "s"), (None, "red big fox dog", "s")]
+    rows += [(10 + i, "fox dog", "s") for i in range(5)]
+    docs = documents(spark, plain(rows + [(20, "red fox big a b c d e f g dog", "s")]))
+    items = spark.createDataFrame([(1, "red fox big dog", "x")], "item_id long, text string, phrase string")
+    for lists in (1, 2, 4):
+        found = decontaminate.proximity_matches(docs, items, length=4, lists=lists, slop=3).collect()
+        assert sorted(repr(r["doc_id"]) for r in found) == ["1", "2", "None"], lists
