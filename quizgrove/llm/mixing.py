@@ -35,28 +35,47 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def sums_before(rows: DataFrame, order: Sequence[Column], **values: Column) -> DataFrame:
+    """``rows`` with the sum of each of ``values`` over the rows before each, in ``order``.
+
+    No task sees all rows: they are dealt out by ranges of the order, and only the sums of ranges are added up in one.
+    """
+    rows = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    rows = saved(rows, "source-ranges")
+    sums = rows.groupBy("range").agg(*(F.sum(value).alias(name) for name, value in values.items()))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("range", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_ranges") for name in values))
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(counted(sums), "range")
+    own = {name: F.col(f"{name}_ranges") + F.coalesce(F.sum(value).over(within), F.lit(0)) for name, value in values.items()}
+    return rows.withColumns(own).drop("range", *(f"{name}_ranges" for name in values))
+
+
 def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
     """``sources`` (source, source_size, docs) with each source's weight and target.
 
     Weights go round by code point order, null last. The targets share the sum of all sizes by weight; none goes
     beyond ``most`` times its source, and what is above is shared by the others: the target is
     min(most * size, level * weight), and the level follows from the sources in order of most * size / weight,
-    the order in which they fill up. One row a source is ordered here, not its documents.
+    the order in which they fill up. Sources are ordered by ranges, so that their number has no bound.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    cycle = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    rows = sources.withColumn("weight", cycle.cast("long")).withColumn("most", F.lit(most) * F.col("source_size"))
-    filling = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    onward = filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0))
+    by_name = F.col("source").asc_nulls_last()
+    rows = sums_before(sources, [by_name], place=F.lit(1))
+    cycle = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = rows.withColumn("weight", cycle.cast("long")).withColumn("most", F.lit(most) * F.col("source_size")).drop("place")
+    rows = rows.withColumn("filling", F.col("most") / F.col("weight"))
+    order = [F.col("filling"), by_name]
+    rows = saved(sums_before(rows, order, full=F.col("most"), used=F.col("weight")), "source-levels")
+    everything = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weights"))
     # the level if just the sources before this one are full; it holds for the first that doesn't fill up
-    rows = rows.withColumn("level", left / F.sum("weight").over(onward))
-    rows = rows.withColumn("turn", F.row_number().over(filling))
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct("turn", "level"))).over(everything)
-    target = F.least(F.col("most").cast("double"), first["level"] * F.col("weight"))
-    return rows.withColumn("target", target).select("source", "source_size", "docs", "weight", "target")
+    levels = rows.crossJoin(F.broadcast(everything))
+    levels = levels.withColumn("level", (F.col("size") - F.col("full")) / (F.col("weights") - F.col("used")))
+    holds = levels.filter(F.col("level") * F.col("weight") <= F.col("most"))
+    # null comes last among the sources, but first in a struct
+    first = holds.agg(F.min(F.struct("filling", F.col("source").isNull(), "source", "level"))["level"].alias("level"))
+    target = F.least(F.col("most").cast("double"), F.col("level") * F.col("weight"))
+    rows = rows.crossJoin(F.broadcast(first)).withColumn("target", target)
+    return rows.select("source", "source_size", "docs", "weight", "target")
 
 
 def drawn(docs: DataFrame, seed: str, *carried: str) -> DataFrame:
