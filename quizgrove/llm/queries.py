@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quizgrove.llm import decontaminate, line_spread, mixing, passages, quality, simhash, substring, token_counts, token_files, url_rules, warc
+from quizgrove.llm import decontaminate, line_spread, mixing, passages, piece_texts, quality, simhash, substring, token_counts, token_files, url_rules, warc
 from quizgrove.llm.common import load
 from quizgrove.llm.oracles import ORACLE  # noqa: F401
 from quizgrove.session import new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 1024
 
 
@@ -65,6 +66,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op13_piece_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_texts.piece_table(load(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,6 +80,6 @@ QUERIES = {
     function.__name__: function
     for function in (
         op1_token_counts, op2_token_files, op3_substring_dedup, op4_decontamination, op5_line_spread, op6_simhash,
-        op7_url_rules, op8_warc, op9_mixing, op10_quality, passage_dedup, pipeline,
+        op7_url_rules, op8_warc, op9_mixing, op10_quality, op13_piece_texts, passage_dedup, pipeline,
     )
 }
