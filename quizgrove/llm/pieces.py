@@ -89,9 +89,14 @@ class MergeEncoder:
             if own is None:
                 own = self.kept(word, self.word_ids(word) if word.lstrip(SPACE).isalpha() else self.parts_ids(word))
             found += own
+        if not self.bytes:  # unknown characters side by side share one id
+            found = [n for n, before in zip(found, [-1, *found], strict=False) if not n == before == self.unknown]
         found.append(self.end_id)
         return found
 
+    def decode(self, ids: list[int]) -> str:
+        return self.processor.decode(ids)
+
     def kept(self, word: str, ids: list[int]) -> list[int]:
         if len(word) <= KEPT_LENGTH:
             if len(self.words) >= KEPT_WORDS:
