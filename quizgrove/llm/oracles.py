@@ -146,6 +146,72 @@ SELECT doc_id, size, source_size, target,
 FROM closing
 """
 
+OP11 = rf"""
+WITH document AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, {CAPITALS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), held AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM document) GROUP BY d, term
+), size AS (
+  SELECT d, doc_id, len(w) AS n FROM document WHERE len(w) > 0
+), total AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size
+), item AS (
+  SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), asked AS (
+  SELECT i, term, count(*) AS repeats
+  FROM (SELECT i, unnest(regexp_extract_all(translate(text, {CAPITALS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM item)
+  GROUP BY i, term
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), total
+), scored AS (
+  SELECT i, s.d, any_value(doc_id) AS doc_id,
+    sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked a JOIN weight USING (term) JOIN held h USING (term) JOIN size s ON h.d = s.d, total
+  GROUP BY i, s.d
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed JOIN item USING (i) WHERE rank <= 10
+"""
+
+
+def clustering(count: int = 16, rounds: int = 3) -> str:
+    """Each round as two tables: the nearest centroid of every vector, and the centroids after it."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS seed
+  FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+  )
+)""",
+        f"c0 AS MATERIALIZED (SELECT seed AS cluster, v AS c FROM kept WHERE seed < {count})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT vec_id, seed, v, cluster, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS distance
+    FROM kept, c{i}
+  ) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY distance, cluster) = 1
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT cluster, list(mean ORDER BY place) AS c FROM (
+    SELECT cluster, place, floor(sum(x) / count(*)) AS mean
+    FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY cluster, place
+  ) GROUP BY cluster
+  UNION ALL SELECT cluster, c FROM c{i} WHERE cluster NOT IN (SELECT cluster FROM a{i})
+)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance,
+  sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
+
+
 ORACLE = {
     "op3_substring_dedup": OP3,
     "op4_decontamination": OP4,
@@ -153,4 +219,6 @@ ORACLE = {
     "op7_url_rules": OP7,
     "op8_warc": OP8,
     "op9_mixing": OP9,
+    "op11_ranked_search": OP11,
+    "op12_centroids": clustering(),
 }

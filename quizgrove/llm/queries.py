@@ -5,7 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quizgrove.llm import decontaminate, line_spread, mixing, passages, piece_texts, quality, simhash, substring, token_counts, token_files, url_rules, warc
+from quizgrove.llm import (
+    centroids,
+    decontaminate,
+    line_spread,
+    mixing,
+    passages,
+    piece_texts,
+    quality,
+    ranked_search,
+    simhash,
+    substring,
+    token_counts,
+    token_files,
+    url_rules,
+    warc,
+)
 from quizgrove.llm.common import load
 from quizgrove.llm.oracles import ORACLE  # noqa: F401
 from quizgrove.session import new_folder
@@ -66,6 +81,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_table(load(spark, sf_dir, "embeddings"))
+
+
 def op13_piece_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_texts.piece_table(load(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -80,6 +103,6 @@ QUERIES = {
     function.__name__: function
     for function in (
         op1_token_counts, op2_token_files, op3_substring_dedup, op4_decontamination, op5_line_spread, op6_simhash,
-        op7_url_rules, op8_warc, op9_mixing, op10_quality, op13_piece_texts, passage_dedup, pipeline,
+        op7_url_rules, op8_warc, op9_mixing, op10_quality, op11_ranked_search, op12_centroids, op13_piece_texts, passage_dedup, pipeline,
     )
 }

@@ -19,7 +19,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def connection():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     return connection
 
@@ -37,7 +37,7 @@ def test_operators_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert set(QUERIES) <= names and sum(name.startswith("op") for name in QUERIES) == 10
+    assert set(QUERIES) <= names and sum(name.startswith("op") for name in QUERIES) == 13
     assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
 
 
