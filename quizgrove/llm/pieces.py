@@ -12,17 +12,18 @@ no row goes on from, so that none is tried twice.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 
 #: Stands for a space in a model's pieces (fixed value of the format).
 SPACE = "▁"
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Different words, and pairs of pieces, that an encoder keeps before it starts afresh (some 25 and 50 MB).
-KEPT_WORDS = 100_000
-KEPT_PAIRS = 400_000
+#: Different words that an encoder keeps in each of two generations (some 60 MB), and pairs of pieces (9 bytes each).
+KEPT_WORDS = 300_000
+KEPT_PAIRS = 1_000_000
 #: Bits of an id where a piece's length stands above it.
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -30,6 +31,11 @@ ID_MASK = (1 << ID_BITS) - 1
 KEPT_LENGTH = 48
 
 
+def no_pairs() -> tuple[np.ndarray, np.ndarray]:
+    """Known pairs: sorted numbers (two ids each) up to one that is no pair, and whether they fit."""
+    return np.array([np.iinfo(np.int64).max]), np.zeros(1, dtype=bool)
+
+
 class MergeEncoder:
     """Encoder and decoder for the content of a model file.
 
@@ -63,6 +69,7 @@ class MergeEncoder:
         # a word begins at the first of its spaces, if no piece goes on over such a place; a character that no longer
         # piece holds is a word of its own
         longer = [piece for piece in self.ids if len(piece) > 1]
+        held = set("".join(self.ids))
         joined = "".join(map(re.escape, sorted(set("".join(longer)) - {SPACE})))
         across = any(SPACE in piece.lstrip(SPACE) for piece in longer)
         self.cut = re.compile(f"(?s){SPACE}*[{joined}]+|{SPACE}+|." if joined and not across else "(?s).+").findall
@@ -70,9 +77,13 @@ class MergeEncoder:
         self.beside = {piece[i : i + 2] for piece in longer for i in range(len(piece) - 1)}
         self.names = [piece.piece for piece in model.pieces]
         self.sizes, self.lone = [len(name) for name in self.names], len(self.names)
+        self.same = list(range(self.lone))  # one object an id, whatever the number of words that hold it
         self.words: dict[str, list[int]] = {}
-        self.pairs: dict[int, bool] = {}
-        self.prefixes: dict[int, int] = {}
+        self.older: dict[str, list[int]] = {}
+        self.lengths = np.array([*self.sizes, 1])
+        self.prefix = np.array([*map(self.prefix_of, self.names), -1])
+        self.border = next(c for c in map(chr, range(0x110000)) if c not in held)
+        self.known = no_pairs()
         self.steps: dict[int, list | None] = {}
 
     def normalized(self, text: str) -> str:
@@ -83,41 +94,61 @@ class MergeEncoder:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text and the end id."""
-        found: list[int] = []
-        for word in self.cut(self.normalized(text)):
-            own = self.words.get(word)
-            if own is None:
-                own = self.kept(word, self.word_ids(word) if word.lstrip(SPACE).isalpha() else self.parts_ids(word))
-            found += own
-        if not self.bytes:  # unknown characters side by side share one id
-            found = [n for n, before in zip(found, [-1, *found], strict=False) if not n == before == self.unknown]
-        found.append(self.end_id)
-        return found
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text. Words that are not kept are gathered from all texts and encoded together."""
+        words = [self.cut(self.normalized(text)) for text in texts]
+        own = [list(map(self.words.get, run)) for run in words]
+        missing = {word for run, ids in zip(words, own, strict=True) if None in ids for word, known in zip(run, ids, strict=True) if known is None}
+        new = self.learnt(missing)
+        encoded = []
+        for run, ids in zip(words, own, strict=True):
+            if None in ids:
+                ids = [new[word] if known is None else known for word, known in zip(run, ids, strict=True)]
+            found = list(chain.from_iterable(ids))
+            if not self.bytes:  # unknown characters side by side share one id
+                found = [n for n, before in zip(found, [-1, *found], strict=False) if not n == before == self.unknown]
+            found.append(self.end_id)
+            encoded.append(found)
+        return encoded
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
-    def kept(self, word: str, ids: list[int]) -> list[int]:
-        if len(word) <= KEPT_LENGTH:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+    def learnt(self, words: set[str]) -> dict[str, list[int]]:
+        """The ids of words, kept from now on. When they are too many, those not met since the last time go."""
+        new = {word: own for word in words if (own := self.older.get(word)) is not None}
+        parts = {word: self.parts(word) for word in words if word not in new}
+        asked = {part for own in parts.values() for part in own}
+        known = {part: own for part in asked if (own := self.words.get(part) or self.older.get(part)) is not None}
+        asked = [part for part in asked if part not in known]
+        short = [part for part in asked if 1 < len(part) <= KEPT_LENGTH]
+        known |= zip(short, map(self.ids_of, self.rows(short), short), strict=True)
+        known |= {part: self.ids_of(self.row(part), part) for part in asked if not 1 < len(part) <= KEPT_LENGTH}
+        new |= {word: known[own[0]] if len(own) == 1 else list(chain.from_iterable(known[part] for part in own)) for word, own in parts.items()}
+        for word, own in chain(known.items(), new.items()):
+            if len(word) <= KEPT_LENGTH:
+                if len(self.words) >= KEPT_WORDS:
+                    self.older, self.words = self.words, {}
+                self.words[word] = own
+        return new
 
-    def parts_ids(self, word: str) -> list[int]:
-        """The ids of a word, cut between characters that stand side by side in no piece."""
+    def parts(self, word: str) -> list[str]:
+        """A word, cut between characters that stand side by side in no piece."""
+        if word.lstrip(SPACE).isalpha():
+            return [word]
         found, begin, beside = [], 0, self.beside
-        for i in range(1, len(word) + 1):
-            if i == len(word) or word[i - 1 : i + 1] not in beside:
-                part = word[begin:i]
-                found += self.words.get(part) or self.kept(part, self.word_ids(part))
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in beside:
+                found.append(word[begin:i])
                 begin = i
-        return found
+        return [*found, word[begin:]]
 
-    def word_ids(self, word: str) -> list[int]:
-        row = self.row(word)
+    def ids_of(self, row: list[int], word: str) -> list[int]:
+        """The ids of a row of pieces; a lone character that is no piece has its bytes or is unknown."""
         if max(row, default=0) < self.lone:
-            return row
+            return [self.same[number] for number in row]
         found: list[int] = []
         for number in row:
             if number < self.lone:
@@ -128,9 +159,62 @@ class MergeEncoder:
                 found.append(self.unknown)
         return found
 
+    def rows(self, words: list[str]) -> list[list[int]]:
+        """``row`` of many short words, all of which take their next step at the same time."""
+        if not words:
+            return []
+        text = self.border.join(words)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(length + 1) - 1
+        place = ends - length
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
+        longest = np.zeros(len(codes), dtype=np.int64)
+        np.maximum.at(longest, found[:, 0] + 1 - (found[:, 1] >> ID_BITS), found[:, 1])
+        longest = np.where(longest > 0, longest & ID_MASK, self.lone + codes)
+        failed = np.zeros(len(codes) // 8 + 1, dtype=np.uint8)
+        rows, depth = np.zeros((len(words), int(length.max())), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        before, number = np.full(len(words), -1), longest[place]
+        going = np.arange(len(words))
+        while len(going):
+            own, end = number[going], place[going] + self.lengths[np.minimum(number[going], self.lone)]
+            fits = (own >= 0) & ((failed[end >> 3] >> (end & 7) & 1) == 0)
+            fits[fits] = self.fit(before[going][fits], own[fits])
+            on, back = going[fits], going[~fits]
+            rows[on, depth[on]] = before[on] = number[on]
+            depth[on] += 1
+            place[on] = end[fits]
+            on = on[place[on] < ends[on]]
+            number[on] = longest[place[on]]
+            number[back] = np.where(number[back] < self.lone, self.prefix[np.minimum(number[back], self.lone)], -1)
+            lost = back[number[back] < 0]
+            np.bitwise_or.at(failed, place[lost] >> 3, (1 << (place[lost] & 7)).astype(np.uint8))
+            depth[lost] -= 1
+            last = rows[lost, depth[lost]]
+            place[lost] -= self.lengths[np.minimum(last, self.lone)]
+            number[lost] = np.where(last < self.lone, self.prefix[np.minimum(last, self.lone)], -1)
+            before[lost] = np.where(depth[lost] > 0, rows[lost, depth[lost] - 1], -1)
+            going = np.concatenate([on, back])
+        return [row[:n] for row, n in zip(rows.tolist(), depth.tolist(), strict=True)]
+
+    def fit(self, before: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """``fits`` of many neighbours: known pairs are looked up together."""
+        keys = before + 1 << 32 | number
+        at = np.searchsorted(self.known[0], keys)
+        new = np.unique(keys[self.known[0][at] != keys])
+        if len(new):
+            if len(self.known[0]) > KEPT_PAIRS:
+                self.known = no_pairs()
+                return self.fit(before, number)
+            fits = [self.fits((key >> 32) - 1, key & 0xFFFFFFFF) for key in new.tolist()]
+            into = np.searchsorted(self.known[0], new)
+            self.known = np.insert(self.known[0], into, new), np.insert(self.known[1], into, fits)
+            at = np.searchsorted(self.known[0], keys)
+        return self.known[1][at]
+
     def row(self, word: str) -> list[int]:
         """The row of pieces of a word, as ids; a character that is no piece has the number ``lone`` + its code."""
-        size, lone, sizes, pairs, row = len(word), self.lone, self.sizes, self.pairs, []
+        size, lone, sizes, row = len(word), self.lone, self.sizes, []
         longest = [0] * size  # length and id of a piece in one number; the greatest is the longest
         for last, found in self.automaton.iter(word):
             first = last + 1 - (found >> ID_BITS)
@@ -141,10 +225,7 @@ class MergeEncoder:
         number = longest[0] if size else -1
         while place < size:
             while number >= 0:
-                fits = pairs.get(before << 32 | number)
-                if fits is None:
-                    fits = self.fits(before, number)
-                if fits:
+                if self.fits(before, number):
                     end = place + (sizes[number] if number < lone else 1)
                     if failed is None or not failed[end >> 3] >> (end & 7) & 1:
                         break
@@ -165,16 +246,11 @@ class MergeEncoder:
 
     def shorter(self, number: int) -> int:
         """The longest piece (or lone character) that a piece begins with, itself left out; -1: none."""
-        if number >= self.lone:
-            return -1
-        found = self.prefixes.get(number)
-        if found is None:
-            piece = self.text(number)
-            found = next((self.ids[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), -1)
-            if found < 0 and len(piece) > 1:
-                found = self.lone + ord(piece[0])
-            self.prefixes[number] = found
-        return found
+        return int(self.prefix[number]) if number < self.lone else -1
+
+    def prefix_of(self, piece: str) -> int:
+        found = next((self.ids[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), -1)
+        return self.lone + ord(piece[0]) if found < 0 and len(piece) > 1 else found
 
     def text(self, number: int) -> str:
         return self.names[number] if number < self.lone else chr(number - self.lone)
@@ -200,9 +276,6 @@ class MergeEncoder:
                     last, i = left[i][2], i + 1
                 else:
                     first, j = right[j][1], j + 1
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        self.pairs[before << 32 | number] = fits
         return fits
 
     def merges(self, number: int) -> list[tuple[float, str, str]] | None:
