@@ -4,26 +4,48 @@ CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP3 = rf"""
-WITH line AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n
+WITH cut AS (
+  SELECT doc_id, text, unnest(regexp_extract_all(text, '(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n|$)')) AS whole,
+    generate_subscripts(regexp_extract_all(text, '(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n|$)'), 1) AS i
   FROM documents WHERE text IS NOT NULL
-), unit AS (
-  SELECT *, line || CASE WHEN i < n THEN chr(10) ELSE '' END AS whole,
-    regexp_extract_all(translate(line, {CAPITALS}), '[^\x20\x09-\x0D]+') AS words
-  FROM line
 ), placed AS (
-  SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    CASE WHEN len(words) >= 20 THEN row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id NULLS FIRST, i) > 1 ELSE false END AS gone
-  FROM unit
-), cut AS (
-  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
-    string_agg(start || '-' || (start + length(whole)), ',' ORDER BY i) FILTER (WHERE gone) AS removed,
-    coalesce(string_agg(whole, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS text
-  FROM placed GROUP BY doc_id
+  SELECT doc_id, text, i, regexp_extract_all(translate(whole, {CAPITALS}), '[^\x20\x09-\x0D]+') AS words,
+    coalesce(sum(length(whole)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM cut
+), unit AS (
+  SELECT doc_id, start, len(words) AS n, array_to_string(words, ' ') AS form, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j,
+    coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY i), length(text)) AS stop, lead(len(words)) OVER (PARTITION BY doc_id ORDER BY i) AS next_n,
+    lead(array_to_string(words, ' ')) OVER (PARTITION BY doc_id ORDER BY i) AS next_form
+  FROM placed WHERE len(words) > 0
+), link AS (
+  SELECT doc_id, j, j AS upto, n, n AS words, md5(form) AS digest, false AS pair FROM unit WHERE n >= 30
+  UNION ALL SELECT doc_id, j, j + 1, n, n + next_n, md5(form || chr(10) || next_form), true FROM unit WHERE next_form IS NOT NULL
+), first AS (
+  SELECT pair, digest, min(doc_id) AS first FROM link GROUP BY pair, digest HAVING min(doc_id) < max(doc_id)
+), held AS (
+  SELECT l.*, again FROM link l JOIN first f USING (pair, digest), (SELECT unnest([true, false]) AS again) WHERE NOT again OR l.doc_id > first
+), grouped AS (
+  SELECT *, j - row_number() OVER (PARTITION BY doc_id, pair, again ORDER BY j) AS run FROM (SELECT DISTINCT * FROM held)
+), run AS (
+  SELECT doc_id, again, min(j) AS begin_j, max(upto) AS end_j FROM grouped
+  GROUP BY doc_id, again, pair, CASE WHEN pair THEN run ELSE j END
+  HAVING sum(n) + CASE WHEN pair THEN arg_max(words - n, j) ELSE 0 END >= 30
+), chosen AS (
+  SELECT DISTINCT doc_id, again, unnest(range(begin_j, end_j + 1)) AS j FROM run
+), mark AS (
+  SELECT u.*, g.j IS NOT NULL AS gone, s.j IS NOT NULL AS shared FROM unit u
+  LEFT JOIN (SELECT * FROM chosen WHERE again) g ON u.doc_id = g.doc_id AND u.j = g.j
+  LEFT JOIN (SELECT * FROM chosen WHERE NOT again) s ON u.doc_id = s.doc_id AND u.j = s.j
+), rest AS (
+  SELECT m.doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(start || '-' || stop, ',' ORDER BY j) FILTER (WHERE gone) AS removed,
+    substr(any_value(text), 1, min(start)::BIGINT) || coalesce(string_agg(substr(text, start::BIGINT + 1, (stop - start)::BIGINT), '' ORDER BY j) FILTER (WHERE NOT gone), '') AS text,
+    coalesce(sum(n) FILTER (WHERE gone), 0) AS n_removed_words, coalesce(sum(n) FILTER (WHERE shared), 0) AS n_shared_words
+  FROM mark m JOIN documents d ON m.doc_id = d.doc_id GROUP BY m.doc_id
+  HAVING count(*) FILTER (WHERE shared) > 0
 )
-SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, length(c.text) AS n_chars, sha256(c.text) AS text_sha256
-FROM documents d LEFT JOIN cut c USING (doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, length(coalesce(r.text, d.text)) AS n_chars,
+  sha256(coalesce(r.text, d.text)) AS text_sha256, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words, coalesce(n_shared_words, 0)::BIGINT AS n_shared_words
+FROM documents d LEFT JOIN rest r USING (doc_id)
 """
 
 OP4 = rf"""

@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizgrove.llm.common import text_key
-from quizgrove.llm.substring import MIN_WORDS, SPANS, cut_out, span_table
+from quizgrove.llm.substring import SPANS, cut_out, span_table
 from quizgrove.session import saved
 
+#: Words of the windows that are compared.
+MIN_WORDS = 20
 #: Words whose hashes a worker keeps.
 CACHED_WORDS = 200_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

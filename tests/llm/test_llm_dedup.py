@@ -21,7 +21,14 @@ def plain(rows):
     return [(*row, "x", 1, "y") for row in rows]
 
 
-def test_repeated_lines_keep_the_first_place(spark):
+def cut_texts(spark, rows, **options):
+    found = {}
+    for row in substring.without_repeats(documents(spark, plain(rows)), **options).collect():
+        found.setdefault(row["doc_id"], []).append((row["text"], [tuple(s) for s in row["spans"] or []]))
+    return found
+
+
+def test_repeated_lines_keep_the_first_document(spark):
     rows = [
         (3, f"own three\n{LONG}\nend", "a"),
         (1, f"own one\n{LONG.upper()}\n{LONG}", "b"),
@@ -33,16 +40,14 @@ def test_repeated_lines_keep_the_first_place(spark):
         (7, f"{LONG} null id", "e"),
         (7, f"{LONG} null id", "e"),
         (8, "", "e"),
+        (9, " \n ", "e"),
     ]
-    found = {}
-    for row in substring.without_repeats(documents(spark, plain(rows))).collect():
-        found.setdefault(row["doc_id"], []).append((row["text"], [tuple(s) for s in row["spans"] or []]))
-    start = len(f"own one\n{LONG}\n")
-    assert found[1] == [(f"own one\n{LONG.upper()}\n", [(start, start + len(LONG))])]
+    found = cut_texts(spark, rows)
+    assert found[1] == [(rows[1][1], [])]  # a document's own repeats stay
     assert found[2] == [("", [(0, len(rows[2][1]))])]
-    assert found[3][0][0] == "own three\nend"
+    assert found[3] == [("own three\nend", [(10, 11 + len(LONG))])]
     assert found[4] == found[5] == [("short line", [])]
-    assert found[6] == [(None, [])] and found[8] == [("", [])]
+    assert found[6] == [(None, [])] and found[8] == [("", [])] and found[9] == [(" \n ", [])]
     assert found[None] == [(f"{LONG} null id", [])]
     assert [text for text, _ in found[7]] == ["", ""]
     paragraphs = documents(spark, plain([(1, f"{LONG}\nmore\n\nx", "a"), (2, f"y\n\n{LONG} more", "a")]))
@@ -51,6 +56,43 @@ def test_repeated_lines_keep_the_first_place(spark):
     assert substring.substring_table(paragraphs.limit(0)).collect() == []
 
 
+def test_runs_of_short_lines_and_of_sentences_inside_lines_go(spark):
+    lines = "\n".join(" ".join(f"l{i}w{j}" for j in range(5)) for i in range(8))  # 40 words, 5 a line
+    said = " ".join(f"S{i} " + " ".join(f"said{i}x{j}" for j in range(6)) + "." for i in range(8))  # 56 words, no line end
+    few = "\n".join(lines.split("\n")[:5])  # 25 words
+    rows = [
+        (1, f"head one\n{lines}\ntail one", "a"),
+        (2, f"head two\n\n{lines.upper()}\n\ntail two", "a"),
+        (3, f"It began so. {said} It ended.", "a"),
+        (4, f"Another begin and {said[:10]} cut off. {said} And more of it.\nlast line", "a"),
+        (5, f"five\n{few}\nfive", "a"),
+        (6, f"six {said.split('. ', 1)[1]} six", "a"),
+    ]
+    found = cut_texts(spark, rows)
+    assert found[1] == [(rows[0][1], [])] and found[3] == [(rows[2][1], [])] and found[5] == [(rows[4][1], [])]
+    assert found[2][0][0] == "head two\n\ntail two"
+    assert found[4][0][0] == f"Another begin and {said[:10]} cut off. And more of it.\nlast line"
+    left = found[6][0][0]  # the sentence that the passage's end shares with the document's own words stays
+    assert left.startswith("six S1") and left.endswith(" six") and len(left.split()) < 20
+    table = {r["doc_id"]: r for r in substring.substring_table(documents(spark, plain(rows))).collect()}
+    assert table[1]["n_shared_words"] == 40 and table[1]["n_removed_words"] == 0 and table[2]["n_removed_words"] == 40
+    assert table[5]["n_shared_words"] == 0 and table[5]["removed"] == ""
+
+
+def test_sentences_that_are_alone_in_common_are_no_run(spark):
+    """Two documents that share many single sentences, but never two in a row, are left alone."""
+    shared = [" ".join(f"c{i}x{j}" for j in range(8)) + "." for i in range(12)]
+    rows = [(d, " ".join(f"{s} own {d} words {i}." for i, s in enumerate(shared)), "a") for d in (1, 2, 3)]
+    assert all(spans == [] for [(_, spans)] in cut_texts(spark, rows).values())
+
+
+def test_a_very_long_text_is_cut_whole(spark):
+    body = " ".join(f"A{i} b{i} c{i} d{i}." for i in range(40_000))
+    passage = " ".join(f"p{i} q{i} r{i}." for i in range(20))
+    found = cut_texts(spark, [(1, f"{passage} The end.", "a"), (2, f"{body} {passage} {body}", "a")])
+    assert found[2][0][0] == f"{body} {body}" and len(found[2][0][1]) == 20
+
+
 def test_lines_on_many_sites_go(spark):
     rows = [(i, f"own {i}\n  All rights reserved \n\nlast {i}", f"s{i % 6}") for i in range(30)]
     rows += [(100 + i, f"once more\nnews {i}", f"s{i % 4}") for i in range(30)]
