@@ -12,7 +12,8 @@ no row goes on from, so that none is tried twice.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import is_
 
 import ahocorasick
 import numpy as np
@@ -21,8 +22,8 @@ import numpy as np
 SPACE = "▁"
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Different words that an encoder keeps in each of two generations (some 60 MB), and pairs of pieces (9 bytes each).
-KEPT_WORDS = 300_000
+#: Different words after which an encoder begins a new generation; it keeps two (some 100 MB each), and pairs of pieces (9 bytes each).
+KEPT_WORDS = 500_000
 KEPT_PAIRS = 1_000_000
 #: Bits of an id where a piece's length stands above it.
 ID_BITS = 24
@@ -100,12 +101,14 @@ class MergeEncoder:
         """The ids of each text. Words that are not kept are gathered from all texts and encoded together."""
         words = [self.cut(self.normalized(text)) for text in texts]
         own = [list(map(self.words.get, run)) for run in words]
-        missing = {word for run, ids in zip(words, own, strict=True) if None in ids for word, known in zip(run, ids, strict=True) if known is None}
+        missing: set[str] = set()
+        for run, ids in zip(words, own, strict=True):
+            missing.update(compress(run, map(is_, ids, repeat(None))))
         new = self.learnt(missing)
         encoded = []
         for run, ids in zip(words, own, strict=True):
-            if None in ids:
-                ids = [new[word] if known is None else known for word, known in zip(run, ids, strict=True)]
+            for i in compress(range(len(ids)), [known is None for known in ids]):
+                ids[i] = new[run[i]]
             found = list(chain.from_iterable(ids))
             if not self.bytes:  # unknown characters side by side share one id
                 found = [n for n, before in zip(found, [-1, *found], strict=False) if not n == before == self.unknown]
@@ -124,14 +127,13 @@ class MergeEncoder:
         known = {part: own for part in asked if (own := self.words.get(part) or self.older.get(part)) is not None}
         asked = [part for part in asked if part not in known]
         short = [part for part in asked if 1 < len(part) <= KEPT_LENGTH]
-        known |= zip(short, map(self.ids_of, self.rows(short), short), strict=True)
-        known |= {part: self.ids_of(self.row(part), part) for part in asked if not 1 < len(part) <= KEPT_LENGTH}
+        known |= zip(short, map(self.ids_of, self.rows(short)), strict=True)
+        known |= {part: self.ids_of(self.row(part)) for part in asked if not 1 < len(part) <= KEPT_LENGTH}
         new |= {word: known[own[0]] if len(own) == 1 else list(chain.from_iterable(known[part] for part in own)) for word, own in parts.items()}
-        for word, own in chain(known.items(), new.items()):
-            if len(word) <= KEPT_LENGTH:
-                if len(self.words) >= KEPT_WORDS:
-                    self.older, self.words = self.words, {}
-                self.words[word] = own
+        if len(self.words) >= KEPT_WORDS:
+            self.older, self.words = self.words, {}
+        for found in (known, new):
+            self.words.update((word, own) for word, own in found.items() if len(word) <= KEPT_LENGTH)
         return new
 
     def parts(self, word: str) -> list[str]:
@@ -145,7 +147,7 @@ class MergeEncoder:
                 begin = i
         return [*found, word[begin:]]
 
-    def ids_of(self, row: list[int], word: str) -> list[int]:
+    def ids_of(self, row: list[int]) -> list[int]:
         """The ids of a row of pieces; a lone character that is no piece has its bytes or is unknown."""
         if max(row, default=0) < self.lone:
             return [self.same[number] for number in row]
