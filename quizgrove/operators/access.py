@@ -191,9 +191,6 @@ def _user_grants(grants: DataFrame) -> DataFrame:
 
 # --- overview counts -------------------------------------------------------------------------
 
-PAIR_LIMIT = 24
-
-
 def _sums(names: Sequence[str]) -> list[Column]:
     return [F.sum(name).alias(name) for name in names]
 
@@ -222,46 +219,35 @@ def _granted_counts(
     return members.join(totals, "org_id").select("class_id", *counts).union(minus)
 
 
-def _pairs(rows: DataFrame, key: str) -> DataFrame:
-    """The pairs of organisations in each short, sorted ``orgs`` array."""
-    heads = rows.select(key, "orgs", F.posexplode("orgs").alias("at", "org_a"))
-    return heads.select(key, "org_a", F.explode(F.slice("orgs", F.col("at") + 2, F.size("orgs"))).alias("org_b"))
-
-
-def _repeated_grants(
-    org_grants: DataFrame, q: DataFrame, members: DataFrame, measures: Sequence[Column], counts: Sequence[str]
-) -> DataFrame:
-    """Per class and grant pattern: how often its questions were counted more than once.
+def _grant_words(org_grants: DataFrame, q: DataFrame) -> DataFrame:
+    """Questions granted to two or more organisations, as bits: org_id, q_key, subject, word and its 64 bits.
 
-    Only questions granted to two or more organisations and classes with two or more of them take
-    part. Questions granted to the same organisations on the same path form one pattern.
+    Questions are numbered in order of path and subject, so that an organisation's questions of one kind share
+    words. The numbers come from a sort by ranges: no path's questions meet in one task.
     """
-    sorted_set = F.sort_array(F.collect_set("org_id")).alias("orgs")
-    sets = org_grants.groupBy("question_id").agg(sorted_set).filter(F.size("orgs") > 1)
-    patterns = saved(
-        sets.join(q, "question_id").groupBy("q_key", "orgs").agg(*measures).withColumn(
-            "pattern_id", _digest("q_key", "orgs")
-        ),
-        "grant-patterns",
-    )
-    groups = members.groupBy("class_id").agg(sorted_set).filter(F.size("orgs") > 1)
-    short = F.size("orgs") <= PAIR_LIMIT
-    # Short on both sides: meet on pairs, so that only real overlaps are made. n pairs are k(k-1)/2.
-    pairs = _pairs(patterns.filter(short), "pattern_id").join(_pairs(groups.filter(short), "class_id"), ["org_a", "org_b"])
-    overlaps = pairs.groupBy("class_id", "pattern_id").agg(
-        ((F.sqrt(8 * F.count("*") + 1) - 1) / 2).cast("long").alias("again")
-    )
+    several = org_grants.groupBy("question_id").agg(F.count("*").alias("grants")).filter(F.col("grants") > 1)
+    order = ["q_key", "subject", "question_id"]
+    rows = q.join(several, "question_id", "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = saved(rows.select(*order, F.monotonically_increasing_id().alias("number")), "granted-questions")
+    bits = F.bit_or(F.expr("shiftleft(1L, CAST(number & 63 AS INT))")).alias("bits")
+    words = org_grants.join(numbered, "question_id").withColumn("word", F.shiftright("number", 6))
+    return saved(words.groupBy("org_id", "q_key", "subject", "word").agg(bits), "grant-words")
 
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        rows = left.select("pattern_id", F.explode("orgs").alias("org_id")).join(
-            right.select("class_id", F.explode("orgs").alias("org_id")), "org_id"
-        )
-        found = rows.groupBy("class_id", "pattern_id").agg((F.count("*") - 1).alias("again"))
-        return found.filter(F.col("again") > 0)
 
-    # A long set on either side (there are few) would make too many pairs: meet on organisations.
-    overlaps = overlaps.union(meet(patterns.filter(~short), groups)).union(meet(patterns.filter(short), groups.filter(~short)))
-    return saved(overlaps.join(patterns.select("pattern_id", "q_key", *counts), "pattern_id"), "repeated-grants")
+def _repeated_grants(org_grants: DataFrame, q: DataFrame, members: DataFrame, subjects: Mapping[str, str]) -> DataFrame:
+    """Per class and path: how often its questions were counted more than once, in total and per subject.
+
+    An organisation's questions are bitmaps; those of a class's organisations are or-ed word by word. What the
+    single bitmaps count more than their union was counted again. Rows follow classes and words, whatever
+    the number of organisations that share a question, and are added up in each task before they are shuffled.
+    """
+    sharing = members.groupBy("class_id").agg(F.count("*").alias("orgs")).filter(F.col("orgs") > 1)
+    words = members.join(sharing, "class_id", "left_semi").join(_grant_words(org_grants, q), "org_id")
+    union = words.groupBy("class_id", "q_key", "subject", "word").agg(F.bit_or("bits").alias("any_org"), F.sum(F.bit_count("bits")).alias("each_org"))
+    again = F.col("each_org") - F.bit_count("any_org")
+    of_subject = [F.sum(F.when(F.col("subject") == value, again).otherwise(0)).alias(name) for name, value in subjects.items()]
+    counts = union.groupBy("class_id", "q_key").agg(F.sum(again).alias("total_questions"), *of_subject)
+    return saved(counts.filter(F.col("total_questions") > 0), "repeated-grants")
 
 
 def overview_stats(
@@ -302,13 +288,13 @@ def overview_stats(
     grants = approved_grants(acl, rules.words)
     members = classes.members.select("class_id", "org_id").distinct()
     by_grant = _granted_counts(_org_grants(grants).join(q, "question_id"), members, tops, uppers, measures, counts, mode)
-    repeats = _repeated_grants(_org_grants(grants), q, members, measures, counts)
+    repeats = _repeated_grants(_org_grants(grants), q, members, subjects)
     to_user = saved(_user_grants(grants).join(q, "question_id").join(classes.users, "user_id"), "user-granted")
     candidates = repeats.select("class_id", "q_key").union(to_user.select("class_id", "q_key"))
     reached = saved(path_visible(candidates, classes, mode), "path-visible")
     extra_org = by_grant.unionByName(
         repeats.join(reached, ["class_id", "q_key"], "left_anti").select(
-            "class_id", *[(-F.col("again") * F.col(name)).alias(name) for name in counts]
+            "class_id", *[(-F.col(name)).alias(name) for name in counts]
         )
     )
     also_by_org = (

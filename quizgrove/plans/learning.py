@@ -9,6 +9,8 @@ from quizgrove.operators.similarity import top_k_similar
 from quizgrove.plans.fixtures import table, with_views
 from quizgrove.plans.recommend import _ranked_sql, _SCORED
 from quizgrove.plans.registry import query
+from quizgrove.session import new_folder
+from quizgrove.streaming import tiers
 
 _A = with_views("f_attempt")
 _W = with_views("f_warning")
@@ -440,3 +442,28 @@ def refresh_daily(spark, sf_dir):
 @query("l28_refresh_weekly", _tier_sql(604800))
 def refresh_weekly(spark, sf_dir):
     return _tier(spark, sf_dir, "7 days")
+
+
+_HEARTBEAT = "2100-01-01 00:00:00"
+
+
+def _streamed_tier(spark, sf_dir, every, delay):
+    """The events as shuffled files, one a batch, and a heartbeat that closes all slots."""
+    events, feed, root = table(spark, sf_dir, "events").select("event_id", "ts", "value"), new_folder(spark, "event-feed"), new_folder(spark, "tier")
+    events.repartition(6, F.xxhash64("event_id")).write.parquet(feed)
+    for step in range(2):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        tiers.start(tiers.tier_stream(stream, every, delay), root).awaitTermination()
+        if not step:
+            beat = events.limit(0).union(spark.sql(f"SELECT -1L, timestamp '{_HEARTBEAT}', CAST(NULL AS DOUBLE)"))
+            beat.coalesce(1).write.mode("append").parquet(feed)
+    return root
+
+
+@query(
+    "l28_stream_daily",
+    f"""SELECT slot_start, n, round(mean_value,6) mean_value FROM ({_tier_sql(86400)})""",
+)
+def streamed_daily(spark, sf_dir):
+    rows = tiers.refreshed(spark, _streamed_tier(spark, sf_dir, "1 day", "2 days"))
+    return rows.select(F.date_format("slot_start", "yyyy-MM-dd HH:mm:ss").alias("slot_start"), "n", F.round("mean_value", 6).alias("mean_value"))

@@ -9,7 +9,7 @@ from quizgrove.plans.fixtures import AS_OF, table, with_views
 from quizgrove.plans.registry import query
 from quizgrove.session import new_folder
 from quizgrove.sources import changes, tables
-from quizgrove.streaming import feeds
+from quizgrove.streaming import feeds, polling
 
 _ANY_BAD = 10**9
 
@@ -429,10 +429,12 @@ def _finish(query_handle):
     query_handle.awaitTermination()
 
 
-def _upserted(spark, sf_dir):
-    feed = _feed(spark, table(spark, sf_dir, "f_change"), "change-feed")
-    root = new_folder(spark, "upsert")
+def _upserted(spark, sf_dir, twice=None):
+    """The copy after a feed. ``twice``: which records it delivers again, in other files."""
+    rows, root = table(spark, sf_dir, "f_change"), new_folder(spark, "upsert")
+    feed = _feed(spark, rows if twice is None else rows.unionByName(rows.filter(twice)), "change-feed")
     stream = changes.file_changes(spark, feed, files_per_batch=2)
+    stream = stream if twice is None else changes.delivered_once(stream)
     work = feeds.upsert_batch(f"{root}/copy", max_bad=_ANY_BAD, table="abc_warning", compact_every=2)
     _finish(feeds.start(stream, work, f"{root}/checkpoint"))
     return feeds.current(spark, f"{root}/copy")
@@ -443,6 +445,11 @@ def stream_upsert(spark, sf_dir):
     return _shown(_upserted(spark, sf_dir))
 
 
+@query("c5_at_least_once", f"{_LATEST} SELECT {_ROW} FROM latest")
+def stream_redelivered(spark, sf_dir):
+    return _shown(_upserted(spark, sf_dir, twice=F.col("kafka_offset") % 3 == 0))
+
+
 @query(
     "c7_snapshot_stream",
     f"""{_LATEST_AND_WARNINGS}
@@ -464,15 +471,16 @@ def snapshot_stream(spark, sf_dir):
 def stream_incremental(spark, sf_dir):
     source, target = _pair(spark, sf_dir)
     feed, root = new_folder(spark, "source-feed"), new_folder(spark, "polling")
+    copy = polling.Target(f"{root}/copy", target.schema, "snapshot_date", tuple(_SYNC_KEYS), grain="year")
+    polling.begin(target, copy)
     bounds = [None, "1998-01-01", "2001-01-01", None]
     for lower, upper in zip(bounds, bounds[1:], strict=False):
         part = source if lower is None else source.filter(F.col("snapshot_date") >= lower)
         part = part if upper is None else part.filter(F.col("snapshot_date") < upper)
         part.write.mode("append").parquet(feed)
         stream = spark.readStream.schema(source.schema).parquet(feed)
-        work = feeds.incremental_batch(f"{root}/copy", target, "snapshot_date", _SYNC_KEYS)
-        _finish(feeds.start(stream, work, f"{root}/checkpoint"))
-    return feeds.copied(spark, f"{root}/copy", target).select("o_orderkey", "o_totalprice")
+        _finish(feeds.start(stream, polling.poll(copy, fold_every=2), f"{root}/checkpoint"))
+    return polling.copied(spark, copy).select("o_orderkey", "o_totalprice")
 
 
 _MUTATIONS = """SELECT c_custkey*3+{step} kafka_offset, 'srv.src.abc_warning' topic, to_json(named_struct(

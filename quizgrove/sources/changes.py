@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ MAX_ROWS = 100_000
 BATCH_SECONDS = 10
 MAX_BAD = 100
 
+#: Fixed value: how long the broker keeps records, and so how late one can be delivered again.
+RETENTION = "168 hours"
+ARRIVED = "arrived_at"
+
 WARNING_SCHEMA = """snapshot_date string, student_id string, attendance_rate string, submit_rate string,
  violation_cnt int, core_fail_cnt int, risk_level string, __op string, op string, __ts_ms bigint, ts_ms bigint,
  __source_db string, __source_table string, __deleted string"""
@@ -27,8 +33,9 @@ def kafka_options(servers: str, topics: str, max_rows: int = MAX_ROWS) -> dict[s
 
 
 def kafka_changes(spark: SparkSession, servers: str, topics: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The change feed as (kafka_offset, topic, value)."""
+    """The change feed as (kafka_offset, topic, value), each record once."""
     feed = spark.readStream.format("kafka").options(**kafka_options(servers, topics, max_rows)).load()
+    feed = delivered_once(feed, ("topic", "partition", "offset"))
     return feed.select(F.col("offset").alias("kafka_offset"), "topic", F.col("value").cast("string").alias("value"))
 
 
@@ -38,6 +45,16 @@ def file_changes(spark: SparkSession, path: str, files_per_batch: int) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def delivered_once(changes: DataFrame, keys: Sequence[str] = ("topic", "kafka_offset"), expiry: str = RETENTION) -> DataFrame:
+    """The feed without records delivered before (C5): a keyed state remembers each place for ``expiry``.
+
+    The state's clock is the time of arrival, the same for all records of a batch and kept with its offsets, so no
+    record is ever too late and none is lost; a record delivered again after more than ``expiry`` passes, and the
+    merge by key makes it harmless. Feeds whose places are per partition name it in ``keys``.
+    """
+    return changes.withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, expiry).dropDuplicatesWithinWatermark(list(keys)).drop(ARRIVED)
+
+
 def routed(changes: DataFrame) -> DataFrame:
     """Adds the table name a topic ``server.database.table`` stands for."""
     return changes.withColumn("table", F.regexp_extract("topic", TOPIC, 3))

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quizgrove.operators.replicate import incremental_rows, latest_per_key, one_per_key
-from quizgrove.session import finished_numbers, remove_folder, saved
+from quizgrove.operators.replicate import latest_per_key
+from quizgrove.session import finished_numbers, remove_folder
 from quizgrove.sources import changes as change_source
 
 KEYS = ("snapshot_date", "student_id")
@@ -131,49 +131,37 @@ def with_snapshot(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str] =
     return latest_per_key(first.unionByName(changes, allowMissingColumns=True), keys)
 
 
+def _table_path(root: str, batch_id: int) -> str:
+    return f"{root}/tables/batch_id={batch_id}"
+
+
 def split_tables(root: str, tables: Sequence[str]):
     """Batch function that routes a multi-table feed to one folder per table.
 
     Rows of tables not listed go to ``UNROUTED`` with their table's name, so that no row is lost whose offset counts
-    as read. The batch is worked out once and written for all tables from there.
+    as read. The batch is read once and written once, partitioned by where its rows go.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        rows = saved(change_source.routed(batch), "routed")
         listed = F.coalesce(F.col("table").isin(*tables), F.lit(False))
-        for name in tables:
-            part = rows.filter(F.col("table") == name)
-            part.drop("table").write.mode("overwrite").parquet(_batch_path(f"{root}/{name}", batch_id))
-        rows.filter(~listed).write.mode("overwrite").parquet(_batch_path(f"{root}/{UNROUTED}", batch_id))
+        rows = change_source.routed(batch).withColumn("goes_to", F.when(listed, F.col("table")).otherwise(UNROUTED))
+        rows.write.mode("overwrite").partitionBy("goes_to").parquet(_table_path(root, batch_id))
 
     return work
 
 
-def table_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return _read_batches(spark, f"{root}/{name}", "kafka_offset bigint, topic string, value string")
-
-
-def unrouted_rows(spark: SparkSession, root: str) -> DataFrame:
-    return _read_batches(spark, f"{root}/{UNROUTED}", "table string, kafka_offset bigint, topic string, value string")
-
-
-# --- high-water-mark copy --------------------------------------------------------------------
-
+def _routed_rows(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """The rows of one folder in each finished batch; other tables' folders are pruned."""
+    paths = [_table_path(root, n) for n in finished_numbers(spark, f"{root}/tables/batch_id=")]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.option("basePath", f"{root}/tables").schema(f"{schema}, batch_id long, goes_to string").parquet(*paths)
+    return rows.filter(F.col("goes_to") == name).drop("batch_id", "goes_to")
 
-def incremental_batch(
-    root: str, start_table: DataFrame, column: str, keys: Sequence[str], empty_floor: Column | None = None
-):
-    """Batch function of the polling sync: rows since the newest copied date, without known keys (C4)."""
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = copied(spark, root, start_table, batch_id)
-        rows = one_per_key(incremental_rows(batch, held, column, keys, empty_floor), keys)
-        rows.select(*start_table.columns).write.mode("overwrite").parquet(_batch_path(root, batch_id))
 
-    return work
+def table_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return _routed_rows(spark, root, name, "kafka_offset bigint, topic string, value string")
 
 
-def copied(spark: SparkSession, root: str, start_table: DataFrame, before: int | None = None) -> DataFrame:
-    """The target: its first content and every finished batch."""
-    return start_table.unionByName(_read_batches(spark, root, start_table.schema, before=before))
+def unrouted_rows(spark: SparkSession, root: str) -> DataFrame:
+    return _routed_rows(spark, root, UNROUTED, "table string, kafka_offset bigint, topic string, value string")

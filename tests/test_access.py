@@ -121,21 +121,35 @@ def test_checks_match_the_literal_join(spark, mode):
     assert {(r.user_id, r.question_id) for r in got} == expected
 
 
-@pytest.mark.parametrize("limit", [1, 2, 24])
-def test_counts_with_many_shared_grants(spark, monkeypatch, limit):
-    """Questions granted to several organisations of one user count once, whichever way they meet."""
+def test_counts_with_many_shared_grants(spark):
+    """Questions granted to several organisations of one user count once; their bits fill several words."""
     rng = random.Random(9)
-    users, _, questions, _ = random_bank(5)
-    members = [(u, f"O{o}", rng.choice(["1/1", "2", None]), None) for u in users[:8] for o in rng.sample(range(6), 4)]
-    grants = [(q, "org", f"O{o}", 1, "approved") for q in range(40) for o in rng.sample(range(6), rng.randrange(5))]
-    grants += [(q, "user", rng.choice(users), 1, "approved") for q in range(40)]
+    users, _, first, _ = random_bank(5)
+    questions = [(q[0] + 40 * i, *q[1:]) for i in range(8) for q in first]
+    members = [(u, f"O{o}", rng.choice(["1/1", "2", None]), None) for u in users[:8] for o in rng.sample(range(40), rng.choice([1, 4, 35]))]
+    grants = [(q[0], "org", f"O{o}", 1, "approved") for q in questions for o in rng.sample(range(40), rng.choice([0, 1, 2, 30]))]
+    grants += [(q[0], "user", rng.choice(users), 1, "approved") for q in questions[:40]]
     bank = (users, members, questions, grants)
-    monkeypatch.setattr(access, "PAIR_LIMIT", limit)
     rules = access.AccessRules(as_of="2024-01-01", words=WORDS)
     expected = literal_rows(questions, members, grants, "segment")
-    for row in access.overview_stats(*frames(spark, bank), {"a_questions": "a"}, rules).collect():
+    subject = {q[0]: q[1] for q in questions}
+    for row in access.overview_stats(*frames(spark, bank), {"a_questions": "a", "b_questions": "b"}, rules).collect():
         seen = {q for u, q, _ in expected if u == row.user_id}
-        assert (row.total_questions, row.a_questions) == (len(seen), sum(questions[q][1] == "a" for q in seen))
+        wanted = (len(seen), *(sum(subject[q] == name for q in seen) for name in "ab"))
+        assert (row.total_questions, row.a_questions, row.b_questions) == wanted
+
+
+def test_shared_grants_are_words_of_bits(spark):
+    """500 questions granted to 60 organisations make a row per organisation and word, not one per grant or pair."""
+    q = spark.range(500).select(F.col("id").alias("question_id"), F.lit("1/1").alias("q_key"), F.lit(None).cast("string").alias("subject"))
+    orgs = spark.range(60).select(F.col("id").cast("string").alias("org_id"))
+    grants = q.select("question_id").join(orgs, F.lit(True)).unionByName(spark.createDataFrame([(1000, "0")], "question_id long, org_id string"))
+    words = access._grant_words(grants, q.repartition(1))
+    assert words.agg(F.sum(F.bit_count("bits"))).first()[0] == 500 * 60
+    assert words.count() <= 60 * (500 // 64 + 1 + int(spark.conf.get("spark.sql.shuffle.partitions")))
+    members = orgs.select(F.lit("c").alias("class_id"), "org_id")
+    again = access._repeated_grants(grants, q, members, {}).collect()
+    assert [(row.class_id, row.q_key, row.total_questions) for row in again] == [("c", "1/1", 500 * 59)]
 
 
 def test_prefixes_of_empty_and_null_paths(spark):
