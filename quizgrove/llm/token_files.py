@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizgrove.llm import simple8b
-from quizgrove.llm.common import text_key
-from quizgrove.llm.tokenizing import TokenizerFile
+from quizgrove.llm.common import small_batches, text_key
+from quizgrove.llm.tokenizing import BYTES_AT_ONCE, TokenizerFile
 
 SEGMENT_IDS = 1 << 19
 
@@ -66,9 +66,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         encoder, part = file.encoder(), TaskContext.get().partitionId()
         offset = size = 0
         doc_ids, pieces = [], []
-        for batch in batches:
-            numbers = batch.column("doc_id").to_pylist()
-            for number, ids in zip(numbers, encoder.ids(batch.column("content")), strict=True):
+        for numbers, texts in gathered(batches):
+            for number, ids in zip(numbers.to_pylist(), encoder.ids(texts), strict=True):
                 if size and size + len(ids) > SEGMENT_IDS:
                     yield segment(part, offset, doc_ids, pieces)
                     offset, size, doc_ids, pieces = offset + size, 0, [], []
@@ -78,7 +77,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         if size:
             yield segment(part, offset, doc_ids, pieces)
 
-    rows.select("doc_id", "content").mapInArrow(encode, SEGMENTS_DDL).write.parquet(folder)
+    with small_batches(docs.sparkSession):
+        rows.select("doc_id", "content").mapInArrow(encode, SEGMENTS_DDL).write.parquet(folder)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of batches that hold about ``BYTES_AT_ONCE`` of text together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BYTES_AT_ONCE:
+            yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
 
 
 def placed_segments(spark: SparkSession, folder: str) -> DataFrame:

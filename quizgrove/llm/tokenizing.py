@@ -17,12 +17,12 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Pieces of text whose ids a worker keeps before it starts afresh (some 60 MB).
-KEPT_PIECES = 1_500_000
+#: Pieces of text whose ids a worker keeps before it starts afresh (some 40 MB, and as much again while a run is looked up).
+KEPT_PIECES = 900_000
 #: New pieces encoded in one call; the library needs some 150 bytes a token meanwhile.
 PIECES_AT_ONCE = 10_000
 #: Bytes of text encoded at once, so that a worker's memory doesn't follow the size of its batches.
-BYTES_AT_ONCE = 1 << 24
+BYTES_AT_ONCE = 1 << 23
 
 
 @dataclass(frozen=True)
