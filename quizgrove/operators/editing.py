@@ -59,11 +59,16 @@ def apply_edits(
     acl: DataFrame,
     rules: AccessRules = AccessRules(),
     require_approved: bool = True,
-) -> tuple[DataFrame, DataFrame]:
-    """The table after allowed overwrites, and the fork rows made by all other edits.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table after allowed overwrites, the fork rows made by other edits, and the refused edits.
 
-    ``edits``: edit_id, user_id, question_id, new_content, overwrite. The last edit of a question wins.
+    ``edits``: edit_id, user_id, question_id, new_content, overwrite. The last edit of a question wins. Edits without a
+    user and those of no or an unknown question are refused: they come back with their columns and a ``reason``.
     """
+    known = question.select("question_id").distinct()
+    unknown = edits.join(known, "question_id", "left_anti").select(*edits.columns, F.lit("unknown question").alias("reason"))
+    nameless = edits.filter(F.col("user_id").isNull()).join(known, "question_id", "left_semi")
+    refused = unknown.unionByName(nameless.select(*edits.columns, F.lit("no user").alias("reason")))
     rights = edit_check(edits, question, user_org, acl, rules, require_approved)
     judged = edits.join(rights, ["user_id", "question_id"]).withColumn(
         "in_place", F.col("can_overwrite") & F.coalesce("overwrite", F.lit(False))
@@ -92,7 +97,7 @@ def apply_edits(
         .withColumnRenamed("new_content", "content")
         .drop("edit_id", "new_creator")
     )
-    return updated, forks
+    return updated, forks, refused
 
 
 def submit_requests(requests: DataFrame, acl: DataFrame, words: Words = Words()) -> DataFrame:

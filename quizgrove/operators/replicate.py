@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizgrove.functions.values import days_behind, latency_ms
 from quizgrove.operators.ranking import percentiles
+from quizgrove.session import saved
 
 # Fixed value: row gap below which the copy counts as healthy.
 HEALTHY_GAP = 1000
@@ -89,6 +91,58 @@ def _changed(rows: DataFrame, name: str) -> Column:
     return ~F.col(f"s.{name}").eqNullSafe(F.col(f"t.{name}"))
 
 
+#: Leaves of a digest tree have numbers of so many bits; the upper half of the bits are a leaf's branch.
+LEAF_BITS = 16
+
+
+def _leaf(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(key).cast("string") for key in keys]), F.lit(1 << LEAF_BITS)).cast("int")
+
+
+def digest_tree(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """leaf, rows and two sums of 64-bit hashes of all rows whose keys fall into the leaf, whatever their order.
+
+    Rows with equal texts of all columns have equal hashes, NULL apart from every text. Each task adds up its own rows first, so
+    that what is shuffled are leaves.
+    """
+    texts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns] + [F.col(name).isNull() for name in columns]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *texts).cast("decimal(20,0)")).alias(f"sum_{seed}") for seed in (1, 2)]
+    return rows.groupBy(_leaf(keys).alias("leaf")).agg(F.count("*").alias("n_rows"), *sums)
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    names = [name for name in left.columns if name != key]
+    pairs = left.join(right.select(key, *[F.col(name).alias(f"other_{name}") for name in names]), key, "full")
+    return pairs.filter(~reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"other_{name}")) for name in names])).select(key)
+
+
+def differing_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The leaves of two digest trees that differ: branches are compared first, and leaves only below those that differ."""
+    half = LEAF_BITS // 2
+
+    def branches(tree: DataFrame) -> DataFrame:
+        sums = [F.sum(name).alias(name) for name in tree.columns if name != "leaf"]
+        return tree.groupBy(F.shiftright("leaf", half).alias("branch")).agg(*sums)
+
+    differing = F.broadcast(_joined(branches(left), branches(right), "branch"))  # at most 2**half rows
+    below = [tree.withColumn("branch", F.shiftright("leaf", half)).join(differing, "branch", "left_semi").drop("branch") for tree in (left, right)]
+    return _joined(*below, "leaf")
+
+
+def unequal_parts(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the rows of leaves whose digests are equal. Rows with a NULL key stay, as they match nothing."""
+    names = [name for name in source.columns if name in target.columns]
+    trees = [saved(digest_tree(side, keys, names), "digest-tree") for side in (source, target)]
+    leaves = F.broadcast(saved(differing_leaves(*trees), "differing-leaves"))  # at most 2**LEAF_BITS narrow rows
+    null_key = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
+
+    def part(side: DataFrame) -> DataFrame:
+        marked = side.withColumn("leaf", _leaf(keys)).join(leaves.withColumn("differs", F.lit(True)), "leaf", "left")
+        return marked.filter(F.col("differs") | null_key).select(*side.columns)
+
+    return part(source), part(target)
+
+
 def _paired(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     left = source.withColumn("in_source", F.lit(True)).alias("s")
     right = target.withColumn("in_target", F.lit(True)).alias("t")
@@ -96,7 +150,12 @@ def _paired(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def verify(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Over all keys: missing rows, extra rows, and differing values per column."""
+    """Over all keys: missing rows, extra rows, and differing values per column.
+
+    Digests of key buckets are compared first, and only rows of buckets that differ meet. Rows that share a key are equal if
+    both sides hold the same ones.
+    """
+    source, target = unequal_parts(source, target, keys)
     names = [name for name in source.columns if name not in keys and name in target.columns]
     both = F.col("in_source").isNotNull() & F.col("in_target").isNotNull()
     pairs = _paired(source, target, keys)
@@ -109,7 +168,8 @@ def verify(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def changed_rows(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key and column with a different value, as text."""
+    """One row per key and column with a different value, as text (J15), from buckets whose digests differ."""
+    source, target = unequal_parts(source, target, keys)
     names = [name for name in source.columns if name not in keys and name in target.columns]
     pairs = _paired(source, target, keys).filter(F.col("in_source").isNotNull() & F.col("in_target").isNotNull())
     cells = F.array(
@@ -190,6 +250,22 @@ def latency_percentile(changes: DataFrame, as_of: Column, fraction: float = 0.99
     return percentiles(rows, [], "delay", {f"p{round(100 * fraction)}_ms": fraction})
 
 
+def latency_sketch(ts_ms: Column, k: int = 400) -> Column:
+    """An aggregate that keeps the distribution of change times in a few KB, to be stored with a batch."""
+    return F.kll_sketch_agg_bigint(ts_ms, k)
+
+
+def sketched_latency(sketches: DataFrame, as_of: Column, fraction: float = 0.99) -> DataFrame:
+    """Percentile of the latency of all changes behind stored sketches (column ``ts_sketch``), without reading the changes.
+
+    The rank of the result is off by about 1 % of the rows at most. Sketches are merged in each task before they
+    are shuffled; no sketch gives NULL.
+    """
+    merged = sketches.filter(F.col("ts_sketch").isNotNull()).agg(F.kll_merge_agg_bigint("ts_sketch").alias("merged"))
+    changed = F.when(F.kll_sketch_get_n_bigint("merged") > 0, F.kll_sketch_get_quantile_bigint("merged", F.lit(1 - fraction)))
+    return merged.select(latency_ms(as_of, changed).alias(f"p{round(100 * fraction)}_ms"), F.kll_sketch_get_n_bigint("merged").alias("n_rows"))
+
+
 def value_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Frequencies of several columns in one pass, most frequent first, NULL left out (A10)."""
     long = rows.select(*[F.col(name).cast("string").alias(name) for name in columns]).unpivot(

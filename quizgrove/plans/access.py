@@ -394,7 +394,7 @@ FROM f_question q LEFT JOIN last USING (question_id)
 UNION ALL SELECT 'fork', concat('Q',edit_id), new_content, user_id, question_id FROM judged WHERE NOT in_place""",
 )
 def fork_or_overwrite(spark, sf_dir):
-    updated, forks = editing.apply_edits(
+    updated, forks, _ = editing.apply_edits(
         table(spark, sf_dir, "f_edit"), table(spark, sf_dir, "f_question"), table(spark, sf_dir, "f_user_org"),
         table(spark, sf_dir, "f_acl"), LISTING,
     )
@@ -404,6 +404,24 @@ def fork_or_overwrite(spark, sf_dir):
     )
 
 
+_ODD_EDITS = """SELECT edit_id, CASE WHEN question_id%4=1 THEN NULL ELSE user_id END user_id,
+ CASE question_id%3 WHEN 1 THEN -question_id WHEN 2 THEN NULL ELSE question_id END question_id, new_content, overwrite FROM {edits}"""
+
+
+@query(
+    "x9_refused_edits",
+    f"""{with_views("f_question", "f_edit")}, odd AS ({_ODD_EDITS.format(edits="f_edit")})
+SELECT edit_id, o.user_id, o.question_id, CASE WHEN q.question_id IS NULL THEN 'unknown question' ELSE 'no user' END reason
+FROM odd o LEFT JOIN f_question q ON q.question_id=o.question_id WHERE q.question_id IS NULL OR o.user_id IS NULL""",
+)
+def refused_edits(spark, sf_dir):
+    edits = spark.sql(_ODD_EDITS, edits=table(spark, sf_dir, "f_edit"))
+    refused = editing.apply_edits(
+        edits, table(spark, sf_dir, "f_question"), table(spark, sf_dir, "f_user_org"), table(spark, sf_dir, "f_acl"), LISTING
+    )[2]
+    return refused.select("edit_id", "user_id", "question_id", "reason")
+
+
 @query(
     "x10_request_edit",
     f"""{with_views("f_acl")}

@@ -9,7 +9,7 @@ from quizgrove.plans.fixtures import AS_OF, table, with_views
 from quizgrove.plans.registry import query
 from quizgrove.session import new_folder
 from quizgrove.sources import changes, tables
-from quizgrove.streaming import feeds, polling
+from quizgrove.streaming import feeds, loads, polling
 
 _ANY_BAD = 10**9
 
@@ -416,6 +416,20 @@ def unwrap(spark, sf_dir):
     return rows.withColumn("price", F.round("price", 2))
 
 
+_BROKEN = """SELECT o_orderkey kafka_offset, CASE o_orderkey%5 WHEN 1 THEN '{{bad' WHEN 2 THEN '{{"op":"c","ts_ms":1}}'
+ WHEN 3 THEN '{{"after":{{"id":1,"price":2.5}}}}' WHEN 4 THEN NULL
+ ELSE concat('{{"op":"c","after":{{"id":', o_orderkey, ',"price":1.5}}}}') END value FROM {orders}"""
+
+
+@query(
+    "s13_bad_envelopes",
+    f"SELECT kafka_offset, value FROM ({_BROKEN.format(orders='orders')}) WHERE kafka_offset%5 IN (1,2,3)",
+)
+def bad_envelopes(spark, sf_dir):
+    feed = spark.sql(_BROKEN, orders=table(spark, sf_dir, "orders"))
+    return changes.bad_envelopes(feed, "id bigint, price double")
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
@@ -450,6 +464,28 @@ def stream_redelivered(spark, sf_dir):
     return _shown(_upserted(spark, sf_dir, twice=F.col("kafka_offset") % 3 == 0))
 
 
+@query(
+    "c9_load_progress",
+    f"""{with_views("f_change")},
+record AS (SELECT kafka_offset, json_valid(value) ok, CASE WHEN json_valid(value) THEN json_extract_string(value,'$.__op') END op
+ FROM f_change WHERE split_part(topic,'.',3)='abc_warning')
+SELECT 4 batches, count(*) FILTER (WHERE ok) good, count(*) FILTER (WHERE NOT ok) bad, max(kafka_offset) last_offset,
+ count(*) FILTER (WHERE op='c') op_c, count(*) FILTER (WHERE op='u') op_u, count(*) FILTER (WHERE op='d') op_d,
+ count(*) FILTER (WHERE op='r') op_r, count(*) FILTER (WHERE op NOT IN ('c','u','d','r')) op_other FROM record""",
+)
+def load_progress(spark, sf_dir):
+    """A load in two runs with a pause between them: what its progress table adds up to."""
+    root = new_folder(spark, "load")
+    feed = _feed(spark, table(spark, sf_dir, "f_change"), "load-feed")
+    work = feeds.upsert_batch(f"{root}/copy", max_bad=_ANY_BAD, table="abc_warning")
+    load = loads.Load(spark, root, lambda: changes.file_changes(spark, feed, files_per_batch=2), work)
+    load.run()
+    load.pause()
+    load.run()
+    load.stop()
+    return load.totals()
+
+
 @query(
     "c7_snapshot_stream",
     f"""{_LATEST_AND_WARNINGS}

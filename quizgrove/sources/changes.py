@@ -87,15 +87,24 @@ def parsed(changes: DataFrame) -> DataFrame:
     ).withColumn("ok", F.col("student_id").isNotNull() & F.col("snapshot_date").isNotNull())
 
 
-def unwrapped(changes: DataFrame, row_schema: str) -> DataFrame:
-    """Rows of full change envelopes: the after image, or the before image of a delete.
+def _enveloped(changes: DataFrame, row_schema: str) -> DataFrame:
+    """The feed with its envelopes as ``e``; ``ok`` is false for those without an operation or a row image.
 
     Tombstones (a NULL value) carry nothing and are dropped.
     """
     envelope = f"before struct<{row_schema}>, after struct<{row_schema}>, op string, ts_ms bigint, " \
         "source struct<db:string,`table`:string>"
     rows = changes.filter(F.col("value").isNotNull()).withColumn("e", F.from_json("value", envelope))
-    return rows.select(
+    image = F.coalesce("e.after", "e.before")
+    return rows.withColumn("ok", F.coalesce(F.col("e.op").isNotNull() & image.isNotNull(), F.lit(False)))
+
+
+def unwrapped(changes: DataFrame, row_schema: str) -> DataFrame:
+    """Rows of full change envelopes: the after image, or the before image of a delete.
+
+    Unreadable envelopes are not among them: ``bad_envelopes`` has them.
+    """
+    return _enveloped(changes, row_schema).filter("ok").select(
         "kafka_offset",
         F.inline(F.array(F.coalesce("e.after", "e.before"))),
         F.col("e.op").alias("op"),
@@ -106,6 +115,11 @@ def unwrapped(changes: DataFrame, row_schema: str) -> DataFrame:
     )
 
 
+def bad_envelopes(changes: DataFrame, row_schema: str) -> DataFrame:
+    """Records that are no envelope, or one without an operation or a row image, as they came."""
+    return _enveloped(changes, row_schema).filter("NOT ok").select(*changes.columns)
+
+
 def good(rows: DataFrame) -> DataFrame:
     return rows.filter("ok")
 

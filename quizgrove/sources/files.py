@@ -33,8 +33,10 @@ def separator_counts(spark: SparkSession, path: str) -> DataFrame:
 
     Tab if there are tabs and not fewer than commas, else comma.
     """
-    lines = spark.read.text(path).limit(SNIFF_CHARACTERS).select(F.substring("value", 1, SNIFF_CHARACTERS).alias("line"))
-    head = lines.agg(F.substring(F.array_join(F.collect_list("line"), "\n"), 1, SNIFF_CHARACTERS).alias("head"))
+    # the first lines: further partitions are read only while there are too few
+    lines = spark.read.text(path).select(F.substring("value", 1, SNIFF_CHARACTERS).alias("line")).head(SNIFF_CHARACTERS)
+    first = "\n".join(line.line for line in lines)[:SNIFF_CHARACTERS]
+    head = spark.range(1).select(F.lit(first).alias("head"))
     counts = [
         (F.length("head") - F.length(F.replace(F.col("head"), F.lit(mark), F.lit("")))).cast("long").alias(name)
         for name, mark in (("tabs", "\t"), ("commas", ","))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quizgrove.operators.replicate import latest_per_key
+from quizgrove.operators.replicate import latency_sketch, latest_per_key
 from quizgrove.session import finished_numbers, remove_folder
 from quizgrove.sources import changes as change_source
 
@@ -57,34 +57,91 @@ def progress(query: StreamingQuery) -> dict[str, object]:
 # --- newest-per-key copy ---------------------------------------------------------------------
 
 
+#: What a batch brought: a row per kind of record. ``op`` is null for unreadable ones.
+PROGRESS = "op string, n_rows long, first_offset long, last_offset long, latest_ts_ms long, ts_sketch binary"
+#: The operations of the feed; records with another one count as ``other``.
+OPERATIONS = ("c", "u", "d", "r")
+
+
+class BudgetError(ValueError):
+    """More unreadable records than allowed."""
+
+
 def upsert_batch(
-    root: str, keys: Sequence[str] = KEYS, max_bad: int = change_source.MAX_BAD, table: str | None = None,
-    compact_every: int | None = 100,
+    root: str, keys: Sequence[str] = KEYS, max_bad: int | None = change_source.MAX_BAD, table: str | None = None,
+    compact_every: int | None = 100, load_budget: int | None = None,
 ):
-    """Batch function of the upsert stream (C5): bad records aside, one row per key kept.
+    """Batch function of the upsert stream (C5): bad records aside, one row per key kept, its progress noted.
 
     A batch costs what it holds; the copy is not rewritten. After every ``compact_every`` batches ``compact`` folds
-    them together, so that readers never meet more folders than two rounds of them.
+    them together, so that readers never meet more folders than two rounds of them. ``max_bad`` bounds the unreadable
+    records of a batch, ``load_budget`` those of the whole load, batches before a restart included (S15). They are
+    put aside before the batch is refused. A batch's progress is its last write, replaced if the batch is repeated.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = change_source.parsed(batch)
         if table is not None:
             rows = rows.filter(F.regexp_extract("topic", change_source.TOPIC, 3) == table)
-        rows = rows.persist()  # read three times below
+        rows = rows.persist()  # counted, and written in two parts
         try:
-            change_source.check_bad(rows, max_bad)
+            counts = _batch_counts(rows)
+            bad = sum(row["n_rows"] for row in counts if row["op"] is None)
             change_source.quarantined(rows).write.mode("overwrite").parquet(f"{root}/bad/batch_id={batch_id}")
+            _check_budget(spark, root, batch_id, bad, max_bad, load_budget)
             kept = latest_per_key(change_source.good(rows).drop("ok", "value", "topic"), keys)
             kept.write.mode("overwrite").parquet(_batch_path(root, batch_id))
+            noted = spark.createDataFrame([tuple(row) for row in counts], PROGRESS)
+            noted.coalesce(1).write.mode("overwrite").parquet(f"{root}/progress/batch_id={batch_id}")
         finally:
             rows.unpersist()
         if compact_every and (batch_id + 1) % compact_every == 0:
-            compact(batch.sparkSession, root, batch_id, keys)
+            compact(spark, root, batch_id, keys)
 
     return work
 
 
+def _batch_counts(rows: DataFrame) -> list:
+    """A batch's records by operation, in one pass: a handful of rows."""
+    op = F.when(F.col("ok"), F.when(F.col("op").isin(*OPERATIONS), F.col("op")).otherwise("other"))
+    measures = [F.count("*").alias("n_rows"), F.min("kafka_offset").alias("first_offset"), F.max("kafka_offset").alias("last_offset")]
+    sketch = F.when(F.count("ts_ms") > 0, latency_sketch(F.col("ts_ms"))).alias("ts_sketch")
+    return rows.groupBy(op.alias("op")).agg(*measures, F.max("ts_ms").alias("latest_ts_ms"), sketch).collect()
+
+
+def _check_budget(spark: SparkSession, root: str, batch_id: int, bad: int, max_bad: int | None, load_budget: int | None) -> None:
+    if max_bad is not None and bad > max_bad:
+        raise BudgetError(f"{bad} unreadable records in one batch, {max_bad} are allowed")
+    if load_budget is not None:
+        before = load_progress(spark, root).filter((F.col("batch_id") < batch_id) & F.col("op").isNull())
+        held = before.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+        if held + bad > load_budget:
+            raise BudgetError(f"{held + bad} unreadable records in the load, {load_budget} are allowed")
+
+
+def load_progress(spark: SparkSession, root: str) -> DataFrame:
+    """batch_id, op and counts of every finished batch."""
+    paths = [f"{root}/progress/batch_id={n}" for n in finished_numbers(spark, f"{root}/progress/batch_id=")]
+    schema = f"{PROGRESS}, batch_id long"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", f"{root}/progress").schema(schema).parquet(*paths)
+
+
+def load_totals(progress: DataFrame) -> DataFrame:
+    """One row for the load: batches, good and bad rows, the last offset, rows per operation."""
+    good = F.col("op").isNotNull()
+    per_op = [F.coalesce(F.sum(F.when(F.col("op") == op, F.col("n_rows"))), F.lit(0)).alias(f"op_{op}") for op in (*OPERATIONS, "other")]
+    return progress.agg(
+        F.count_distinct("batch_id").alias("batches"),
+        F.coalesce(F.sum(F.when(good, F.col("n_rows"))), F.lit(0)).alias("good"),
+        F.coalesce(F.sum(F.when(~good, F.col("n_rows"))), F.lit(0)).alias("bad"),
+        F.max("last_offset").alias("last_offset"),
+        *per_op,
+    )
+
+
 def _state_schema(spark: SparkSession):
     empty = spark.createDataFrame([], "kafka_offset bigint, topic string, value string")
     return latest_per_key(change_source.parsed(empty).drop("ok", "value", "topic"), KEYS).schema

@@ -115,3 +115,38 @@ def test_envelopes(spark):
 def test_kafka_options():
     options = changes.kafka_options("host:9092", "s.d.t")
     assert options["startingOffsets"] == "earliest" and options["maxOffsetsPerTrigger"] == "100000"
+
+
+def test_only_buckets_that_differ_meet(spark):
+    rows = spark.range(5000).select("id", (F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 == 0, "x").alias("b"))
+    other = rows.filter("id <> 17").withColumn("a", F.when(F.col("id") == 40, 99).otherwise(F.col("a")).cast("int"))
+    other = other.unionByName(spark.createDataFrame([(9000, 1, None)], "id long, a int, b string"))
+    source, target = replicate.unequal_parts(rows, other, ["id"])
+    assert source.count() <= 20 and target.count() <= 20
+    assert {17, 40} <= {r.id for r in source.collect()} and {40, 9000} <= {r.id for r in target.collect()}
+    counts = {r.check_name: r.n_rows for r in replicate.verify(rows, other, ["id"]).collect()}
+    assert counts == {"missing": 1, "extra": 1, "changed_a": 1, "changed_b": 0}
+    cells = [tuple(r) for r in replicate.changed_rows(rows, other, ["id"]).collect()]
+    assert cells == [(40, "a", "5", "99")]
+    same = replicate.unequal_parts(rows, rows.repartition(3), ["id"])
+    assert same[0].isEmpty() and same[1].isEmpty()
+    assert {r.n_rows for r in replicate.verify(rows, rows, ["id"]).collect()} == {0}
+
+
+def test_digests_tell_null_from_text_and_swapped_columns(spark):
+    left = spark.createDataFrame([(1, None, "a"), (2, "", "x"), (3, "b", "c"), (None, "n", "n")], "id long, p string, q string")
+    right = spark.createDataFrame([(1, "a", None), (2, None, "x"), (3, "b", "c"), (None, "n", "n")], "id long, p string, q string")
+    counts = {r.check_name: r.n_rows for r in replicate.verify(left, right, ["id"]).collect()}
+    assert counts == {"missing": 1, "extra": 1, "changed_p": 2, "changed_q": 1}  # NULL keys match nothing
+
+
+def test_latency_from_stored_sketches(spark):
+    rows = spark.range(20000).select((F.lit(10**12) + F.col("id") * F.col("id") % 700001).alias("ts_ms"), (F.col("id") % 9).alias("batch"))
+    sketches = rows.groupBy("batch").agg(replicate.latency_sketch(F.col("ts_ms")).alias("ts_sketch"))
+    as_of = F.timestamp_millis(F.lit(10**12 + 10**6))
+    for fraction in (0.5, 0.99):
+        found = replicate.sketched_latency(sketches, as_of, fraction).first()
+        below = rows.filter(F.lit(10**12 + 10**6) - F.col("ts_ms") <= found[0]).count()
+        assert found.n_rows == 20000 and abs(below / 20000 - fraction) < 0.012
+    nothing = spark.createDataFrame([(None,)], "ts_sketch binary")
+    assert replicate.sketched_latency(nothing, as_of).first()[0] is None
