@@ -132,11 +132,11 @@ def incremental(spark, sf_dir):
     return rows.select("o_orderkey", "o_totalprice", *_text("snapshot_date"))
 
 
-@query(
-    "c3_insert_skip",
-    f"""{_SYNC} SELECT o_orderkey, o_totalprice FROM f_target
-UNION ALL SELECT o_orderkey, o_totalprice FROM f_source WHERE o_orderkey NOT IN (SELECT o_orderkey FROM f_target)""",
-)
+_INSERTED = f"""{_SYNC} SELECT o_orderkey, o_totalprice FROM f_target
+UNION ALL SELECT o_orderkey, o_totalprice FROM f_source WHERE o_orderkey NOT IN (SELECT o_orderkey FROM f_target)"""
+
+
+@query("c3_insert_skip", _INSERTED)
 def insert_skip(spark, sf_dir):
     source, target = _pair(spark, sf_dir)
     return replicate.insert_skip(target, source, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
@@ -165,18 +165,41 @@ def reconcile(spark, sf_dir):
     return row.withColumns({name: F.col(name).cast("string") for name in ("source_latest", "target_latest")})
 
 
-@query(
-    "c11_verify",
-    f"""{_SYNC}, p AS (SELECT s.o_orderkey sk, t.o_orderkey tk, s.o_custkey<>t.o_custkey c, s.o_orderstatus<>t.o_orderstatus st,
+_VERIFIED = f"""{_SYNC}, p AS (SELECT s.o_orderkey sk, t.o_orderkey tk, s.o_custkey<>t.o_custkey c, s.o_orderstatus<>t.o_orderstatus st,
  s.o_totalprice<>t.o_totalprice pr, s.snapshot_date<>t.snapshot_date d FROM f_source s FULL JOIN f_target t ON s.o_orderkey=t.o_orderkey)
 SELECT 'missing' check_name, count(*) FILTER (tk IS NULL) n_rows FROM p UNION ALL SELECT 'extra', count(*) FILTER (sk IS NULL) FROM p
 UNION ALL SELECT 'changed_o_custkey', count(*) FILTER (c) FROM p UNION ALL SELECT 'changed_o_orderstatus', count(*) FILTER (st) FROM p
-UNION ALL SELECT 'changed_o_totalprice', count(*) FILTER (pr) FROM p UNION ALL SELECT 'changed_snapshot_date', count(*) FILTER (d) FROM p""",
-)
+UNION ALL SELECT 'changed_o_totalprice', count(*) FILTER (pr) FROM p UNION ALL SELECT 'changed_snapshot_date', count(*) FILTER (d) FROM p"""
+
+
+@query("c11_verify", _VERIFIED)
 def verify(spark, sf_dir):
     return replicate.verify(*_pair(spark, sf_dir), ["o_orderkey"])
 
 
+def _bucketed_pair(spark, sf_dir, keys=("o_orderkey",), buckets=8):
+    """Names of bucketed copies of source and target."""
+    names = []
+    for label, side in zip(("source", "target"), _pair(spark, sf_dir), strict=True):
+        path = new_folder(spark, f"copy-{label}")
+        names.append(path.rsplit("/", 1)[1].replace("-", "_"))
+        tables.create_table(side, names[-1], keys, buckets, path=path)
+    return names
+
+
+@query("c11_verify_colocated", _VERIFIED)
+def verify_colocated(spark, sf_dir):
+    source, target = _bucketed_pair(spark, sf_dir)
+    return replicate.verify(spark.table(source), spark.table(target), ["o_orderkey"], colocated=True)
+
+
+@query("c3_insert_colocated", _INSERTED)
+def insert_colocated(spark, sf_dir):
+    source, target = _bucketed_pair(spark, sf_dir)
+    tables.insert_missing(spark.table(source), target, ["o_orderkey"], 8)
+    return spark.table(target).select("o_orderkey", "o_totalprice")
+
+
 @query(
     "j15_changed_rows",
     f"""{_SYNC} SELECT s.o_orderkey, 'o_totalprice' column_name, round(s.o_totalprice,2) source_value, round(t.o_totalprice,2) target_value

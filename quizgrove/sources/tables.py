@@ -11,6 +11,8 @@ from pyspark.sql.types import (
     BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType,
     StringType, StructField, StructType, TimestampNTZType,
 )
+
+from quizgrove.operators.replicate import missing_rows, one_per_key
 from quizgrove.session import finished_numbers, remove_folder
 
 # Source column types and the type each becomes.
@@ -106,6 +108,18 @@ def create_table(df: DataFrame, name: str, keys: Sequence[str], buckets: int, pa
     writer.saveAsTable(name)
 
 
+def insert_missing(rows: DataFrame, name: str, keys: Sequence[str], buckets: int) -> Observation:
+    """Appends to a bucketed table, one per key, the rows whose key it lacks (C3); the observation holds ``n_rows``.
+
+    If ``rows`` is a table bucketed alike, neither the search for known keys nor the choice of one row a key shuffles.
+    """
+    added, target = Observation("added"), rows.sparkSession.table(name)
+    new = one_per_key(missing_rows(rows, target, keys), keys).select(*target.columns)
+    new = new.repartition(buckets, *keys).observe(added, F.count("*").alias("n_rows"))
+    new.write.bucketBy(buckets, *keys).sortBy(*keys).mode("append").saveAsTable(name)
+    return added
+
+
 def typed(df: DataFrame, schema: StructType) -> DataFrame:
     """The columns of a schema, cast to its types."""
     return df.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields])

@@ -51,3 +51,19 @@ def test_shared_folder_is_the_named_one():
     assert session.shared_folder(NamedFolder) == "/shared/by-all"
     assert session.new_folder(NamedFolder, "x") != session.new_folder(NamedFolder, "x")
     assert session.new_folder(NamedFolder, "x").startswith("/shared/by-all/x-")
+
+
+def test_bucketed_copies_are_joined_without_a_shuffle(spark):
+    from quizgrove.operators import replicate
+    from quizgrove.plans.replicate import _bucketed_pair
+
+    names = _bucketed_pair(spark, SF_DIR)
+    source, target = (spark.table(name).hint("merge") for name in names)
+    joined = replicate._paired(source, target, ["o_orderkey"])
+    missing = replicate.one_per_key(replicate.missing_rows(source, target, ["o_orderkey"]), ["o_orderkey"])
+    for rows in (joined, missing):
+        text = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Exchange" not in text
+    verified = replicate.verify(spark.table(names[0]), spark.table(names[1]), ["o_orderkey"], colocated=True)
+    text = verified._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == text.count("Exchange SinglePartition")  # the counts alone
