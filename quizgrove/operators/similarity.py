@@ -2,8 +2,10 @@
 
 The query side is counted first. Up to ``broadcast_queries`` rows (fewer for long vectors) it is sent
 to every task and the corpus is scanned once, without a shuffle; each task keeps only the best ``k``
-of each query. Beyond that both sides are cut into hash blocks of bounded size and every pair of
-blocks is one task.
+of each query. Beyond that the corpus is dealt into cells around reference points, once. A query visits the
+nearest cells that hold enough items, and then only those whose bound is not below its k-th score so far:
+for an item x in the cell of c, q.x <= q.c + |q| |x - c|, and q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 with |q - x| >= |q - c| - |x - c|.
+Cells are cut into parts of bounded size, and a part's visitors into blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ BROADCAST_QUERIES = 4096
 BROADCAST_CELLS = 4_000_000  # 32 MB of doubles
 BLOCK_BYTES = 64 << 20  # of vectors in a block of the corpus
 SCORE_CELLS = 4_000_000
+#: Reference points, and so cells of the corpus.
+REFERENCE_POINTS = 256
 _RESULT = "query_id {id_type}, item_id {item_type}, score double"
 
 
@@ -77,7 +82,7 @@ def top_k_similar(
 
     ``queries``: query_id, embedding. ``corpus``: item_id (unique), embedding. Scores are rounded to
     ``digits`` so that equal vectors tie and the lower id wins. The query vectors are saved first, so that an
-    embedder runs once for each. Blocks of the corpus hold ``corpus_block`` rows, by default as many as
+    embedder runs once for each. Parts of the corpus hold ``corpus_block`` rows, by default as many as
     take ``BLOCK_BYTES``.
     """
     # the filter comes after, or it would run the embedder a second time
@@ -94,7 +99,7 @@ def top_k_similar(
     if queries.limit(allowed + 1).count() <= allowed:
         found = _scan(queries, corpus, schema, k, digits, exclude_self)
     else:
-        found = _blocks(queries, corpus, schema, k, digits, exclude_self, allowed, corpus_block)
+        found = _pruned(queries, corpus, schema, k, digits, exclude_self, allowed, corpus_block, width)
     return _ranked(found, k)
 
 
@@ -122,30 +127,114 @@ def _scan(
     return corpus.mapInPandas(search, schema)
 
 
-def _blocks(
+def _pruned(
     queries: DataFrame, corpus: DataFrame, schema: str, k: int, digits: int, exclude_self: bool,
-    query_block: int, corpus_block: int,
+    query_block: int, corpus_block: int, width: int,
 ) -> DataFrame:
-    # Half-full blocks on average, so that hashing keeps each one within its bound.
-    query_blocks = -(-2 * queries.count() // query_block)
-    corpus_blocks = max(1, -(-2 * corpus.count() // corpus_block))
+    count = min(REFERENCE_POINTS, max(1, BROADCAST_CELLS // width))
+    chosen = corpus.orderBy(F.xxhash64("item_id"), "item_id").limit(count).select("embedding").toPandas()  # a bounded number
+    if chosen.empty:
+        return corpus.sparkSession.createDataFrame([], schema)
+    points = corpus.sparkSession.sparkContext.broadcast(_matrix(chosen["embedding"]))
+    cells = saved(corpus.mapInPandas(_assigner(points), f"{_typed(corpus, 'item_id')}, embedding array<double>, cell int, reach double, size double"), "cells")
+    held = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach"), F.max("size").alias("size")).collect()  # one row a point
+    bounds = Bounds(points, held, k + exclude_self, 10.0**-digits)
 
-    def numbers(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    def search(visits: DataFrame) -> DataFrame:
+        return _visit(saved(visits, "visits"), queries, cells, bounds, schema, k, digits, exclude_self, query_block, corpus_block)
+
+    id_type = _typed(queries, "query_id")
+    first = search(queries.mapInPandas(bounds.first_visits, f"{id_type}, cell int"))
+    first = saved(_ranked(first, k).drop("rank"), "first-scores")
+    reached = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    asked = queries.join(reached, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+    return first.unionByName(search(asked.mapInPandas(bounds.further_visits, f"{id_type}, cell int")))
+
+
+def _typed(df: DataFrame, name: str) -> str:
+    return f"{name} {df.schema[name].dataType.simpleString()}"
+
+
+def _assigner(points: Broadcast):
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                vectors = _matrix(batch["embedding"])
+                cell = (vectors @ points.value.T - (points.value**2).sum(axis=1) / 2).argmax(axis=1)  # the nearest point
+                reach, size = np.linalg.norm(vectors - points.value[cell], axis=1), np.linalg.norm(vectors, axis=1)
+                yield pd.DataFrame({"item_id": batch["item_id"], "embedding": list(vectors), "cell": cell, "reach": reach, "size": size})
+
+    return assign
+
+
+class Bounds:
+    """Which cells a query visits: numbers per reference point only, whatever the corpus holds."""
+
+    def __init__(self, points: Broadcast, held: list, wanted: int, margin: float):
+        self.points, self.wanted, self.margin = points, wanted, margin
+        self.cells = np.array([row["cell"] for row in held])
+        self.counts = np.array([row["n"] for row in held])
+        self.reach, self.size = (np.array([row[name] for row in held]) for name in ("reach", "size"))
+
+    def _best_possible(self, vectors: np.ndarray) -> np.ndarray:
+        """For each query and cell, a score that no item of the cell exceeds."""
+        centers = self.points.value[self.cells]
+        own = np.linalg.norm(vectors, axis=1)[:, None]
+        along = vectors @ centers.T
+        apart = np.sqrt(np.maximum(own**2 + (centers**2).sum(axis=1) - 2 * along, 0))
+        left = np.maximum(apart * (1 - 1e-9) - self.reach, 0)
+        return np.minimum(along + own * self.reach, (own**2 + self.size**2 - left**2) / 2) + 1e-9 * (1 + own * self.size)
+
+    def _first(self, vectors: np.ndarray) -> np.ndarray:
+        """The most promising cells of each query that hold enough items together."""
+        order = np.argsort(-self._best_possible(vectors), axis=1, kind="stable")
+        before = np.cumsum(self.counts[order], axis=1) - self.counts[order]
+        visited = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(visited, order, before < self.wanted, axis=1)
+        return visited
+
+    def _rows(self, ids: pd.Series, visited: np.ndarray) -> pd.DataFrame:
+        rows, columns = np.nonzero(visited)
+        return pd.DataFrame({"query_id": ids.to_numpy()[rows], "cell": self.cells[columns]})
+
+    def first_visits(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield self._rows(batch["query_id"], self._first(_matrix(batch["embedding"])))
+
+    def further_visits(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Cells not visited first that may hold an item as good as the k-th found, rounding included."""
+        for batch in batches:
+            if len(batch):
+                vectors = _matrix(batch["embedding"])
+                may = self._best_possible(vectors) >= batch["kth"].to_numpy()[:, None] - self.margin
+                yield self._rows(batch["query_id"], may & ~self._first(vectors))
+
+
+def _visit(
+    visits: DataFrame, queries: DataFrame, cells: DataFrame, bounds: Bounds, schema: str, k: int, digits: int,
+    exclude_self: bool, query_block: int, corpus_block: int,
+) -> DataFrame:
+    """The best ``k`` items of each visited part of a cell for each of its visitors."""
+    spark = visits.sparkSession
+    visitors = {row["cell"]: row["n"] for row in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a point
+    # Half-full parts and blocks on average, so that hashing keeps each one within its bound.
+    cuts = [
+        (int(cell), max(1, -(-2 * int(n) // corpus_block)), max(1, -(-2 * visitors[cell] // query_block)))
+        for cell, n in zip(bounds.cells, bounds.counts, strict=True)
+        if cell in visitors
+    ]
+    cut = F.broadcast(spark.createDataFrame(cuts, "cell int, parts int, blocks int"))
+
+    def numbers(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     # New column names keep the two sides apart when both come from one table.
-    left = queries.select(
-        F.col("query_id").alias("asked_id"),
-        F.col("embedding").alias("asked_vector"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("q_block"),
-        numbers(corpus_blocks).alias("c_block"),
-    )
-    right = corpus.select(
-        F.col("item_id").alias("held_id"),
-        F.col("embedding").alias("held_vector"),
-        F.pmod(F.xxhash64("item_id"), F.lit(corpus_blocks)).cast("int").alias("c_block"),
-        numbers(query_blocks).alias("q_block"),
-    )
+    left = visits.join(cut, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+    left = left.join(queries.select("query_id", "embedding"), "query_id")
+    left = left.select(F.col("query_id").alias("asked_id"), F.col("embedding").alias("asked_vector"), "cell", "block", numbers("parts").alias("part"))
+    right = cells.join(cut, "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int"))
+    right = right.select(F.col("item_id").alias("held_id"), F.col("embedding").alias("held_vector"), "cell", "part", numbers("blocks").alias("block"))
 
     def search(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(items):
@@ -157,5 +246,12 @@ def _blocks(
         )
         return pd.DataFrame({"query_id": query_ids[rows], "item_id": ids, "score": scores})
 
-    keys = ["q_block", "c_block"]
+    keys = ["cell", "part", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+
+
+def visited_share(bounds: Bounds, vectors: np.ndarray, kth: np.ndarray) -> float:
+    """Share of all pairs that are scored for queries whose k-th scores after the first visits are given."""
+    first = bounds._first(vectors)
+    more = (bounds._best_possible(vectors) >= kth[:, None] - bounds.margin) & ~first
+    return float(((first | more) @ bounds.counts).sum() / (len(vectors) * bounds.counts.sum()))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizgrove.functions.vectors import l2_normalize
-from quizgrove.operators import recommend
+from quizgrove.operators import recommend, similarity
 from quizgrove.operators.similarity import top_k_similar
 
 
@@ -158,3 +158,39 @@ def test_an_embedder_runs_once_for_each_query(spark, tmp_path):
     corpus = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "item_id string, embedding array<double>")
     assert top_k_similar(queries, corpus, 1).count() == 2
     assert sorted(p.name[0] for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("points", [1, 7, 64])
+def test_pruned_search_is_exact(spark, monkeypatch, points):
+    """Clustered vectors of different lengths, ties and a zero vector: the same rows as by scoring all pairs."""
+    monkeypatch.setattr(similarity, "REFERENCE_POINTS", points)
+    generator = np.random.default_rng(points)
+    middles = generator.normal(size=(8, 12)) * 4
+    vectors = middles[generator.integers(0, 8, 240)] + generator.normal(size=(240, 12)) * 0.2
+    vectors[:5], vectors[5] = vectors[10], 0
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    corpus = spark.createDataFrame([*rows, (999, None)], "item_id long, embedding array<double>")
+    queries = corpus.filter("item_id % 2 = 0").withColumnRenamed("item_id", "query_id")
+    found = similarity.top_k_similar(queries, corpus, 6, broadcast_queries=20, corpus_block=30)
+    wanted = similarity.top_k_similar(queries, corpus, 6)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    assert found.count() == 120 * 6
+
+
+def test_far_cells_are_not_visited():
+    generator = np.random.default_rng(1)
+    middles = generator.normal(size=(50, 32))
+    middles /= np.linalg.norm(middles, axis=1)[:, None]
+    cell = np.repeat(np.arange(50), 40)
+    items = middles[cell] + generator.normal(size=(2000, 32)) * 0.01
+
+    class Points:
+        value = middles
+
+    reach = np.linalg.norm(items - middles[cell], axis=1)
+    held = [{"cell": c, "n": 40, "reach": reach[cell == c].max(), "size": np.linalg.norm(items[cell == c], axis=1).max()} for c in range(50)]
+    bounds = similarity.Bounds(Points, held, 11, 1e-6)
+    scores = items @ items.T
+    assert (np.maximum.reduceat(scores, np.arange(0, 2000, 40), axis=1) <= bounds._best_possible(items)).all()
+    kth = np.sort(np.where(bounds._first(items)[:, cell], scores, -np.inf), axis=1)[:, -10]
+    assert similarity.visited_share(bounds, items, kth) < 0.1
