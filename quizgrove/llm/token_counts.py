@@ -35,14 +35,17 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int) -> Dat
     ``cache`` is a folder in shared storage that may not exist yet. Null texts count as empty: no bytes, no
     tokens. Every row is returned, repeated rows and null ids too; an empty table gives no rows. Other
     columns of ``docs`` are not read. Each copy of a text gets its count by a join on the digest, in which
-    Spark splits the rows of a hot digest; copies are reduced in each task before texts are shuffled.
+    Spark splits the rows of a hot digest; copies are reduced in each task before texts are shuffled, so that
+    a task sends a text once. A text of any length is hashed and encoded whole.
     """
     spark = docs.sparkSession
     file = TokenizerFile.read(spark, tokenizer)
     content = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content"))
-    misses = texts.join(read_cache(spark, cache, file.version), "digest", "left_anti")
-    misses = misses.groupBy("digest").agg(F.first("content").alias("content"))
+    different = texts.groupBy("digest").agg(F.first("content").alias("content"))
+    # a left join: Spark would carry an anti join, and so all copies, below the aggregate
+    held = read_cache(spark, cache, file.version).select("digest", F.lit(True).alias("held"))
+    misses = different.join(held, "digest", "left").filter("held IS NULL").drop("held")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = file.encoder()

@@ -106,3 +106,19 @@ def test_token_files_of_shared_and_null_ids_and_of_nothing(spark):
     empty = new_folder(spark, "tokens")
     token_files.write_tokens(docs.limit(0), path, empty)
     assert token_files.token_digests(spark, empty).collect() == []
+
+
+def test_copies_are_reduced_before_texts_are_shuffled(spark, tmp_path, monkeypatch):
+    """Between the scan and the first exchange stands a partial aggregate, whatever the cache holds."""
+    plans = []
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, *a, **b: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **b))[1])
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "doc_id long, text string")
+    for _ in range(2):
+        rows = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache"), 1)
+        assert rows.count() == 30 and rows.filter("n_tokens = 2 AND over_limit").count() == 30
+    encoding = [plan for plan in plans if "MapInArrow" in plan]
+    assert len(encoding) == 2
+    for plan in encoding:
+        assert plan.index("partial_first(content") < plan.index("Scan ExistingRDD") if "Scan ExistingRDD" in plan else "partial_first(content" in plan
+        assert "LeftAnti" not in plan
