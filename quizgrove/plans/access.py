@@ -167,7 +167,8 @@ def filtered_page(spark, sf_dir):
 
 @query(
     "x6_visibility_check",
-    f"""{with_views("f_user", "f_user_org", "f_question", "f_acl", "f_pair")},
+    f"""{with_views("f_user", "f_user_org", "f_question", "f_acl", "f_pair", stored=True)},
+super AS MATERIALIZED (SELECT user_id FROM f_user WHERE user_type='sysadmin'),
 pair AS MATERIALIZED (SELECT p.user_id, p.question_id, q.org_path FROM f_pair p JOIN f_question q USING (question_id)),
 member AS MATERIALIZED (SELECT DISTINCT user_id, org_id, org_path FROM f_user_org),
 granted AS MATERIALIZED (SELECT DISTINCT resource_id, grantee_type, grantee_id FROM f_acl WHERE perm_level>=0 AND review_status='approved'),
@@ -177,7 +178,7 @@ hit AS MATERIALIZED (
   JOIN granted a ON a.resource_id=q.question_id AND a.grantee_id=q.user_id WHERE a.grantee_type='user'
  UNION SELECT q.user_id, q.question_id FROM pair q JOIN member m ON m.user_id=q.user_id
   JOIN granted a ON a.resource_id=q.question_id AND a.grantee_id=m.org_id WHERE a.grantee_type='org'
- UNION SELECT q.user_id, q.question_id FROM pair q JOIN f_user u ON u.user_id=q.user_id WHERE u.user_type='sysadmin')
+ UNION SELECT q.user_id, q.question_id FROM pair q JOIN super u ON u.user_id=q.user_id)
 SELECT p.user_id, p.question_id, h.user_id IS NOT NULL visible
 FROM f_pair p LEFT JOIN hit h ON h.user_id=p.user_id AND h.question_id=p.question_id""",
 )
@@ -452,12 +453,13 @@ FROM {acl} JOIN {question} ON question_id=resource_id WHERE review_status='pendi
 
 @query(
     "x11_resolve",
-    f"""{with_views("f_user", "f_question", "f_acl")},
+    f"""{with_views("f_user", "f_question", "f_acl", stored=True)},
+super AS MATERIALIZED (SELECT user_id FROM f_user WHERE user_type='sysadmin'),
 decision AS MATERIALIZED ({_DECISIONS.format(acl="f_acl", question="f_question")}),
 judged AS MATERIALIZED (SELECT d.*, q.creator_id FROM decision d JOIN f_question q ON q.question_id=d.resource_id
  WHERE d.action IN ('approve','reject')),
 allowed AS MATERIALIZED (SELECT * FROM judged WHERE creator_id=approver_id
- UNION SELECT d.* FROM judged d JOIN f_user u ON u.user_id=d.approver_id WHERE u.user_type='sysadmin')
+ UNION SELECT d.* FROM judged d JOIN super u ON u.user_id=d.approver_id)
 SELECT a.acl_id, a.resource_id, a.grantee_id,
  CASE d.action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE a.review_status END review_status,
  d.approver_id

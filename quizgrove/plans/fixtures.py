@@ -165,8 +165,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{base: table(spark, sf_dir, base) for base in needs})
 
 
-def with_views(*names: str) -> str:
-    """``WITH`` clause that defines the views for the SQL side."""
+def with_views(*names: str, stored: bool = False) -> str:
+    """``WITH`` clause that defines the views for the SQL side; ``stored``: each is worked out once."""
     parts = []
     for name in names:
         if name == "f_external":
@@ -174,5 +174,5 @@ def with_views(*names: str) -> str:
         else:
             needs, template = VIEWS[name]
             text = template.format(**{base: base for base in needs})
-        parts.append(f"{name} AS ({text})")
+        parts.append(f"{name} AS {'MATERIALIZED ' if stored else ''}({text})")
     return "WITH " + ",\n".join(parts)

@@ -359,10 +359,12 @@ def missing_vectors(spark, sf_dir):
 @query(
     "a16_consistency",
     f"""WITH ids AS (SELECT doc_id id, count(*) n FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) x GROUP BY 1),
-both_sides AS (SELECT coalesce(ids.id, vec_id) id, coalesce(n,0) n_items, CASE WHEN vec_id IS NULL THEN 0 ELSE 1 END n_vectors
- FROM ids FULL JOIN embeddings ON vec_id=ids.id)
-SELECT CAST(sum(n_items) AS BIGINT) items, CAST(sum(n_vectors) AS BIGINT) vectors, count(*) FILTER (n_vectors=0) missing,
- count(*) FILTER (n_items=0) orphans, count(*) FILTER (n_items>1) repeated, 0 id_clashes, false consistent FROM both_sides""",
+held AS (SELECT vec_id, count(*) n FROM embeddings GROUP BY 1),
+both_sides AS (SELECT coalesce(ids.id, vec_id) id, coalesce(ids.n,0) n_items, coalesce(held.n,0) n_vectors
+ FROM ids FULL JOIN held ON vec_id=ids.id),
+counts AS (SELECT CAST(sum(n_items) AS BIGINT) items, CAST(sum(n_vectors) AS BIGINT) vectors, count(*) FILTER (n_vectors=0) missing,
+ count(*) FILTER (n_items=0) orphans, count(*) FILTER (n_items>1 OR n_vectors>1) repeated, count(*)-count(DISTINCT id) id_clashes FROM both_sides)
+SELECT *, missing+orphans+repeated+id_clashes=0 consistent FROM counts""",
 )
 def consistency(spark, sf_dir):
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"))

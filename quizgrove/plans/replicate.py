@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quizgrove.functions import values
+from quizgrove.functions.values import latency_ms
 from quizgrove.operators import access, replicate
 from quizgrove.plans.fixtures import AS_OF, table, with_views
 from quizgrove.plans.registry import query
@@ -395,6 +397,40 @@ def latency_p99(spark, sf_dir):
     return found.select(F.round("p99_ms", 3).alias("p99_ms"))
 
 
+@query(
+    "f18_json_field",
+    f"""{with_views("f_change")} SELECT kafka_offset, json_extract_string(v,'$.__op') op, json_extract_string(v,'$.__ts_ms') ts_ms,
+ json_extract_string(v,'$.student_id') student_id, CAST(NULL AS VARCHAR) gone
+FROM (SELECT kafka_offset, CASE WHEN json_valid(value) THEN value END v FROM f_change)""",
+)
+def json_fields(spark, sf_dir):
+    names = ("op", "ts_ms", "student_id", "gone")
+    return table(spark, sf_dir, "f_change").select("kafka_offset", *[values.json_field(F.col("value"), name).alias(name) for name in names])
+
+
+@query("s10_append", "SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus='F'")
+def append(spark, sf_dir):
+    rows, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), new_folder(spark, "appended")
+    tables.append_rows(rows.drop("o_orderstatus"), path)
+    tables.append_rows(rows.filter("o_orderstatus = 'F'").drop("o_orderstatus"), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "c13_latency_sketch",
+    f"""{_PARSED} SELECT true close_to_p99, count(*) n_rows FROM change WHERE ts_ms IS NOT NULL""",
+)
+def latency_sketch(spark, sf_dir):
+    """P99 from sketches of single days, held against the ranks of all changes: within one percent of them."""
+    rows = changes.good(_changes(spark, sf_dir)).filter("ts_ms IS NOT NULL")
+    as_of = F.lit("2024-06-01T00:00:00Z").cast("timestamp")
+    sketches = rows.groupBy("snapshot_date").agg(replicate.latency_sketch(F.col("ts_ms")).alias("ts_sketch"))
+    found = replicate.sketched_latency(sketches, as_of)
+    below = rows.agg(F.count_if(latency_ms(as_of, F.col("ts_ms")) <= found.select("p99_ms").scalar()).alias("below"))
+    share = below.select("below").scalar() / F.col("n_rows")
+    return found.select((F.abs(share - 0.99) < 0.01).alias("close_to_p99"), "n_rows")
+
+
 @query("s12_route", f"""{with_views("f_change")} SELECT kafka_offset, split_part(topic,'.',3) "table" FROM f_change""")
 def route(spark, sf_dir):
     return changes.routed(table(spark, sf_dir, "f_change")).select("kafka_offset", "table")
