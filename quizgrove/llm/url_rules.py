@@ -10,9 +10,10 @@ among all urls fetches the fewest. Only the rules fetched by a url's own tokens
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,9 +93,34 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(url), F.lit(TOKEN), F.lit(0)))
 
 
+RULES = "number long, rule string, verdict string, site boolean, expression string, tokens array<string>"
+
+
 def rule_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     rows = [(i, r.text, r.verdict, r.site, r.expression(), r.tokens()) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "number long, rule string, verdict string, site boolean, expression string, tokens array<string>")
+    return spark.createDataFrame(rows, RULES)
+
+
+def usable(rules: DataFrame) -> DataFrame:
+    """``rules`` (rule, verdict, site) with ``ok``: a text that is no blank, a verdict of allow or block, and site or not."""
+    fits = (F.trim("rule") != "") & F.col("verdict").isin("allow", "block") & F.col("site").isNotNull()
+    return rules.select("rule", "verdict", "site").withColumn("ok", F.coalesce(fits, F.lit(False)))
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """A list of rules as a table, saved: each different usable rule with its expression and tokens.
+
+    ``usable`` tells which rows are left out. Sites are written as ``host/path``, with a slash at least.
+    """
+    given = usable(rules).filter("ok").drop("ok").distinct().withColumn("number", F.monotonically_increasing_id())
+
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [Rule(*row) for row in zip(batch["rule"], batch["verdict"], batch["site"], strict=True)]
+            yield batch.assign(expression=[rule.expression() for rule in made], tokens=[rule.tokens() for rule in made])
+
+    columns = [column.split()[0] for column in RULES.split(", ")]
+    return saved(saved(given, "given-rules").mapInPandas(prepare, "rule string, verdict string, site boolean, number long, expression string, tokens array<string>").select(*columns), "rules")
 
 
 def rule_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -110,18 +136,19 @@ def rule_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
     return rules.drop("tokens").join(rarest, "number")
 
 
-def judged_urls(pages: DataFrame, rules: Sequence[Rule] = (*SITES, *PATTERNS), default: str = DEFAULT) -> DataFrame:
+def judged_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame = (*SITES, *PATTERNS), default: str = DEFAULT) -> DataFrame:
     """url, host, path, rule (the deciding site or null) and verdict of each different url, null included.
 
     The longest site that fits decides; without one a fitting pattern does, block before allow; else ``default``. Null
-    urls and those without ``://`` have an empty host and path, which no site fits.
+    urls and those without ``://`` have an empty host and path, which no site fits. Urls of any length are judged whole.
+    ``rules`` is a list, or a table of any size that ``rule_table`` made.
     """
     spark = pages.sparkSession
     urls = pages.select("url").distinct()
     host, path = host_and_path(F.col("url"))
     urls = saved(urls.select("url", host.alias("host"), path.alias("path"), url_tokens(F.col("url")).alias("tokens")), "urls")
     tokens = urls.filter("url IS NOT NULL").select("url", "host", "path", F.explode(F.concat("tokens", F.array(F.lit(ANY)))).alias("token"))
-    index = saved(rule_index(rule_frame(spark, rules), tokens), "url-rules")
+    index = saved(rule_index(rules if isinstance(rules, DataFrame) else rule_frame(spark, rules), tokens), "url-rules")
     fetched = tokens.join(counted(index), "token")
     subject = F.when(F.col("site"), F.concat_ws("#", "host", "path")).otherwise(F.lower("url"))
     fitting = fetched.filter(F.regexp_like(subject, F.col("expression")))
@@ -138,7 +165,7 @@ def judged_urls(pages: DataFrame, rules: Sequence[Rule] = (*SITES, *PATTERNS), d
     return rows.select("url", "host", "path", site.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
-def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = (*SITES, *PATTERNS), default: str = DEFAULT) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: Sequence[Rule] | DataFrame = (*SITES, *PATTERNS), default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule and verdict of each row of ``pages``; see ``judged_urls``.
 
     Each different url is judged once. Every row is returned, equal rows and null ids too; other columns are not

@@ -7,6 +7,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quizgrove.llm import mixing, url_rules, warc
 from quizgrove.session import new_folder
 from tests.llm import brute
@@ -156,3 +158,22 @@ def test_taken_words_come_near_targets(spark):
     by_source = mixing.mix_table(docs.select("doc_id", "text", "source")).join(docs.select("doc_id", "source"), "doc_id")
     for row in by_source.groupBy("source", "target").agg({"taken": "sum", "size": "max"}).collect():
         assert abs(row["sum(taken)"] - row["target"]) <= row["max(size)"] / 2
+
+
+def test_a_table_of_a_hundred_thousand_rules(spark):
+    listed = spark.range(100_000).select(
+        F.when(F.col("id") % 2 == 0, F.format_string("site%d.example/", "id")).otherwise(F.format_string("^ad%d^", "id")).alias("rule"),
+        F.lit("block").alias("verdict"),
+        (F.col("id") % 2 == 0).alias("site"),
+    )
+    odd = spark.createDataFrame([(None, "block", True), (" ", "block", False), ("x/", "drop", True), ("y/", "allow", None), ("site4.example/ok/", "allow", True), ("site4.example/ok/", "allow", True)], "rule string, verdict string, site boolean")
+    given = listed.unionByName(odd)
+    assert url_rules.usable(given).filter("NOT ok").count() == 4
+    rules = url_rules.rule_table(given)
+    assert rules.count() == 100_001
+    long_url = "http://z.org/?" + "q=1&" * 50_000 + "/ad77/"
+    urls = ["http://www.site4.example/a", "http://site4.example/ok/b", "http://site5.example/", "http://z.org/ad51/x", "http://z.org/ad51x/", "http://z.org/ad50/", long_url, None]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.url_verdicts(rows, rules).collect()}
+    assert found == {0: ("site4.example/", "block"), 1: ("site4.example/ok/", "allow"), 2: (None, "allow"), 3: (None, "block"), 4: (None, "allow"),
+                     5: (None, "allow"), 6: (None, "block"), 7: (None, "allow")}
