@@ -430,7 +430,7 @@ def list_quality(found: DataFrame, external: DataFrame, items: DataFrame) -> Dat
 
 
 def refresh_tier(events: DataFrame, every: str, measures: Mapping[str, Column] | None = None) -> DataFrame:
-    """Counts and means per time slot such as ``5 minutes`` or ``1 day`` (L28); also for streams."""
+    """Counts and means per time slot such as ``5 minutes`` or ``1 day`` (L28); ``streaming.tiers`` keeps them up to date as a stream."""
     measures = measures or {"n": F.count("*"), "mean_value": _mean("value")}
     slots = events.groupBy(F.window("ts", every).alias("slot")).agg(*[c.alias(n) for n, c in measures.items()])
     return slots.select(F.col("slot.start").alias("slot_start"), *measures)

@@ -221,7 +221,10 @@ def op_statistics(changes: DataFrame) -> DataFrame:
 
 
 def latest_per_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts_ms", "kafka_offset")) -> DataFrame:
-    """The last change of each key by event time, then offset (W3, P15). No row is sorted."""
+    """The last change of each key by event time, then offset.
+
+    An aggregate that each task begins on its own rows; as it keeps whole rows, Spark sorts a task's rows by key for it.
+    """
     rest = [name for name in changes.columns if name not in keys]
     last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last"))
     return last.select(*keys, "last.*")
