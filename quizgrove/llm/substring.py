@@ -54,8 +54,6 @@ def units_of(text: str, unit: str) -> tuple[list[int], list[int], list[bytes]]:
 def links_of(text: str, unit: str, min_words: int) -> Iterator[tuple[bytes, int]]:
     """Digest and place of each link: 2 * i + 1 for units i and i + 1, 2 * i for a unit that is long enough alone."""
     _, counts, forms = units_of(text, unit)
-    if sum(counts) < min_words:
-        return
     for i, form in enumerate(forms):
         if counts[i] >= min_words:
             yield hashlib.blake2b(form, digest_size=16).digest(), 2 * i
@@ -86,6 +84,7 @@ def links(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
 def marks(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
     """doc_id, text_key, again (links an earlier document holds) and shared (links that any other document holds).
 
+    A document of any length holds links: a run of 30 words may stand in several shorter documents, part by part.
     Only documents with such links are listed, once each: equal rows (id and text) are one document. A link's
     first document is found by an aggregate that each task begins on its own rows; a link that very many
     documents share is joined back as Spark splits skewed joins. Links are cut anew for that rather than stored.

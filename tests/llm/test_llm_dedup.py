@@ -79,6 +79,15 @@ def test_runs_of_short_lines_and_of_sentences_inside_lines_go(spark):
     assert table[5]["n_shared_words"] == 0 and table[5]["removed"] == ""
 
 
+def test_a_run_that_shorter_documents_hold_together_goes(spark):
+    """Documents of 24 words are too short for a run, but their links count for those that come later."""
+    a, b, c = (" ".join(f"{name}{j}" for j in range(12)) for name in "abc")
+    docs = documents(spark, plain([(1, f"{a}\n{b}", "s"), (2, f"{b}\n{c}", "s"), (3, f"{a}\n{b}\n{c}\nown", "s"), (4, f"{c}\n{a}", "s")]))
+    found = {r["doc_id"]: r for r in substring.without_repeats(docs).collect()}
+    assert found[3]["text"] == "own" and found[3]["n_removed_words"] == found[3]["n_shared_words"] == 36
+    assert all(found[i]["spans"] is None and found[i]["n_shared_words"] == 0 for i in (1, 2, 4))
+
+
 def test_sentences_that_are_alone_in_common_are_no_run(spark):
     """Two documents that share many single sentences, but never two in a row, are left alone."""
     shared = [" ".join(f"c{i}x{j}" for j in range(8)) + "." for i in range(12)]
