@@ -2,10 +2,12 @@
 
 The query side is counted first. Up to ``broadcast_queries`` rows (fewer for long vectors) it is sent
 to every task and the corpus is scanned once, without a shuffle; each task keeps only the best ``k``
-of each query. Beyond that the corpus is dealt into cells around reference points, once. A query visits the
-nearest cells that hold enough items, and then only those whose bound is not below its k-th score so far:
+of each query. Beyond that the corpus is dealt into cells around reference points, once, and neighbouring cells into
+packs of bounded size. A query visits the packs of the most promising cells that hold enough items, and then only packs with a cell
+whose bound is not below its k-th score so far; inside a pack it is compared with such cells only:
 for an item x in the cell of c, q.x <= q.c + |q| |x - c|, and q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 with |q - x| >= |q - c| - |x - c|.
-Cells are cut into parts of bounded size, and a part's visitors into blocks.
+A vector is shuffled once for each pack it meets, never for each cell, and packs are as large as a task holds. Of
+items with equal vectors only the lowest ids can be among the best, the others stay behind.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ from quizgrove.session import saved
 BROADCAST_QUERIES = 4096
 BROADCAST_CELLS = 4_000_000  # 32 MB of doubles
 BLOCK_BYTES = 64 << 20  # of vectors in a block of the corpus
+PART_BYTES = 16 << 20  # of vectors in a shuffled part of the corpus, and in a block of its visitors
+LEAST_PARTS = 8  # smaller parts for a small corpus, so that all cores have work
 SCORE_CELLS = 4_000_000
+SCORED_QUERIES = 1024  # scored and bounded together
 #: Reference points, and so cells of the corpus.
 REFERENCE_POINTS = 256
 _RESULT = "query_id {id_type}, item_id {item_type}, score double"
@@ -82,8 +87,8 @@ def top_k_similar(
 
     ``queries``: query_id, embedding. ``corpus``: item_id (unique), embedding. Scores are rounded to
     ``digits`` so that equal vectors tie and the lower id wins. The query vectors are saved first, so that an
-    embedder runs once for each. Parts of the corpus hold ``corpus_block`` rows, by default as many as
-    take ``BLOCK_BYTES``.
+    embedder runs once for each. At most ``broadcast_queries`` queries and ``corpus_block`` items are scored at a time,
+    by default as many as take ``BLOCK_BYTES``; how many meet in a task follows from ``PART_BYTES``.
     """
     # the filter comes after, or it would run the embedder a second time
     queries = saved(queries.select("query_id", "embedding"), "query-vectors").filter(F.col("embedding").isNotNull())
@@ -136,19 +141,25 @@ def _pruned(
     if chosen.empty:
         return corpus.sparkSession.createDataFrame([], schema)
     points = corpus.sparkSession.sparkContext.broadcast(_matrix(chosen["embedding"]))
+    # equal vectors tie with every query and the lower ids win; one id more, as a query's own may be left out
+    copies = F.dense_rank().over(Window.partitionBy("embedding").orderBy("item_id"))
+    corpus = corpus.withColumn("copy", copies).filter(F.col("copy") <= k + exclude_self).drop("copy")
     cells = saved(corpus.mapInPandas(_assigner(points), f"{_typed(corpus, 'item_id')}, embedding array<double>, cell int, reach double, size double"), "cells")
     held = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach"), F.max("size").alias("size")).collect()  # one row a point
-    bounds = Bounds(points, held, k + exclude_self, 10.0**-digits)
+    total = sum(row["n"] for row in held)
+    part_rows = max(1, min(PART_BYTES // (8 * width), -(-total // LEAST_PARTS)))
+    bounds = Bounds(points, held, k + exclude_self, 10.0**-digits, part_rows)
+    search = _searcher(bounds, k, digits, exclude_self, min(query_block, SCORED_QUERIES), corpus_block)
 
-    def search(visits: DataFrame) -> DataFrame:
-        return _visit(saved(visits, "visits"), queries, cells, bounds, schema, k, digits, exclude_self, query_block, corpus_block)
+    def visited(asked: DataFrame, visits) -> DataFrame:
+        rows = asked.mapInPandas(visits, f"{_typed(queries, 'query_id')}, embedding array<double>, kth double, pack int")
+        return _visit(rows, cells, bounds, search, schema, part_rows)
 
-    id_type = _typed(queries, "query_id")
-    first = search(queries.mapInPandas(bounds.first_visits, f"{id_type}, cell int"))
+    first = visited(queries.withColumn("kth", F.lit(float("-inf"))), bounds.first_visits)
     first = saved(_ranked(first, k).drop("rank"), "first-scores")
     reached = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     asked = queries.join(reached, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
-    return first.unionByName(search(asked.mapInPandas(bounds.further_visits, f"{id_type}, cell int")))
+    return first.unionByName(visited(saved(asked, "asked"), bounds.further_visits))
 
 
 def _typed(df: DataFrame, name: str) -> str:
@@ -168,90 +179,165 @@ def _assigner(points: Broadcast):
 
 
 class Bounds:
-    """Which cells a query visits: numbers per reference point only, whatever the corpus holds."""
+    """Which cells and packs a query visits: numbers per reference point only, whatever the corpus holds."""
 
-    def __init__(self, points: Broadcast, held: list, wanted: int, margin: float):
+    def __init__(self, points: Broadcast, held: list, wanted: int, margin: float, part_rows: int = 1):
         self.points, self.wanted, self.margin = points, wanted, margin
         self.cells = np.array([row["cell"] for row in held])
         self.counts = np.array([row["n"] for row in held])
         self.reach, self.size = (np.array([row[name] for row in held]) for name in ("reach", "size"))
+        self.packs = self._packed(part_rows)
 
-    def _best_possible(self, vectors: np.ndarray) -> np.ndarray:
-        """For each query and cell, a score that no item of the cell exceeds."""
+    def _packed(self, part_rows: int) -> np.ndarray:
+        """The pack of each cell: cells in order along the axis on which they differ most, until they hold ``part_rows`` items."""
         centers = self.points.value[self.cells]
+        _, _, axes = np.linalg.svd(centers - centers.mean(axis=0), full_matrices=False)
+        order = np.argsort(centers @ axes[0], kind="stable")
+        middle = np.cumsum(self.counts[order]) - self.counts[order] / 2
+        packs = np.empty(len(order), dtype=np.int64)
+        packs[order] = np.unique(middle // part_rows, return_inverse=True)[1]
+        return packs
+
+    def _best_possible(self, vectors: np.ndarray, places: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """For each query and cell, a score that no item of the cell exceeds."""
+        centers, reach, size = self.points.value[self.cells[places]], self.reach[places], self.size[places]
         own = np.linalg.norm(vectors, axis=1)[:, None]
         along = vectors @ centers.T
         apart = np.sqrt(np.maximum(own**2 + (centers**2).sum(axis=1) - 2 * along, 0))
-        left = np.maximum(apart * (1 - 1e-9) - self.reach, 0)
-        return np.minimum(along + own * self.reach, (own**2 + self.size**2 - left**2) / 2) + 1e-9 * (1 + own * self.size)
+        left = np.maximum(apart * (1 - 1e-9) - reach, 0)
+        return np.minimum(along + own * reach, (own**2 + size**2 - left**2) / 2) + 1e-9 * (1 + own * size)
 
     def _first(self, vectors: np.ndarray) -> np.ndarray:
         """The most promising cells of each query that hold enough items together."""
-        order = np.argsort(-self._best_possible(vectors), axis=1, kind="stable")
+        return self._promising(self._best_possible(vectors))
+
+    def _promising(self, best: np.ndarray) -> np.ndarray:
+        order = np.argsort(-best, axis=1, kind="stable")
         before = np.cumsum(self.counts[order], axis=1) - self.counts[order]
         visited = np.zeros(order.shape, dtype=bool)
         np.put_along_axis(visited, order, before < self.wanted, axis=1)
         return visited
 
-    def _rows(self, ids: pd.Series, visited: np.ndarray) -> pd.DataFrame:
+    def _packs_of(self, visited: np.ndarray) -> np.ndarray:
+        """Which packs hold a visited cell, for each query."""
         rows, columns = np.nonzero(visited)
-        return pd.DataFrame({"query_id": ids.to_numpy()[rows], "cell": self.cells[columns]})
+        packs = np.zeros((len(visited), self.packs.max() + 1), dtype=bool)
+        packs[rows, self.packs[columns]] = True
+        return packs
 
-    def first_visits(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def _visits(self, batches: Iterator[pd.DataFrame], further: bool) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield self._rows(batch["query_id"], self._first(_matrix(batch["embedding"])))
+            for at in range(0, len(batch), SCORED_QUERIES):
+                some = batch.iloc[at : at + SCORED_QUERIES]
+                best = self._best_possible(_matrix(some["embedding"]))
+                packs = self._packs_of(self._promising(best))
+                if further:
+                    packs = self._packs_of(best >= some["kth"].to_numpy()[:, None] - self.margin) & ~packs
+                rows, visited = np.nonzero(packs)
+                if len(rows):
+                    yield some[["query_id", "embedding", "kth"]].iloc[rows].assign(pack=visited.astype(np.int32))
+
+    def first_visits(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return self._visits(batches, False)
 
     def further_visits(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells not visited first that may hold an item as good as the k-th found, rounding included."""
-        for batch in batches:
-            if len(batch):
-                vectors = _matrix(batch["embedding"])
-                may = self._best_possible(vectors) >= batch["kth"].to_numpy()[:, None] - self.margin
-                yield self._rows(batch["query_id"], may & ~self._first(vectors))
+        """Packs not visited first that may hold an item as good as the k-th found, rounding included."""
+        return self._visits(batches, True)
 
 
-def _visit(
-    visits: DataFrame, queries: DataFrame, cells: DataFrame, bounds: Bounds, schema: str, k: int, digits: int,
-    exclude_self: bool, query_block: int, corpus_block: int,
-) -> DataFrame:
-    """The best ``k`` items of each visited part of a cell for each of its visitors."""
+def _visit(visits: DataFrame, cells: DataFrame, bounds: Bounds, search, schema: str, part_rows: int) -> DataFrame:
+    """The best items of each visited part of a pack for each of its visitors."""
     spark = visits.sparkSession
-    visitors = {row["cell"]: row["n"] for row in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a point
-    # Half-full parts and blocks on average, so that hashing keeps each one within its bound.
-    cuts = [
-        (int(cell), max(1, -(-2 * int(n) // corpus_block)), max(1, -(-2 * visitors[cell] // query_block)))
-        for cell, n in zip(bounds.cells, bounds.counts, strict=True)
-        if cell in visitors
-    ]
-    cut = F.broadcast(spark.createDataFrame(cuts, "cell int, parts int, blocks int"))
+    visitors = {row["pack"]: row["n"] for row in visits.groupBy("pack").agg(F.count("*").alias("n")).collect()}  # one row a pack
+    sizes = np.bincount(bounds.packs, weights=bounds.counts)
+    # A pack is more than its bound by a part of a cell; only one with a very large cell is cut.
+    cuts = [(int(pack), max(1, int(sizes[pack] / part_rows + 0.5)), -(-int(n) // part_rows)) for pack, n in visitors.items()]
+    cut = F.broadcast(spark.createDataFrame(cuts, "pack int, parts int, blocks int"))
+    packs = [(int(cell), int(pack)) for cell, pack in zip(bounds.cells, bounds.packs, strict=True)]
+    pack_of = F.broadcast(spark.createDataFrame(packs, "cell int, pack int"))
 
     def numbers(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     # New column names keep the two sides apart when both come from one table.
-    left = visits.join(cut, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
-    left = left.join(queries.select("query_id", "embedding"), "query_id")
-    left = left.select(F.col("query_id").alias("asked_id"), F.col("embedding").alias("asked_vector"), "cell", "block", numbers("parts").alias("part"))
-    right = cells.join(cut, "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int"))
-    right = right.select(F.col("item_id").alias("held_id"), F.col("embedding").alias("held_vector"), "cell", "part", numbers("blocks").alias("block"))
+    left = visits.join(cut, "pack").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+    left = left.select(F.col("query_id").alias("asked_id"), F.col("embedding").alias("asked_vector"), "kth", "pack", "block", numbers("parts").alias("part"))
+    right = cells.join(pack_of, "cell").join(cut, "pack").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int"))
+    right = right.select(F.col("item_id").alias("held_id"), F.col("embedding").alias("held_vector"), "cell", "pack", "part", numbers("blocks").alias("block"))
+    keys = ["pack", "part", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+
+
+def _searcher(bounds: Bounds, k: int, digits: int, exclude_self: bool, query_block: int, corpus_block: int):
+    """Scores a block of queries against a part of a pack, cell by cell, while a cell may reach a query's k-th score."""
+
+    def chunk(query_ids, queries, floor, item_ids, items, places, begins) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best = bounds._best_possible(queries, places)
+        step = max(1, min(corpus_block, SCORE_CELLS // len(queries)))
+        rows, ids, scores = np.zeros(0, np.int64), item_ids[:0], np.zeros(0)
+        for cell in np.argsort(-best.max(axis=0), kind="stable"):
+            for at in range(begins[cell], begins[cell + 1], step):
+                asked = np.flatnonzero(best[:, cell] >= floor - bounds.margin)
+                if not len(asked):
+                    break
+                to = min(at + step, begins[cell + 1])
+                more = _at_least(query_ids[asked], queries[asked], floor[asked], item_ids[at:to], items[at:to], k, digits, exclude_self)
+                if not len(more[0]):
+                    continue
+                rows, ids, scores = np.append(rows, asked[more[0]]), np.append(ids, more[1]), np.append(scores, more[2])
+                rows, ids, scores = _cut(rows, ids, scores, k)
+                full, counts = np.unique(rows, return_counts=True)
+                full, last = full[counts == k], np.cumsum(counts)[counts == k] - 1
+                floor[full] = np.maximum(floor[full], scores[last])
+        return rows, ids, scores
 
     def search(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(items):
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        query_ids = asked["asked_id"].to_numpy()
-        rows, ids, scores = _best(
-            query_ids, _matrix(asked["asked_vector"]), items["held_id"].to_numpy(), _matrix(items["held_vector"]),
-            k, digits, exclude_self,
-        )
-        return pd.DataFrame({"query_id": query_ids[rows], "item_id": ids, "score": scores})
-
-    keys = ["cell", "part", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+        items = items.sort_values("cell", kind="stable")
+        item_ids, vectors = items["held_id"].to_numpy(), _matrix(items["held_vector"])
+        cells, begins = np.unique(items["cell"].to_numpy(), return_index=True)
+        begins = np.append(begins, len(items))
+        places = np.flatnonzero(np.isin(bounds.cells, cells))
+        places = places[np.argsort(bounds.cells[places])]
+        query_ids, queries, floors = asked["asked_id"].to_numpy(), _matrix(asked["asked_vector"]), asked["kth"].to_numpy()
+        nearest = [bounds._best_possible(queries[at : at + query_block], places).argmax(axis=1) for at in range(0, len(queries), query_block)]
+        order = np.argsort(np.concatenate(nearest), kind="stable")  # queries that look into the same cells are scored together
+        parts = []
+        for at in range(0, len(order), query_block):
+            own = order[at : at + query_block]
+            rows, ids, scores = chunk(query_ids[own], queries[own], floors[own], item_ids, vectors, places, begins)
+            parts.append((query_ids[own][rows], ids, scores))
+        return pd.DataFrame(dict(zip(("query_id", "item_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    return search
+
+
+def _at_least(
+    query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, item_ids: np.ndarray, items: np.ndarray,
+    k: int, digits: int, exclude_self: bool,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The items that may be among the best ``k``, of scores not below ``floor``, as (query position, item id, score)."""
+    margin = 10.0**-digits
+    scores = queries @ items.T
+    bar, unknown = floor - margin, np.flatnonzero(np.isneginf(floor))
+    if len(unknown):
+        some = scores[unknown]
+        if exclude_self:
+            some[query_ids[unknown, None] == item_ids[None, :]] = -np.inf
+        if some.shape[1] > k:
+            bar[unknown] = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] - margin
+        scores[unknown] = some
+    rows, columns = np.nonzero(scores >= bar[:, None])
+    found = np.round(scores[rows, columns], digits)
+    keep = (found >= floor[rows]) & (found > -np.inf)
+    if exclude_self:
+        keep &= query_ids[rows] != item_ids[columns]
+    return _cut(rows[keep], item_ids[columns[keep]], found[keep], k)
 
 
 def visited_share(bounds: Bounds, vectors: np.ndarray, kth: np.ndarray) -> float:
     """Share of all pairs that are scored for queries whose k-th scores after the first visits are given."""
-    first = bounds._first(vectors)
-    more = (bounds._best_possible(vectors) >= kth[:, None] - bounds.margin) & ~first
-    return float(((first | more) @ bounds.counts).sum() / (len(vectors) * bounds.counts.sum()))
+    best = bounds._best_possible(vectors)
+    visited = bounds._promising(best) | (best >= kth[:, None] - bounds.margin)
+    return float((visited @ bounds.counts).sum() / (len(vectors) * bounds.counts.sum()))

@@ -194,3 +194,29 @@ def test_far_cells_are_not_visited():
     assert (np.maximum.reduceat(scores, np.arange(0, 2000, 40), axis=1) <= bounds._best_possible(items)).all()
     kth = np.sort(np.where(bounds._first(items)[:, cell], scores, -np.inf), axis=1)[:, -10]
     assert similarity.visited_share(bounds, items, kth) < 0.1
+
+
+def test_a_query_is_sent_once_for_each_pack(spark, monkeypatch):
+    """Many small cells: a query meets packs of them, and of items with equal vectors only those that can be listed."""
+    generator = np.random.default_rng(3)
+    vectors = generator.normal(size=(300, 6))  # no clusters: most cells are visited
+    vectors[100:] = vectors[100]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "item_id long, embedding array<double>")
+    queries, kept, sent = items.withColumnRenamed("item_id", "query_id"), [], []
+    save, visit = similarity.saved, similarity._visit
+
+    def counted(df, label):
+        kept.extend([df.count()] if label == "cells" else [])
+        return save(df, label)
+
+    def counted_visits(visits, *rest):
+        sent.append(visits.count())
+        return visit(visits, *rest)
+
+    monkeypatch.setattr(similarity, "saved", counted)
+    monkeypatch.setattr(similarity, "_visit", counted_visits)
+    found = top_k_similar(queries, items, 4, broadcast_queries=10, corpus_block=7).collect()
+    assert kept == [105] and sum(sent) <= 2 * similarity.LEAST_PARTS * 300
+    expected = brute(dict(enumerate(vectors)), 4)
+    for name, wanted in expected.items():
+        assert [r.item_id for r in sorted((r for r in found if r.query_id == name), key=lambda r: r.rank)] == [w[0] for w in wanted]
