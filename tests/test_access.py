@@ -213,3 +213,25 @@ def test_lineage_of_long_chains_and_cycles(spark):
     cycle = spark.createDataFrame([(1, 2), (2, 1)], "question_id long, parent_id long")
     with pytest.raises(ValueError):
         editing.fork_lineage(cycle)
+
+
+def test_lists_of_many_users_are_made_by_many_tasks(spark, monkeypatch):
+    """Users of one class and a question table with odd rows: one array a user, rows in tasks of bounded size."""
+    import datetime as dt
+
+    monkeypatch.setattr(access, "LISTED_ROWS", 100)
+    day = dt.date(2024, 1, 1)
+    users = spark.createDataFrame([(f"U{i}", "one") for i in range(90)] + [("V", "none")], "user_id string, class_id string")
+    shown = [("one", None, day), ("one", 3, day), ("one", 4, None), ("one", 9, day + dt.timedelta(days=1))]
+    own = [("U1", 2, day), ("U1", 3, day), ("U1", 3, day), ("U2", 7, None), ("V", 5, day)]
+    found = access._listed(
+        users, spark.createDataFrame(shown, "class_id string, question_id long, created_at date"),
+        spark.createDataFrame(own, "user_id string, question_id long, created_at date"), 4,
+    )
+    lists = {}
+    for row in found.collect():
+        lists.setdefault(row["user_id"], []).append(row["question_id"])
+    assert {user: sorted(x or 0 for x in ids) for user, ids in lists.items() if user in ("U0", "U1", "U2", "V")} == {
+        "U0": [0, 3, 4, 9], "U1": [0, 2, 3, 9], "U2": [0, 3, 4, 9], "V": [5],
+    }
+    assert len(lists) == 91 and found.rdd.getNumPartitions() == 4
