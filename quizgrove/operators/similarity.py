@@ -151,6 +151,11 @@ def _pruned(
     bounds = Bounds(points, held, k + exclude_self, 10.0**-digits, part_rows)
     search = _searcher(bounds, k, digits, exclude_self, min(query_block, SCORED_QUERIES), corpus_block)
 
+    # each row of a repeated query id counts once for every row of that id; an id that is null has no neighbours
+    times = queries.groupBy("query_id").agg(F.count("*").alias("n"))
+    queries = queries.join(times, "query_id").select("query_id", "embedding", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("n"))
+    queries = saved(queries.drop("n"), "all-queries")
+
     def visited(asked: DataFrame, visits) -> DataFrame:
         rows = asked.mapInPandas(visits, f"{_typed(queries, 'query_id')}, embedding array<double>, kth double, pack int")
         return _visit(rows, cells, bounds, search, schema, part_rows)
