@@ -32,6 +32,8 @@ ANY_ANGLE = r"(?s)<[^>]+>"
 SPACE = (
     r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
+# The same for Java alone: printable ASCII is told apart first, before the ranges are tried one by one.
+SPACE_IN_JAVA = rf"[[^\x21-\x7E]&&{SPACE[:-1]}]+"
 # Fixed values of the text rules.
 OPTION_PATTERN = r"[A-D][\.、]"
 CIRCLED_ONE = "①"
@@ -63,7 +65,7 @@ def _strip_markup(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    return F.trim(F.regexp_replace(text, SPACE_IN_JAVA, " "))
 
 
 def clean_html(raw: Column, *, full_entities: bool = False, compat: bool = False) -> Column:
@@ -71,10 +73,13 @@ def clean_html(raw: Column, *, full_entities: bool = False, compat: bool = False
 
     ``compat`` also removes any ``<...>`` run, including inequalities such as ``x<3 and y>2``.
     """
-    text = decode_entities(F.coalesce(raw, F.lit("")), full_entities)
+    raw = F.coalesce(raw, F.lit(""))
+    text = decode_entities(raw, full_entities)
     text = decode_entities(_strip_markup(text), full_entities)
     text = F.regexp_replace(F.regexp_replace(text, COMMENT, " "), ANY_ANGLE if compat else TAG, " ")
-    return squeeze(text)
+    # neither markup nor an entity begins otherwise
+    marked = F.contains(raw, F.lit("<")) | F.contains(raw, F.lit("&"))
+    return squeeze(F.when(marked, text).otherwise(raw))
 
 
 def _joined(parts: list[Column]) -> Column:

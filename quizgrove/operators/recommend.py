@@ -286,8 +286,10 @@ def add_questions(
     content = F.col("content")
     options = F.col("options") if "options" in batch.columns else F.lit("")
     type_id = F.col("type_id") if "type_id" in batch.columns else F.lit(None).cast("int")
-    texts = fresh.withColumn("text", text_functions.build_stem_with_options(content, options, type_id))
-    return embed(texts.filter(F.length("text") > 0), "text", embedder)
+    stem = text_functions.build_stem_with_options(content, options, type_id)
+    # a filter would be pushed below the column and clean every text twice
+    texts = fresh.withColumn("text", F.explode(F.filter(F.array(stem), lambda text: F.length(text) > 0)))
+    return embed(texts, "text", embedder)
 
 
 def append(left: DataFrame, right: DataFrame) -> DataFrame:

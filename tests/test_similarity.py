@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +222,16 @@ def test_a_query_is_sent_once_for_each_pack(spark, monkeypatch):
     expected = brute(dict(enumerate(vectors)), 4)
     for name, wanted in expected.items():
         assert [r.item_id for r in sorted((r for r in found if r.query_id == name), key=lambda r: r.rank)] == [w[0] for w in wanted]
+
+
+def test_added_texts_are_cleaned_once_and_hashed_in_batches(spark):
+    known = spark.createDataFrame([], "question_id bigint")
+    batch = spark.createDataFrame([(1, " A　b\x1ca &amp; ", 1), (2, "<p> </p>", 1)], "question_id bigint, content string, seq int")
+    added = recommend.add_questions(known, batch)
+    plan = added._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<template") == 1 and "md5(" not in plan
+    counts = np.zeros(64)
+    for word in ("a", "b", "a", "&"):
+        counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+    (row,) = added.collect()
+    assert row.question_id == 1 and np.allclose(row.embedding, counts / np.linalg.norm(counts), atol=0)

@@ -100,3 +100,11 @@ def test_keyword_pick(spark):
     rows = spark.createDataFrame([(i, "Angle" if i in (3, 15, 17) else None) for i in range(20)], "seq long, content string")
     assert recommend.keyword_pick(rows, ["angle"], "seq").first().seq == 15
     assert recommend.keyword_pick(rows, ["circle"], "seq").first().seq == 19
+
+
+def test_squeeze_knows_all_white_space_and_nothing_else(spark):
+    points = [*range(0x2100), *range(0x2FF0, 0x3010), 0xFEFF, 0x1F600]
+    rows = spark.createDataFrame([(point, f"a{chr(point)}b") for point in points if point], "point int, v string")
+    spaces = {row.point for row in rows.filter(text.squeeze(F.col("v")) == "a b").collect()}
+    assert spaces == {point for point in points if point and chr(point).isspace()}
+    assert "&&" in text.SPACE_IN_JAVA and "&&" not in text.SPACE
