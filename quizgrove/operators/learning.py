@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizgrove.operators.joins import null_safe_join
-from quizgrove.operators.ranking import percentiles, value_positions
+from quizgrove.operators.ranking import percentiles_of, value_positions
 from quizgrove.session import saved
 
 # Fixed values of the metrics.
@@ -219,16 +219,22 @@ def standard_scores(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def box_plot(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, spread and outliers per group."""
-    quarters = percentiles(rows, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    positions = saved(value_positions(rows, [group], value), "positions")
+    quarters = percentiles_of(positions, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    weight, x = F.col("n"), F.col(value).cast("double")
+    moments = positions.groupBy(group).agg((F.sum(weight * x) / F.sum(weight)).alias("mean"))
+    # Groups are few; the join only adds four numbers to a counted value.
+    few = null_safe_join(quarters, moments, [group])
+    counts = null_safe_join(positions.select(group, value, "n"), few, [group])
     reach = (F.col("q3") - F.col("q1")) * 1.5
     outside = (F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)
-    # Groups are few; the join only adds three numbers to a row before it is counted.
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
-    counts = null_safe_join(counts, quarters, [group])
-    outliers = counts.groupBy(group).agg(F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"))
-    spread = rows.groupBy(group).agg(F.round(F.stddev(value) / F.avg(value), 6).alias("variation"))
+    squares = F.sum(weight * (x - F.col("mean")) * (x - F.col("mean")))
+    spread = counts.groupBy(group).agg(
+        F.coalesce(F.sum(F.when(outside, weight)), F.lit(0)).alias("outliers"),
+        F.round(F.sqrt(F.try_divide(squares, F.sum(weight) - 1)) / F.max("mean"), 6).alias("variation"),
+    )
     rounded = [F.round(name, 4).alias(name) for name in ("q1", "median", "q3")]
-    return null_safe_join(null_safe_join(quarters.select(group, *rounded), outliers, [group]), spread, [group])
+    return null_safe_join(quarters.select(group, *rounded), spread, [group])
 
 
 def rank_changes(attempts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizgrove.operators.joins import null_safe_join
@@ -17,16 +17,22 @@ from quizgrove.operators.joins import null_safe_join
 RANGES = 256
 
 
+def _bounds_below(bounds: Column, value: Column, ranges: int) -> Column:
+    """How many of fewer than ``ranges`` ascending bounds are below the value, found by halving."""
+    steps = F.lit([2**power for power in reversed(range((ranges - 1).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda below, step: below + F.when(F.get(bounds, below + step - 1) < value, step).otherwise(0)
+    )
+
+
 def value_positions(rows: DataFrame, group: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
     """Per group and distinct value: ``n`` equal rows, ``before`` smaller rows, ``total`` rows."""
     group = list(group)
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
     cuts = [step / ranges for step in range(1, ranges)]
-    bounds = counts.groupBy(*group).agg(F.percentile_approx(value, cuts, 10 * ranges).alias("bounds"))
+    bounds = counts.groupBy(*group).agg(F.sort_array(F.percentile_approx(value, cuts, 10 * ranges)).alias("bounds"))
     placed = null_safe_join(counts, bounds, group) if group else counts.withColumn("bounds", bounds.select("bounds").scalar())
-    placed = placed.withColumn(
-        "value_range", F.size(F.filter("bounds", lambda bound: bound < F.col(value)))
-    ).drop("bounds")
+    placed = placed.withColumn("value_range", _bounds_below(F.col("bounds"), F.col(value), ranges)).drop("bounds")
     sizes = placed.groupBy(*group, "value_range").agg(F.sum("n").alias("range_rows"))
     # At most ``ranges`` rows per group from here.
     whole = Window.partitionBy(*group)
@@ -46,8 +52,12 @@ def value_positions(rows: DataFrame, group: Sequence[str], value: str, ranges: i
 
 def percentiles(rows: DataFrame, group: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     """Interpolated percentiles per group; ``points`` maps output names to fractions."""
+    return percentiles_of(value_positions(rows, group, value), group, value, points)
+
+
+def percentiles_of(positions: DataFrame, group: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
+    """The same from the rows of ``value_positions``."""
     group = list(group)
-    positions = value_positions(rows, group, value)
 
     def at(index):
         inside = (F.col("before") <= index) & (index < F.col("before") + F.col("n"))

@@ -84,3 +84,24 @@ def test_null_groups_are_groups(spark):
     assert {r.teacher_id: r.n for r in learning.value_added(tries).collect()} == {1: 2, 2: 2}
     lifts = learning.association(tries.withColumn("kind", F.lit(None).cast("string")), "kind", "topic").collect()
     assert {r.topic: r.lift for r in lifts} == {None: 1.0, "t": 1.0}
+
+
+@pytest.mark.parametrize("ranges", [2, 3, 17, 256])
+def test_a_value_meets_few_of_the_bounds(spark, ranges):
+    bounds = sorted(random.Random(4).choices(range(90), k=ranges - 1))
+    rows = spark.range(95).withColumn("bounds", F.lit(bounds).cast("array<bigint>"))
+    found = rows.select("id", ranking._bounds_below(F.col("bounds"), F.col("id"), ranges).alias("below")).collect()
+    assert {r.id: r.below for r in found} == {x: sum(bound < x for bound in bounds) for x in range(95)}
+
+
+def test_a_box_plot_reads_the_rows_once(spark):
+    rows = [("t", 1.0), ("t", 1.0), ("t", 2.5), ("t", 90.0), ("t", None), ("one", 4.0), (None, 2.0), (None, 3.0), ("none", None)]
+    frame = spark.createDataFrame(rows, "topic string, score double")
+    boxes = learning.box_plot(frame, "topic", "score")
+    assert "ExistingRDD" not in boxes._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in boxes._jdf.queryExecution().optimizedPlan().toString()
+    assert boxes.inputFiles()
+    found = {r.topic: r for r in boxes.collect()}
+    plain = {r.topic: r.v for r in frame.groupBy("topic").agg(F.round(F.stddev("score") / F.avg("score"), 6).alias("v")).collect()}
+    assert {topic: row.variation for topic, row in found.items()} == {topic: plain[topic] for topic in ("t", "one", None)}
+    assert found["t"].outliers == 1
