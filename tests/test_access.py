@@ -235,3 +235,21 @@ def test_lists_of_many_users_are_made_by_many_tasks(spark, monkeypatch):
         "U0": [0, 3, 4, 9], "U1": [0, 2, 3, 9], "U2": [0, 3, 4, 9], "V": [5],
     }
     assert len(lists) == 91 and found.rdd.getNumPartitions() == 4
+
+
+def test_checked_pairs_are_read_once(spark):
+    # U0 through a path, U1 as administrator, U2 through the organisation's grant, the rest unknown
+    pairs = spark.range(40).select(F.concat(F.lit("U"), F.col("id") % 4).alias("user_id"), F.expr("nullif(id div 8, 4)").alias("question_id"))
+    users = spark.createDataFrame([("U1", "sysadmin"), ("U1", "sysadmin"), ("U2", "x")], USER)
+    members = spark.createDataFrame([("U0", "A", "1", None), ("U2", "B", "3", None), ("U2", "C", None, None)], ORG)
+    questions = [(0, "a", "U9", "1/1", 1, None), (1, "a", "U9", "2", 1, None), (1, "a", "U9", "1", 0, None), (2, "a", "U9", "1", 0, None)]
+    question = spark.createDataFrame(questions, QUESTION)
+    acl = spark.createDataFrame([(1, "org", "B", 0, "approved"), (1, "org", "C", 0, "approved"), (0, "user", "U2", 0, "pending")], ACL)
+    for enabled_only, by_path in ((True, {0}), (False, {0, 1, 2})):
+        rules = access.AccessRules(enabled_only=enabled_only, check_expiry=False, words=WORDS)
+        checked = access.visibility_check(pairs, users, question, members, acl, rules)
+        assert "Range (" not in checked._jdf.queryExecution().optimizedPlan().toString()
+        rows = checked.collect()
+        assert len(rows) == 20 and checked.columns == ["user_id", "question_id", "visible"]
+        seen = {(r.user_id, r.question_id) for r in rows if r.visible}
+        assert seen == {("U0", q) for q in by_path} | {("U1", q) for q in (0, 1, 2)} | {("U2", 1)}
