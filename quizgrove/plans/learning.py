@@ -466,4 +466,6 @@ def _streamed_tier(spark, sf_dir, every, delay):
 )
 def streamed_daily(spark, sf_dir):
     rows = tiers.refreshed(spark, _streamed_tier(spark, sf_dir, "1 day", "2 days"))
-    return rows.select(F.date_format("slot_start", "yyyy-MM-dd HH:mm:ss").alias("slot_start"), "n", F.round("mean_value", 6).alias("mean_value"))
+    # nine digits first, as in the batch tiers: the order in which a slot's values were added must not decide a tie
+    mean = F.round(F.round("mean_value", 9), 6).alias("mean_value")
+    return rows.select(F.date_format("slot_start", "yyyy-MM-dd HH:mm:ss").alias("slot_start"), "n", mean)
