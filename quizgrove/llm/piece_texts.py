@@ -57,9 +57,10 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             for begin, end in runs(texts):
-                ids = encoder.encode_all([text or "" for text in texts.slice(begin, end - begin).to_pylist()])
-                decoded = [encoder.decode(own) for own in ids]
-                columns = [batch.column("doc_id").slice(begin, end - begin), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                bounds, ids = encoder.encode_arrays([text or "" for text in texts.slice(begin, end - begin).to_pylist()])
+                decoded = encoder.decode_all(bounds, ids)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                columns = [batch.column("doc_id").slice(begin, end - begin), lists, pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

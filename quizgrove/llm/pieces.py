@@ -7,22 +7,24 @@ in the two pieces beside it as well. So there is one such row, and each of its b
 text. ``MergeEncoder`` looks for it from the left with the longest piece at each place (all found by one
 Aho-Corasick pass), takes a shorter one where neighbours don't fit, and notes in a bitfield the places that
 no row goes on from, so that none is tried twice.
+
+Texts are encoded together as arrays of code points: they are cut into words between characters that stand side by
+side in no piece, and the different words take each step at the same time.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain, compress, repeat
-from operator import is_
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 
 #: Stands for a space in a model's pieces (fixed value of the format).
 SPACE = "▁"
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Different words after which an encoder begins a new generation; it keeps two (some 100 MB each), and pairs of pieces (9 bytes each).
+#: Different words after which an encoder begins a new generation; it keeps two (some 100 MB each), and pairs of pieces (some 50 bytes each).
 KEPT_WORDS = 500_000
 KEPT_PAIRS = 1_000_000
 #: Bits of an id where a piece's length stands above it.
@@ -32,9 +34,100 @@ ID_MASK = (1 << ID_BITS) - 1
 KEPT_LENGTH = 48
 
 
-def no_pairs() -> tuple[np.ndarray, np.ndarray]:
-    """Known pairs: sorted numbers (two ids each) up to one that is no pair, and whether they fit."""
-    return np.array([np.iinfo(np.int64).max]), np.zeros(1, dtype=bool)
+class Numbers:
+    """Whole numbers by keys (neither is negative), for arrays of keys at a time: at most a quarter of the slots is taken."""
+
+    def __init__(self):
+        self.count, self.bits = 0, 8
+        self.keys, self.values = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, dtype=np.int64)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the free one that it would take."""
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[at]
+        others = np.flatnonzero((there != keys) & (there >= 0))
+        while len(others):
+            at[others] = at[others] + 1 & len(self.keys) - 1
+            there = self.keys[at[others]]
+            others = others[(there != keys[others]) & (there >= 0)]
+        return at
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; -1: none."""
+        at = self.slots(keys)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds different keys that have no number yet."""
+        self.count += len(keys)
+        if 4 * self.count > len(self.keys):
+            taken = self.keys >= 0
+            keys, values = np.concatenate([self.keys[taken], keys]), np.concatenate([self.values[taken], values])
+            self.bits = max(8, (4 * self.count).bit_length())
+            self.keys, self.values = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, dtype=np.int64)
+        while len(keys):
+            at = self.slots(keys)
+            self.keys[at] = keys  # one of those that meet in a slot
+            stays = self.keys[at] == keys
+            self.values[at[stays]] = values[stays]
+            keys, values = keys[~stays], values[~stays]
+
+
+class Growing:
+    """An array that others are added to; its room doubles."""
+
+    def __init__(self, values: np.ndarray):
+        self.room, self.size = values, len(values)
+
+    def add(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.room):
+            self.room = np.concatenate([self.room[: self.size], np.zeros(size, dtype=self.room.dtype)])
+        self.room[self.size : size] = values
+        self.size = size
+
+
+class LongestPieces:
+    """Aho-Corasick automaton of the pieces read from their ends: the state at a place tells the longest piece that begins there."""
+
+    def __init__(self, ids: dict[str, int], dense: np.ndarray):
+        names = ["", *sorted({piece[i:] for piece in ids for i in range(len(piece))}, key=len)]
+        states = {name: state for state, name in enumerate(names)}
+        self.dense, self.width = dense, int(dense.max()) + 1
+        self.fail, self.best = np.zeros(len(names), dtype=np.int64), np.full(len(names), -1)
+        for state, name in enumerate(names):
+            self.fail[state] = next((states[name[:n]] for n in range(len(name) - 1, 0, -1) if name[:n] in states), 0)
+            self.best[state] = ids.get(name, self.best[self.fail[state]])
+        begins = np.fromiter((states[name[1:]] for name in names[1:]), dtype=np.int64)
+        chars = dense[np.fromiter((ord(name[0]) for name in names[1:]), dtype=np.int64)]
+        self.steps = Numbers()
+        self.steps.add(begins * self.width + chars, np.arange(1, len(names)))
+
+    def step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        states = states.copy()
+        after = self.steps.get(states * self.width + chars)
+        back = np.flatnonzero((after < 0) & (states > 0))
+        while len(back):
+            fallen = states[back] = self.fail[states[back]]
+            found = after[back] = self.steps.get(fallen * self.width + chars[back])
+            back = back[(found < 0) & (fallen > 0)]
+        return np.maximum(after, 0)
+
+    def find(self, codes: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The longest piece at each place of words, the longest word first; -1: none."""
+        longest = np.full(len(codes), -1)
+        chars, states = self.dense[codes], np.zeros(len(ends), dtype=np.int64)
+        for i, going in enumerate(np.searchsorted(-sizes, -np.arange(sizes.max(initial=0))).tolist()):
+            at = ends[:going] - 1 - i
+            states = self.step(states[:going], chars[at])
+            longest[at] = self.best[states]
+        return longest
+
+
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(begins - before, sizes) + np.arange(sizes.sum())
 
 
 class MergeEncoder:
@@ -67,24 +160,27 @@ class MergeEncoder:
         for piece in self.ids:
             self.automaton.add_word(piece, len(piece) << ID_BITS | self.ids[piece])
         self.automaton.make_automaton()
-        # a word begins at the first of its spaces, if no piece goes on over such a place; a character that no longer
-        # piece holds is a word of its own
-        longer = [piece for piece in self.ids if len(piece) > 1]
-        held = set("".join(self.ids))
-        joined = "".join(map(re.escape, sorted(set("".join(longer)) - {SPACE})))
-        across = any(SPACE in piece.lstrip(SPACE) for piece in longer)
-        self.cut = re.compile(f"(?s){SPACE}*[{joined}]+|{SPACE}+|." if joined and not across else "(?s).+").findall
-        #: Characters that stand side by side in some piece; between others no merge is possible.
-        self.beside = {piece[i : i + 2] for piece in longer for i in range(len(piece) - 1)}
+        beside = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        held = sorted(set("".join(self.ids)))
+        #: Number of each character in the pieces; 0: in none.
+        self.dense = np.zeros(0x110000, dtype=np.int32)
+        self.dense[[ord(c) for c in held]] = np.arange(1, len(held) + 1)
+        self.width = len(held) + 1
+        #: Bitfield of the characters that stand side by side in some piece; between others no merge is possible.
+        self.beside = np.zeros(self.width * self.width // 8 + 1, dtype=np.uint8)
+        for pair in beside:
+            key = int(self.dense[ord(pair[0])]) * self.width + int(self.dense[ord(pair[1])])
+            self.beside[key >> 3] |= 1 << (key & 7)
+        self.longest = LongestPieces(self.ids, self.dense)
         self.names = [piece.piece for piece in model.pieces]
         self.sizes, self.lone = [len(name) for name in self.names], len(self.names)
-        self.same = list(range(self.lone))  # one object an id, whatever the number of words that hold it
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        #: Numbers of the words that are kept (code points as bytes); their ids stand one word after the other.
+        self.words: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
+        self.kept, self.begins, self.counts = (Growing(np.zeros(0, dtype=kind)) for kind in (np.int32, np.int64, np.int64))
         self.lengths = np.array([*self.sizes, 1])
         self.prefix = np.array([*map(self.prefix_of, self.names), -1])
-        self.border = next(c for c in map(chr, range(0x110000)) if c not in held)
-        self.known = no_pairs()
+        self.known = Numbers()
         self.steps: dict[int, list | None] = {}
 
     def normalized(self, text: str) -> str:
@@ -98,59 +194,91 @@ class MergeEncoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text. Words that are not kept are gathered from all texts and encoded together."""
-        words = [self.cut(self.normalized(text)) for text in texts]
-        own = [list(map(self.words.get, run)) for run in words]
-        missing: set[str] = set()
-        for run, ids in zip(words, own, strict=True):
-            missing.update(compress(run, map(is_, ids, repeat(None))))
-        new = self.learnt(missing)
-        encoded = []
-        for run, ids in zip(words, own, strict=True):
-            for i in compress(range(len(ids)), [known is None for known in ids]):
-                ids[i] = new[run[i]]
-            found = list(chain.from_iterable(ids))
-            if not self.bytes:  # unknown characters side by side share one id
-                found = [n for n, before in zip(found, [-1, *found], strict=False) if not n == before == self.unknown]
-            found.append(self.end_id)
-            encoded.append(found)
-        return encoded
+        """The ids of each text."""
+        bounds, ids = self.encode_arrays(texts)
+        ids = ids.tolist()
+        return [ids[begin:end] for begin, end in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+
+    def encode_arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text begin (and the last ones end), and the ids of all texts."""
+        normalized = list(map(self.normalized, texts))
+        sizes = np.fromiter(map(len, normalized), dtype=np.int64, count=len(texts))
+        codes = np.frombuffer("".join(normalized).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        first = np.cumsum(sizes) - sizes
+        begins = self.word_begins(codes, first[sizes > 0])
+        limits = pa.py_buffer(4 * np.append(begins, len(codes)))
+        words = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, limits, pa.py_buffer(codes)]).dictionary_encode()
+        numbers = self.learnt(words.dictionary)[words.indices.to_numpy()]
+        counts = self.counts.room[numbers]
+        ids = self.kept.room[spread(self.begins.room[numbers], counts)]
+        bounds = np.append(0, np.cumsum(counts))[np.searchsorted(begins, np.append(first, len(codes)))]
+        if not self.bytes:  # unknown characters side by side share one id
+            stays = np.ones(len(ids), dtype=bool)
+            stays[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
+            stays[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+            ids, bounds = ids[stays], np.append(0, np.cumsum(stays))[bounds]
+        return bounds + np.arange(len(bounds)), np.insert(ids, bounds[1:], self.end_id)
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
-    def learnt(self, words: set[str]) -> dict[str, list[int]]:
-        """The ids of words, kept from now on. When they are too many, those not met since the last time go."""
-        new = {word: own for word in words if (own := self.older.get(word)) is not None}
-        parts = {word: self.parts(word) for word in words if word not in new}
-        asked = {part for own in parts.values() for part in own}
-        known = {part: own for part in asked if (own := self.words.get(part) or self.older.get(part)) is not None}
-        asked = [part for part in asked if part not in known]
-        short = [part for part in asked if 1 < len(part) <= KEPT_LENGTH]
-        known |= zip(short, map(self.ids_of, self.rows(short)), strict=True)
-        known |= {part: self.ids_of(self.row(part)) for part in asked if not 1 < len(part) <= KEPT_LENGTH}
-        new |= {word: known[own[0]] if len(own) == 1 else list(chain.from_iterable(known[part] for part in own)) for word, own in parts.items()}
+    def decode_all(self, bounds: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The text of each stretch of ids."""
+        limits, ids = bounds.tolist(), ids.tolist()
+        return [self.decode(ids[begin:end]) for begin, end in zip(limits, limits[1:], strict=False)]
+
+    def word_begins(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where words begin: at the first places of texts and between characters that stand side by side in no piece."""
+        chars = self.dense[codes].astype(np.int64)
+        pairs = chars[:-1] * self.width + chars[1:]
+        cut = np.ones(len(codes), dtype=bool)
+        cut[1:] = self.beside[pairs >> 3] >> (pairs & 7).astype(np.uint8) & 1 == 0
+        cut[first] = True
+        return np.flatnonzero(cut)
+
+    def learnt(self, words: pa.Array) -> np.ndarray:
+        """The numbers of different words. Short ones are kept from now on, the others until the next call.
+
+        When words are too many, those not met since the last time go.
+        """
         if len(self.words) >= KEPT_WORDS:
-            self.older, self.words = self.words, {}
-        for found in (known, new):
-            self.words.update((word, own) for word, own in found.items() if len(word) <= KEPT_LENGTH)
-        return new
-
-    def parts(self, word: str) -> list[str]:
-        """A word, cut between characters that stand side by side in no piece."""
-        if word.lstrip(SPACE).isalpha():
-            return [word]
-        found, begin, beside = [], 0, self.beside
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in beside:
-                found.append(word[begin:i])
-                begin = i
-        return [*found, word[begin:]]
+            held = np.fromiter(self.words.values(), dtype=np.int64, count=len(self.words))
+            self.older, self.words = dict(zip(self.words, range(len(held)), strict=True)), {}
+            begins, counts = self.begins.room[held], self.counts.room[held]
+            self.kept = Growing(self.kept.room[spread(begins, counts)])
+            self.begins, self.counts = Growing(np.cumsum(counts) - counts), Growing(counts)
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.words.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        for i in np.flatnonzero(numbers < 0).tolist():
+            if (number := self.older.get(names[i], -1)) >= 0:
+                numbers[i] = self.words[names[i]] = number
+        limits = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1] // 4
+        sizes = np.diff(limits)
+        new = np.flatnonzero(numbers < 0)
+        new, long = new[sizes[new] <= KEPT_LENGTH], new[sizes[new] > KEPT_LENGTH]
+        new = new[np.argsort(-sizes[new], kind="stable")]
+        codes = np.frombuffer(words.buffers()[2] or b"", dtype="<u4")
+        numbers[new] = self.add(*self.rows(codes[spread(limits[new], sizes[new])], sizes[new]))
+        self.words.update(zip([names[i] for i in new.tolist()], numbers[new].tolist(), strict=True))
+        found = [self.ids_of(self.row(names[i].decode("utf-32-le", "surrogatepass"))) for i in long.tolist()]
+        held = [(array, array.size) for array in (self.kept, self.begins, self.counts)]
+        numbers[long] = self.add(np.array([n for own in found for n in own], dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64))
+        for array, size in held:
+            array.size = size
+        return numbers
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds the ids of words that stand one word after the other; returns the words' numbers."""
+        first = self.counts.size
+        self.begins.add(self.kept.size + np.cumsum(counts) - counts)
+        self.counts.add(counts)
+        self.kept.add(ids)
+        return np.arange(first, self.counts.size)
 
     def ids_of(self, row: list[int]) -> list[int]:
         """The ids of a row of pieces; a lone character that is no piece has its bytes or is unknown."""
         if max(row, default=0) < self.lone:
-            return [self.same[number] for number in row]
+            return row
         found: list[int] = []
         for number in row:
             if number < self.lone:
@@ -161,23 +289,19 @@ class MergeEncoder:
                 found.append(self.unknown)
         return found
 
-    def rows(self, words: list[str]) -> list[list[int]]:
-        """``row`` of many short words, all of which take their next step at the same time."""
-        if not words:
-            return []
-        text = self.border.join(words)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(length + 1) - 1
-        place = ends - length
-        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
-        longest = np.zeros(len(codes), dtype=np.int64)
-        np.maximum.at(longest, found[:, 0] + 1 - (found[:, 1] >> ID_BITS), found[:, 1])
-        longest = np.where(longest > 0, longest & ID_MASK, self.lone + codes)
+    def rows(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short words (the longest first), one word after the other, and each word's count; see ``row``.
+
+        All words take their next step at the same time.
+        """
+        ends = np.cumsum(sizes)
+        place = ends - sizes
+        longest = self.longest.find(codes, ends, sizes)
+        longest = np.where(longest < 0, self.lone + codes.astype(np.int64), longest)
         failed = np.zeros(len(codes) // 8 + 1, dtype=np.uint8)
-        rows, depth = np.zeros((len(words), int(length.max())), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        before, number = np.full(len(words), -1), longest[place]
-        going = np.arange(len(words))
+        rows, depth = np.zeros((len(sizes), int(sizes.max(initial=0))), dtype=np.int32), np.zeros(len(sizes), dtype=np.int64)
+        before, number = np.full(len(sizes), -1), longest[place]
+        going = np.arange(len(sizes))
         while len(going):
             own, end = number[going], place[going] + self.lengths[np.minimum(number[going], self.lone)]
             fits = (own >= 0) & ((failed[end >> 3] >> (end & 7) & 1) == 0)
@@ -197,22 +321,34 @@ class MergeEncoder:
             number[lost] = np.where(last < self.lone, self.prefix[np.minimum(last, self.lone)], -1)
             before[lost] = np.where(depth[lost] > 0, rows[lost, depth[lost] - 1], -1)
             going = np.concatenate([on, back])
-        return [row[:n] for row, n in zip(rows.tolist(), depth.tolist(), strict=True)]
+        taken = np.arange(rows.shape[1]) < depth[:, None]
+        ids, alone = rows[taken], rows >= self.lone
+        if not (alone & taken).any():
+            return ids, depth
+        # as in ids_of: a lone character's bytes or the unknown id
+        alone, owner = ids >= self.lone, np.repeat(np.arange(len(depth)), depth)
+        if not self.bytes:
+            return np.where(alone, self.unknown, ids).astype(np.int32), depth
+        points = ids[alone] - self.lone
+        width = np.ones(len(ids), dtype=np.int64)
+        width[alone] += (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        ids, alone = np.repeat(ids, width), np.repeat(alone, width)
+        encoded = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        ids[alone] = np.array(self.bytes, dtype=np.int32)[np.frombuffer(encoded, dtype=np.uint8)]
+        return ids, np.bincount(owner, weights=width, minlength=len(depth)).astype(np.int64)
 
     def fit(self, before: np.ndarray, number: np.ndarray) -> np.ndarray:
         """``fits`` of many neighbours: known pairs are looked up together."""
         keys = before + 1 << 32 | number
-        at = np.searchsorted(self.known[0], keys)
-        new = np.unique(keys[self.known[0][at] != keys])
+        found = self.known.get(keys)
+        new = np.unique(keys[found < 0])
         if len(new):
-            if len(self.known[0]) > KEPT_PAIRS:
-                self.known = no_pairs()
+            if self.known.count > KEPT_PAIRS:
+                self.known = Numbers()
                 return self.fit(before, number)
-            fits = [self.fits((key >> 32) - 1, key & 0xFFFFFFFF) for key in new.tolist()]
-            into = np.searchsorted(self.known[0], new)
-            self.known = np.insert(self.known[0], into, new), np.insert(self.known[1], into, fits)
-            at = np.searchsorted(self.known[0], keys)
-        return self.known[1][at]
+            self.known.add(new, np.array([self.fits((key >> 32) - 1, key & 0xFFFFFFFF) for key in new.tolist()], dtype=np.int64))
+            found = self.known.get(keys)
+        return found == 1
 
     def row(self, word: str) -> list[int]:
         """The row of pieces of a word, as ids; a character that is no piece has the number ``lone`` + its code."""

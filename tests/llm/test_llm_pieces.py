@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
+import sys
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -92,6 +95,52 @@ def test_models_with_other_normalisers(library):
         assert own.encode(text) == theirs.encode(text, add_eos=True), text
 
 
+def test_new_words_take_no_python_call_each(library, encoder):
+    """New words are encoded together: a call or more for each was most of the operator's time (found at 1032 CPU seconds a GB)."""
+    words = [" " + "".join(letters) for letters in itertools.product("abcdefghijkl", repeat=4)]
+    texts = ["".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    encoder.encode_all(texts)  # the pairs of pieces are known from now on
+    encoder.words.clear()
+    encoder.older.clear()
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        found = encoder.encode_all(texts)
+    finally:
+        sys.setprofile(None)
+    assert found == library.encode(texts, add_eos=True)
+    assert calls < len(words) / 4
+
+
+def test_runs_of_texts(library, encoder, monkeypatch):
+    """Generations of kept words change between runs; words too long to be kept, lone characters and empty texts stand among others."""
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 40)
+    generator = random.Random(5)
+    parts = [*PARTS, "ab" * 40, "q" * 49, "q" * 48, "\U0010ffff", "ÿ", ""]
+    texts = ["".join(generator.choice(parts) for _ in range(generator.randint(0, 6))) for _ in range(3000)]
+    for size in (1, 7, 100):
+        found = [ids for i in range(0, len(texts), size) for ids in encoder.encode_all(texts[i : i + size])]
+        assert found == library.encode(texts, add_eos=True)
+    bounds, ids = encoder.encode_arrays(["", "a cat", "", ""])
+    assert bounds.tolist() == [0, 1, len(ids) - 2, len(ids) - 1, len(ids)] and encoder.decode_all(bounds, ids) == ["", "a cat", "", ""]
+    assert encoder.encode_all([]) == [] and encoder.encode_all(["", ""]) == [[encoder.end_id]] * 2
+
+
+def test_numbers_by_keys():
+    generator = np.random.default_rng(6)
+    keys = np.unique(generator.integers(0, 1 << 62, 5000))
+    numbers = pieces.Numbers()
+    for some in np.array_split(generator.permutation(len(keys)), 30):
+        numbers.add(keys[some], some)
+    assert numbers.get(keys).tolist() == list(range(len(keys))) and set(numbers.get(keys + 1)[~np.isin(keys + 1, keys)]) == {-1}
+    assert numbers.get(keys[:0]).tolist() == []
+
+
 def wanted(library, rows):
     for doc_id, text in rows:
         ids = library.encode(text or "", add_eos=True)
