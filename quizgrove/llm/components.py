@@ -19,8 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     edges, state = saved(edges, "edges"), None
+    most = edges.count()
     while True:
-        edges = saved(star(star(edges, larger=True), larger=False), "edges")
+        edges = saved(star(star(edges, most, larger=True), most, larger=False), "edges", most)
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == state:
             break
@@ -30,14 +31,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(hubs)
 
 
-def star(edges: DataFrame, larger: bool) -> DataFrame:
-    """One step: for each node, its neighbours above it (``larger``) or below it and itself go to the least one."""
+def star(edges: DataFrame, most: int, larger: bool) -> DataFrame:
+    """One step: for each node, its neighbours above it (``larger``) or below it and itself go to the least one.
+
+    ``edges`` are ``most`` at most.
+    """
     if larger:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        linked = both.filter("b > a").join(saved(least, "least"), "a").select(F.col("least").alias("a"), "b")
+        linked = both.filter("b > a").join(saved(least, "least", 2 * most), "a").select(F.col("least").alias("a"), "b")
         return linked.distinct()
-    least = saved(edges.groupBy("b").agg(F.min("a").alias("least")), "least")
+    least = saved(edges.groupBy("b").agg(F.min("a").alias("least")), "least", most)
     linked = edges.join(least, "b")
     own = least.select(F.col("least").alias("a"), "b")
     others = linked.select(F.col("least").alias("a"), F.col("a").alias("b")).filter("a < b")

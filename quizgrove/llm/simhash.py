@@ -121,22 +121,24 @@ def linked(prints: DataFrame, most: int) -> DataFrame:
     """print and component (the least fingerprint it is linked to, over any chain) of different fingerprints."""
     buckets = keys(prints, most)
     own = buckets.filter("own")
+    n = prints.count()
+    n_own = n * segments_for(most)
     # the few own keys are grouped, the many changed ones only looked up among them, once
-    owned = saved(own.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("top")), "own-buckets")
+    owned = saved(own.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("top")), "own-buckets", n_own)
     met = saved(buckets.filter("NOT own").join(owned, "key"), "changed-in-own")
     shared = met.select("key").union(owned.filter("least < top").select("key")).distinct()
-    shared = saved(shared.join(owned, "key"), "shared-buckets")
-    members = met.unionByName(saved(own.join(shared, "key"), "owners"))
+    shared = saved(shared.join(owned, "key"), "shared-buckets", n_own)
+    members = met.unionByName(saved(own.join(shared, "key"), "owners", n_own))
     stars = [
         members.filter((differing(F.col("print"), F.col(hub)) <= most) & (F.col("print") != F.col(hub)))
         .select(F.col(hub).alias("a"), F.col("print").alias("b"))
         for hub in ("least", "top")
     ]
-    first = saved(components(stars[0].unionByName(stars[1])), "near-first").withColumnRenamed("node", "print")
+    first = saved(components(stars[0].unionByName(stars[1])), "near-first", n).withColumnRenamed("node", "print")
     members = members.select("key", "print", "own").join(first, "print", "left")
     members = members.withColumn("component", F.coalesce("component", "print"))
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = saved(mixed.filter("low < high").select("key", "low"), "mixed-keys")
+    mixed = saved(mixed.filter("low < high").select("key", "low"), "mixed-keys", n_own)
     members = saved(members.join(mixed, "key"), "mixed-buckets")
     # a pair of two components has one at least that isn't the bucket's lowest
     a = members.select("key", F.col("print").alias("p"), F.col("component").alias("a"), F.col("own").alias("own_a"), "low")
@@ -166,10 +168,11 @@ def near_rows(docs: DataFrame, width: int, most: int) -> DataFrame:
     """doc_id, tie (a hash of the text), print, component (its least print) and component_id of each row."""
     rows = docs.select("doc_id", text_key(F.col("text")).alias("tie"), fingerprints(F.col("text"), width).alias("print"))
     rows = saved(rows, "fingerprints")
-    prints = saved(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    groups = saved(linked(prints, most), "near-components")
+    prints = saved(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints", rows.count())
+    n = prints.count()
+    groups = saved(linked(prints, most), "near-components", n)
     names = groups.join(prints, "print").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = saved(groups.join(saved(names, "component-ids"), "component"), "near-names")
+    named = saved(groups.join(saved(names, "component-ids", n), "component"), "near-names", n)
     return rows.join(named, "print")
 
 

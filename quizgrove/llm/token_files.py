@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quizgrove.llm import simple8b
 from quizgrove.llm.common import small_batches, text_key
-from quizgrove.llm.tokenizing import BYTES_AT_ONCE, TokenizerFile
+from quizgrove.llm.tokenizing import BYTES_AT_ONCE, TokenizerFile, release_unused
 
 SEGMENT_IDS = 1 << 19
 
@@ -74,6 +74,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
                 pieces.append(np.append(ids, np.uint32(end_id)))
                 doc_ids.append(number)
                 size += len(ids) + 1
+            release_unused()
         if size:
             yield segment(part, offset, doc_ids, pieces)
 
@@ -89,8 +90,11 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.A
         held.append(batch)
         size += batch.nbytes
         if size >= BYTES_AT_ONCE:
-            yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
+            joined = tuple(pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
             held, size = [], 0
+            del batch
+            yield joined
+            del joined
     if held:
         yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
 

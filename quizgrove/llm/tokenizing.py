@@ -17,8 +17,10 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Pieces of text whose ids a worker keeps before it starts afresh (some 40 MB, and as much again while a run is looked up).
+#: Pieces of text whose ids a worker keeps before it starts afresh (some 40 MB).
 KEPT_PIECES = 900_000
+#: Kept pieces that are looked up at once: the table made for that is some 10 MB.
+PIECES_LOOKED_UP = 1 << 17
 #: New pieces encoded in one call; the library needs some 150 bytes a token meanwhile.
 PIECES_AT_ONCE = 10_000
 #: Bytes of text encoded at once, so that a worker's memory doesn't follow the size of its batches.
@@ -87,6 +89,12 @@ def splits_at_spaces(setup: dict) -> bool:
     )
 
 
+def release_unused() -> None:
+    """Gives memory that Arrow and the C library keep for later back to the system: a worker waits long for its next task."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def slices(texts: pa.Array):
     """Runs of texts of about ``BYTES_AT_ONCE``; a longer text is a run of its own."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
@@ -177,6 +185,14 @@ class Pieces(Encoder):
         self.known = pa.concat_arrays([self.known, new])
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
 
+    def places(self, pieces: pa.Array) -> pa.Array:
+        """Where each piece stands among the known, null for new ones."""
+        found = pa.nulls(len(pieces), pa.int32())
+        for begin in range(0, len(self.known), PIECES_LOOKED_UP):
+            here = pc.index_in(pieces, value_set=self.known.slice(begin, PIECES_LOOKED_UP))
+            found = pc.coalesce(found, pc.add(here, pa.scalar(begin, pa.int32())))
+        return found
+
     def encoded(self, run: pa.Array):
         """Each text's first ids, the bounds of its other pieces, and whether they can be put together; each piece's
         begin and length in ``flat`` (of no use for first pieces)."""
@@ -186,7 +202,8 @@ class Pieces(Encoder):
         bounds -= bounds[0]
         heads = self.whole(words.take(pa.array(bounds[:-1])).to_pylist())
         words = words.dictionary_encode()
-        places = pc.index_in(words.dictionary, value_set=self.known)
+        del cut  # the uncut copy of all words isn't needed while pieces are looked up
+        places = self.places(words.dictionary)
         new = places.is_null().to_numpy(zero_copy_only=False)
         places = places.fill_null(0).to_numpy().copy()
         if new.any():

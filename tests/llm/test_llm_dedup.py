@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 
 from quizgrove.llm import decontaminate, line_spread, simhash, substring
 from quizgrove.llm.components import components
+from quizgrove.session import ROWS_A_TASK, saved, shared_folder
 from tests.llm import brute
 
 LONG = " ".join(f"word{i}" for i in range(60))
@@ -163,6 +165,38 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_small_tables_of_near_duplicates_are_few_files(spark):
+    words = [f"w{i * i % 97}" for i in range(60)]
+    rows = [(i, " ".join([*words[: i % 50], f"own{i % 3}", *words[i % 50 :]]) if i % 4 else f"a b c {i} d", "s") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    usual = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    wanted = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    before, there = {key: spark.conf.get(key) for key in wanted}, set(shared.iterdir())
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == usual
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files = {}
+    for folder in set(shared.iterdir()) - there:
+        label = folder.name.rpartition("-")[0]
+        files.setdefault(label, []).append(len(list(folder.glob("part-*"))))
+    for label in ("distinct-fingerprints", "own-buckets", "shared-buckets", "least", "near-first", "near-components", "near-names"):
+        assert files[label] and max(files[label]) <= 1, label
+    assert max(sorted(files["edges"])[:-2]) <= 1  # only the first edges of the two graphs aren't counted yet
+
+
+def test_saved_tables_keep_all_rows_in_tasks_that_follow_them(spark):
+    dealt = spark.range(3000).repartition(20, "id")
+    for rows, most in ((None, 20), (3000, 1), (2 * ROWS_A_TASK + 1, 3), (0, 1)):
+        found = saved(dealt, "few", rows)
+        assert len(found.inputFiles()) <= most and sorted(r["id"] for r in found.collect()) == list(range(3000))
+    assert len(saved(dealt, "few").inputFiles()) == 20
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 105), (105, 103), (7, 7), (40, 1), (100, 105)]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()

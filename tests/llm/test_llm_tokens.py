@@ -39,6 +39,17 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     assert pieces.counts(pa.array([], type=pa.string())).tolist() == []
 
 
+def test_known_pieces_are_looked_up_part_by_part(monkeypatch):
+    monkeypatch.setattr(tokenizing, "PIECES_LOOKED_UP", 7)
+    monkeypatch.setattr(tokenizing, "BYTES_AT_ONCE", 2000)
+    pieces = tokenizing.encoder_of(content("byte_bpe_50k.json"), "json")
+    texts, coder = odd_texts(3000), brute.tokenizer()
+    wanted = [found.ids for found in coder.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in pieces.ids(pa.array(texts))] == wanted
+    assert len(pieces.known) == len(set(pieces.known.to_pylist())) > 14
+    assert pieces.places(pa.array([pieces.known[20].as_py(), "never seen", pieces.known[3].as_py()])).to_pylist() == [20, None, 3]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_encode_whole_texts(name):
     encoder = tokenizing.encoder_of(content(name), name.rpartition(".")[2])
