@@ -16,11 +16,25 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to hold at most ``limit`` rows, else as it is.
+    """``df`` with a broadcast hint if it was counted to hold at most ``limit`` rows, else to be shuffled.
 
     Only for frames of a few narrow columns that are cheap to count (saved tables, parameters).
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of an equi-join that shuffles both sides, whatever size Spark takes either for.
+
+    Spark sizes a stored table by its compressed files and an exploded one by the rows before, so it may send to every
+    executor, through the driver, what holds many times the bytes.
+    """
+    return df.hint("merge")
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to hold ``rows`` narrow rows at most, as a side of a join: sent to every executor if they are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else shuffled(df)
 
 
 @contextmanager

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quizgrove.llm.common import sent
 from quizgrove.session import saved
 
 
@@ -39,10 +40,10 @@ def star(edges: DataFrame, most: int, larger: bool) -> DataFrame:
     if larger:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        linked = both.filter("b > a").join(saved(least, "least", 2 * most), "a").select(F.col("least").alias("a"), "b")
+        linked = both.filter("b > a").join(sent(saved(least, "least", 2 * most), 2 * most), "a").select(F.col("least").alias("a"), "b")
         return linked.distinct()
     least = saved(edges.groupBy("b").agg(F.min("a").alias("least")), "least", most)
-    linked = edges.join(least, "b")
+    linked = edges.join(sent(least, most), "b")
     own = least.select(F.col("least").alias("a"), "b")
     others = linked.select(F.col("least").alias("a"), F.col("a").alias("b")).filter("a < b")
     return own.unionByName(others).distinct()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizgrove.llm.common import text_key
+from quizgrove.llm.common import sent, shuffled, text_key
 from quizgrove.llm.components import components
 from quizgrove.session import saved
 
@@ -125,31 +125,31 @@ def linked(prints: DataFrame, most: int) -> DataFrame:
     n_own = n * segments_for(most)
     # the few own keys are grouped, the many changed ones only looked up among them, once
     owned = saved(own.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("top")), "own-buckets", n_own)
-    met = saved(buckets.filter("NOT own").join(owned, "key"), "changed-in-own")
+    met = saved(buckets.filter("NOT own").join(sent(owned, n_own), "key"), "changed-in-own")
     shared = met.select("key").union(owned.filter("least < top").select("key")).distinct()
-    shared = saved(shared.join(owned, "key"), "shared-buckets", n_own)
-    members = met.unionByName(saved(own.join(shared, "key"), "owners", n_own))
+    shared = saved(shared.join(sent(owned, n_own), "key"), "shared-buckets", n_own)
+    members = met.unionByName(saved(own.join(sent(shared, n_own), "key"), "owners", n_own))
     stars = [
         members.filter((differing(F.col("print"), F.col(hub)) <= most) & (F.col("print") != F.col(hub)))
         .select(F.col(hub).alias("a"), F.col("print").alias("b"))
         for hub in ("least", "top")
     ]
     first = saved(components(stars[0].unionByName(stars[1])), "near-first", n).withColumnRenamed("node", "print")
-    members = members.select("key", "print", "own").join(first, "print", "left")
+    members = members.select("key", "print", "own").join(sent(first, n), "print", "left")
     members = members.withColumn("component", F.coalesce("component", "print"))
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = saved(mixed.filter("low < high").select("key", "low"), "mixed-keys", n_own)
-    members = saved(members.join(mixed, "key"), "mixed-buckets")
+    members = saved(members.join(sent(mixed, n_own), "key"), "mixed-buckets")
     # a pair of two components has one at least that isn't the bucket's lowest
     a = members.select("key", F.col("print").alias("p"), F.col("component").alias("a"), F.col("own").alias("own_a"), "low")
     b = members.select(F.col("key").alias("key_b"), F.col("print").alias("q"), F.col("component").alias("b"), F.col("own").alias("own_b"))
     start = F.shiftright(F.col("key"), 32)
     near = chained(F.col("p"), F.col("q"), start, most) & (differing(F.col("p"), F.col("q")) <= most)
     here = (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & (F.col("own_a") | F.col("own_b"))
-    across = a.filter("a <> low").drop("low").join(b, here & near).select("a", "b")
+    across = a.filter("a <> low").drop("low").join(shuffled(b), here & near).select("a", "b")
     merged = components(across).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    both = prints.select("print").join(first, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    both = both.join(merged, "component", "left")
+    both = prints.select("print").join(sent(first, n), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    both = both.join(sent(merged, n), "component", "left")
     return both.select("print", F.coalesce("merged", "component").alias("component"))
 
 
@@ -171,9 +171,9 @@ def near_rows(docs: DataFrame, width: int, most: int) -> DataFrame:
     prints = saved(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints", rows.count())
     n = prints.count()
     groups = saved(linked(prints, most), "near-components", n)
-    names = groups.join(prints, "print").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = saved(groups.join(saved(names, "component-ids", n), "component"), "near-names", n)
-    return rows.join(named, "print")
+    names = groups.join(sent(prints, n), "print").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = saved(groups.join(sent(saved(names, "component-ids", n), n), "component"), "near-names", n)
+    return rows.join(sent(named, n), "print")
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
@@ -187,4 +187,4 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MAX_BIT
     first = found.select("component", F.struct(*keyed).alias("row")).groupBy("component").agg(F.min("row").alias("row"))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("tie"), F.struct(*docs.columns).alias("doc"))
     rows = rows.select(*keyed, "doc").groupBy("no_id", "id", "tie").agg(F.first("doc").alias("doc"))
-    return rows.join(first.select("row.*"), ["no_id", "id", "tie"], "left_semi").select("doc.*")
+    return rows.join(shuffled(first.select("row.*")), ["no_id", "id", "tie"], "left_semi").select("doc.*")

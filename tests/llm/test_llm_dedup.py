@@ -6,8 +6,9 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from quizgrove.llm import decontaminate, line_spread, simhash, substring
+from quizgrove.llm import common, decontaminate, line_spread, simhash, substring
 from quizgrove.llm.components import components
 from quizgrove.session import ROWS_A_TASK, saved, shared_folder
 from tests.llm import brute
@@ -165,6 +166,33 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_sides_known_to_be_few_are_sent(spark, monkeypatch):
+    """Spark takes exploded and stored tables for smaller than they are: here all of them are below its limit."""
+    words = [f"w{i * i % 97}" for i in range(60)]
+    rows = [(i, " ".join([*words[: i % 50], f"own{i % 3}", *words[i % 50 :]]) if i % 4 else f"a b c {i} d", "s") for i in range(200)]
+    docs = documents(spark, plain(rows))
+    usual = [sorted(map(repr, found(docs).collect())) for found in (simhash.near_duplicates, simhash.one_of_each)]
+    plans = []
+
+    def kept(df, *rest):
+        plans.append(plan_of(df))
+        return saved(df, *rest)
+
+    monkeypatch.setattr(simhash, "saved", kept)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    found = [simhash.near_duplicates(docs), simhash.one_of_each(docs)]
+    assert [sorted(map(repr, df.collect())) for df in found] == usual
+    plans += map(plan_of, found)
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 16 and not any("BroadcastHashJoin" in plan for plan in plans)
+    exploded = spark.range(4).select("id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("n"))
+    assert "BroadcastHashJoin" in plan_of(spark.range(9).join(common.counted(exploded, 200), "id"))
+    assert "BroadcastHashJoin" not in plan_of(spark.range(9).join(common.counted(exploded, 199), "id"))
+
+
 def test_small_tables_of_near_duplicates_are_few_files(spark):
     words = [f"w{i * i % 97}" for i in range(60)]
     rows = [(i, " ".join([*words[: i % 50], f"own{i % 3}", *words[i % 50 :]]) if i % 4 else f"a b c {i} d", "s") for i in range(200)]
