@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizgrove.llm.common import ascii_lower, counted, text_key
+from quizgrove.llm.common import ascii_lower, counted, shuffled, text_key
 from quizgrove.session import saved
 
 PHRASE_WORDS = 10
@@ -100,7 +100,7 @@ def candidates(postings: DataFrame, ranked: DataFrame, lists: int = LISTS) -> Da
             & (F.col("position") == F.col("p_position"))
         )
         short = wanted.filter("term IS NULL")  # the phrase has fewer terms
-        found = wanted.filter("term IS NOT NULL").join(useful, here, "left_semi").unionByName(short)
+        found = wanted.filter("term IS NOT NULL").join(shuffled(useful), here, "left_semi").unionByName(short)
         found = found.select("id", "size", "doc_id", "text_key", "begin")
     return found
 

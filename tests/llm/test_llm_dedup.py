@@ -247,6 +247,17 @@ def benchmark(spark):
     return spark.createDataFrame([(*row, "x") for row in ITEMS], "item_id long, text string, phrase string")
 
 
+def test_postings_are_not_sent(spark):
+    """Stored postings take a few bytes a row in their files and many times that in memory."""
+    items = benchmark(spark).filter("item_id < 13")
+    each = decontaminate.distinct_phrases(items, 10)
+    docs = documents(spark, plain([(i, ITEMS[0][1], "s") for i in range(20)]))
+    postings = decontaminate.index(docs, decontaminate.vocabulary(each))
+    plan = plan_of(decontaminate.candidates(postings, decontaminate.ranked_terms(each, postings))).splitlines()
+    assert not [line for line in plan if "BroadcastHashJoin" in line and "p_position" in line]
+    assert sum("SortMergeJoin" in line and "p_position" in line for line in plan) >= decontaminate.LISTS - 1
+
+
 def test_phrases_match_the_plain_version(spark):
     texts = [
         "x, THE quick brown fox jumps over the lazy dog and; then it! end",
