@@ -235,19 +235,24 @@ def closed_loop(
     items: DataFrame,
     batches: Sequence[DataFrame],
     add: Callable[[DataFrame, DataFrame], DataFrame],
+    search: Callable[[DataFrame, DataFrame | None], DataFrame],
     evaluate: Callable[[DataFrame], DataFrame],
 ) -> tuple[DataFrame, DataFrame]:
     """Rounds of enriching, embedding and evaluating (R11): the items after the last round, and a row for each round.
 
     ``add(items, batch)`` gives the new rows of a round's outside responses with their embeddings, such as
-    ``add_questions``. ``evaluate(items)`` gives total, found and success of each query, such as
-    ``ranks_of_marked``. What a round adds is saved, so that no text is embedded twice and the plan grows by one scan.
+    ``add_questions``. ``search(items, known)`` gives the list of each query among all items, those that led to the lists ``known``
+    (None in the first round) included, such as ``top_k_similar``: a round searches what it adds only. ``evaluate(lists)`` gives total,
+    found and success of each query, such as ``ranks_of_marked``. What a round adds and its lists are saved, so that no text is
+    embedded twice and the plan grows by one scan.
     """
-    rounds = []
+    rounds, lists = [], None
     for number, batch in enumerate(batches):
         fresh = saved(add(items, batch), "loop-added")
         before, items = items, append(items, fresh)
-        outcome = evaluate(items).agg(
+        lists = saved(search(items if lists is None else fresh, lists), "loop-lists")
+        # a stored list takes far less room in its files than in memory, so it is never sent
+        outcome = evaluate(lists.hint("merge")).agg(
             F.count("*").alias("queries"), F.count_if("success").alias("successful"),
             F.coalesce(F.sum("found"), F.lit(0)).alias("found"),
             F.round(F.try_divide(F.sum("found"), F.sum("total")), 6).alias("recall"),

@@ -7,7 +7,10 @@ packs of bounded size. A query visits the packs of the most promising cells that
 whose bound is not below its k-th score so far; inside a pack it is compared with such cells only:
 for an item x in the cell of c, q.x <= q.c + |q| |x - c|, and q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 with |q - x| >= |q - c| - |x - c|.
 A vector is shuffled once for each pack it meets, never for each cell, and packs are as large as a task holds. Of
-items with equal vectors only the lowest ids can be among the best, the others stay behind.
+items with equal vectors only the lowest ids can be among the best, the others stay behind. Scores in single precision, with a bound on their
+error, say which pairs may count; these are scored in double precision.
+
+Lists of a corpus that grows are kept up by searching the new items only, against the k-th scores of the lists known (``known``).
 """
 
 from __future__ import annotations
@@ -82,6 +85,7 @@ def top_k_similar(
     digits: int = 6,
     broadcast_queries: int = BROADCAST_QUERIES,
     corpus_block: int | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` of the ``k`` most similar items of each query.
 
@@ -89,6 +93,9 @@ def top_k_similar(
     ``digits`` so that equal vectors tie and the lower id wins. The query vectors are saved first, so that an
     embedder runs once for each. At most ``broadcast_queries`` queries and ``corpus_block`` items are scored at a time,
     by default as many as take ``BLOCK_BYTES``; how many meet in a task follows from ``PART_BYTES``.
+
+    ``known`` is what an earlier call with the same queries and ``k`` returned for other items, saved: the result is as if those items
+    were in ``corpus`` too, but only this one is searched, and only where it may hold better items than the known ones.
     """
     # the filter comes after, or it would run the embedder a second time
     queries = saved(queries.select("query_id", "embedding"), "query-vectors").filter(F.col("embedding").isNotNull())
@@ -103,8 +110,9 @@ def top_k_similar(
     allowed = min(broadcast_queries, max(1, BROADCAST_CELLS // width))
     if queries.limit(allowed + 1).count() <= allowed:
         found = _scan(queries, corpus, schema, k, digits, exclude_self)
+        found = found if known is None else found.unionByName(known.select(found.columns))
     else:
-        found = _pruned(queries, corpus, schema, k, digits, exclude_self, allowed, corpus_block, width)
+        found = _pruned(queries, corpus, schema, k, digits, exclude_self, allowed, corpus_block, width, known)
     return _ranked(found, k)
 
 
@@ -134,12 +142,13 @@ def _scan(
 
 def _pruned(
     queries: DataFrame, corpus: DataFrame, schema: str, k: int, digits: int, exclude_self: bool,
-    query_block: int, corpus_block: int, width: int,
+    query_block: int, corpus_block: int, width: int, known: DataFrame | None = None,
 ) -> DataFrame:
     count = min(REFERENCE_POINTS, max(1, BROADCAST_CELLS // width))
     chosen = corpus.orderBy(F.xxhash64("item_id"), "item_id").limit(count).select("embedding").toPandas()  # a bounded number
+    known = known if known is None else known.select("query_id", "item_id", "score")
     if chosen.empty:
-        return corpus.sparkSession.createDataFrame([], schema)
+        return corpus.sparkSession.createDataFrame([], schema) if known is None else known
     points = corpus.sparkSession.sparkContext.broadcast(_matrix(chosen["embedding"]))
     # equal vectors tie with every query and the lower ids win; one id more, as a query's own may be left out
     copies = F.dense_rank().over(Window.partitionBy("embedding").orderBy("item_id"))
@@ -160,11 +169,17 @@ def _pruned(
         rows = asked.mapInPandas(visits, f"{_typed(queries, 'query_id')}, embedding array<double>, kth double, pack int")
         return _visit(rows, cells, bounds, search, schema, part_rows)
 
-    first = visited(queries.withColumn("kth", F.lit(float("-inf"))), bounds.first_visits)
+    def reaching(found: DataFrame) -> DataFrame:
+        reached = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        asked = queries.join(reached, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+        return saved(asked, "asked")
+
+    if known is None:
+        first = visited(queries.withColumn("kth", F.lit(float("-inf"))), bounds.first_visits)
+    else:
+        first = visited(reaching(known), bounds.first_visits).unionByName(known)
     first = saved(_ranked(first, k).drop("rank"), "first-scores")
-    reached = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    asked = queries.join(reached, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
-    return first.unionByName(visited(saved(asked, "asked"), bounds.further_visits))
+    return first.unionByName(visited(reaching(first), bounds.further_visits))
 
 
 def _typed(df: DataFrame, name: str) -> str:
@@ -289,11 +304,15 @@ def _searcher(bounds: Bounds, k: int, digits: int, exclude_self: bool, query_blo
                 more = _at_least(query_ids[asked], queries[asked], floor[asked], item_ids[at:to], items[at:to], k, digits, exclude_self)
                 if not len(more[0]):
                     continue
-                rows, ids, scores = np.append(rows, asked[more[0]]), np.append(ids, more[1]), np.append(scores, more[2])
-                rows, ids, scores = _cut(rows, ids, scores, k)
-                full, counts = np.unique(rows, return_counts=True)
+                better = np.zeros(len(queries), dtype=bool)
+                better[asked[more[0]]] = True
+                changed = better[rows]
+                parts = np.append(rows[changed], asked[more[0]]), np.append(ids[changed], more[1]), np.append(scores[changed], more[2])
+                parts = _cut(*parts, k)
+                full, counts = np.unique(parts[0], return_counts=True)
                 full, last = full[counts == k], np.cumsum(counts)[counts == k] - 1
-                floor[full] = np.maximum(floor[full], scores[last])
+                floor[full] = np.maximum(floor[full], parts[2][last])
+                rows, ids, scores = (np.append(old[~changed], new) for old, new in zip((rows, ids, scores), parts, strict=True))
         return rows, ids, scores
 
     def search(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
@@ -323,24 +342,52 @@ def _at_least(
     k: int, digits: int, exclude_self: bool,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The items that may be among the best ``k``, of scores not below ``floor``, as (query position, item id, score)."""
-    margin = 10.0**-digits
-    scores = queries @ items.T
+    scores, off = _rough(queries, items)
+    margin = 10.0**-digits + off
     bar, unknown = floor - margin, np.flatnonzero(np.isneginf(floor))
     if len(unknown):
         some = scores[unknown]
         if exclude_self:
             some[query_ids[unknown, None] == item_ids[None, :]] = -np.inf
         if some.shape[1] > k:
-            bar[unknown] = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] - margin
+            bar[unknown] = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] - margin[unknown] - off[unknown]
         scores[unknown] = some
-    rows, columns = np.nonzero(scores >= bar[:, None])
-    found = np.round(scores[rows, columns], digits)
+    bar = np.nextafter(bar.astype(scores.dtype), scores.dtype.type(-np.inf))
+    places = np.flatnonzero(scores >= bar[:, None])
+    rows, columns = np.divmod(places, len(items))
+    if scores.dtype == np.float32:
+        exact = _exact(queries, items, rows, columns)
+        found = np.round(np.where(np.isneginf(scores.ravel()[places]), -np.inf, exact), digits)
+    else:
+        found = np.round(scores.ravel()[places], digits)
     keep = (found >= floor[rows]) & (found > -np.inf)
     if exclude_self:
         keep &= query_ids[rows] != item_ids[columns]
     return _cut(rows[keep], item_ids[columns[keep]], found[keep], k)
 
 
+def _rough(queries: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scores in single precision, which takes half the time, and how far those of each query may be off.
+
+    Numbers that it could not hold are scored in double precision.
+    """
+    sizes = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+    most = np.sqrt(np.einsum("ij,ij->i", items, items).max(initial=0.0))
+    if not max(most, sizes.max(initial=0.0)) < 1e15:  # nor NaN
+        return queries @ items.T, np.zeros(len(queries))
+    off = sizes * most * (queries.shape[1] + 8) * 2.0**-23 + 1e-15
+    return queries.astype(np.float32) @ items.astype(np.float32).T, off
+
+
+def _exact(queries: np.ndarray, items: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The scores of the pairs at ``rows`` and ``columns`` in double precision."""
+    if 8 * len(rows) > len(queries) * len(items):
+        return (queries @ items.T)[rows, columns]
+    step = max(1, SCORE_CELLS // max(1, queries.shape[1]))
+    parts = [np.einsum("ij,ij->i", queries[rows[at : at + step]], items[columns[at : at + step]]) for at in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def visited_share(bounds: Bounds, vectors: np.ndarray, kth: np.ndarray) -> float:
     """Share of all pairs that are scored for queries whose k-th scores after the first visits are given."""
     best = bounds._best_possible(vectors)

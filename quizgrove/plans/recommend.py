@@ -424,11 +424,17 @@ def closed_loop(spark, sf_dir):
     ]
     probes = embeddings.select(F.col("question_id").alias("query_id"), "embedding")
 
-    def evaluate(items):
-        return recommend.ranks_of_marked(top_k_similar(probes, _corpus(items), recommend.LIST_LENGTH), marked)
+    def add(items, batch):
+        return recommend.new_rows(items, batch, "seq").drop("seq")
+
+    def search(items, known):
+        return top_k_similar(probes, _corpus(items), recommend.LIST_LENGTH, known=known)
+
+    def evaluate(lists):
+        return recommend.ranks_of_marked(lists, marked)
 
     base = embeddings.filter("label < 5").select("question_id", "embedding")
-    return recommend.closed_loop(base, batches, lambda items, batch: recommend.new_rows(items, batch, "seq").drop("seq"), evaluate)[1]
+    return recommend.closed_loop(base, batches, add, search, evaluate)[1]
 
 
 @query(

@@ -179,6 +179,63 @@ def test_pruned_search_is_exact(spark, monkeypatch, points):
     assert found.count() == 120 * 6
 
 
+@pytest.mark.parametrize("limit", [4096, 20])
+def test_known_lists_stand_for_the_items_they_came_from(spark, limit):
+    """The rows are those of one search over all items: ties, repeated and null query ids, queries without a list, no new items."""
+    generator = np.random.default_rng(limit)
+    vectors = generator.normal(size=(200, 12))
+    vectors[:9], vectors[9], vectors[150:156] = vectors[10], 0, vectors[10]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    asked = [*rows[::3], rows[3], rows[30], (None, rows[4][1]), (777, rows[5][1])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    for first, last in ((120, 200), (3, 150), (0, 80), (200, 200)):
+        known = None
+        for some in (items.filter(F.col("item_id") < first), items.filter((F.col("item_id") >= first) & (F.col("item_id") < last))):
+            known = similarity.saved(top_k_similar(queries, some, 6, broadcast_queries=limit, known=known), "known")
+        wanted = top_k_similar(queries, items.filter(F.col("item_id") < last), 6, broadcast_queries=limit)
+        assert sorted(map(repr, known.collect())) == sorted(map(repr, wanted.collect())), (first, last)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e-25, 1e12, 1e20])
+def test_scores_are_those_of_double_precision(size):
+    """Single precision only finds what may count, near ties and numbers beyond its range included."""
+    generator = np.random.default_rng(8)
+    items = generator.normal(size=(400, 48))
+    items[::2] = items[0] + generator.normal(size=(200, 48)) * 1e-8  # closer than single precision tells apart
+    items[7], queries = 0, items[:60] * size
+    ids, digits = np.arange(400), 6 - int(np.log10(size))
+    for floor in (np.full(60, -np.inf), np.round(np.sort(queries @ items.T, axis=1)[:, -9], digits)):
+        rows, found, scores = similarity._at_least(ids[:60], queries, floor, ids, items, 6, digits, True)
+        wanted = similarity._best(ids[:60], queries, ids, items, 6, digits, True)
+        if size < 1e15 or np.isneginf(floor).all():
+            assert (np.lexsort((-scores, rows)) == np.arange(len(rows))).all() and (np.bincount(rows, minlength=60) == 6).all()
+        assert np.allclose(scores, wanted[2], rtol=1e-12) and (rows == wanted[0]).all()
+        assert np.allclose(np.einsum("ij,ij->i", queries[rows], items[found]), scores, atol=10.0**-digits)
+
+
+def test_a_round_searches_what_it_adds_only(spark):
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "question_id long, embedding array<double>")
+    batches = [spark.createDataFrame([(i, [float(i), 1.0], 0) for i in own], "question_id long, embedding array<double>, seq int") for own in ((5, 8), (8,), (9, 10, 2))]
+    probes = items.withColumnRenamed("question_id", "query_id")
+    marked = spark.createDataFrame([(1, 8), (1, 10), (2, 9), (3, 4)], "query_id long, item_id long")
+    searched = []
+
+    def add(known, batch):
+        return recommend.new_rows(known, batch, "seq").drop("seq")
+
+    def search(some, known):
+        corpus = some.withColumnRenamed("question_id", "item_id")
+        searched.append(sorted(r.item_id for r in corpus.collect()))
+        return top_k_similar(probes, corpus, 2, known=known)
+
+    grown, rounds = recommend.closed_loop(items, batches, add, search, lambda lists: recommend.ranks_of_marked(lists, marked))
+    assert searched == [[0, 1, 2, 3, 4, 5, 8], [], [9, 10]]
+    assert sorted(r.question_id for r in grown.collect()) == [0, 1, 2, 3, 4, 5, 8, 9, 10]
+    found = {r.iteration: (r.before, r.added, r.queries, r.successful, r.found, r.recall) for r in rounds.collect()}
+    assert found == {0: (6, 1, 3, 0, 1, 0.25), 1: (7, 0, 3, 0, 1, 0.25), 2: (7, 2, 3, 1, 2, 0.5)}
+
+
 def test_far_cells_are_not_visited():
     generator = np.random.default_rng(1)
     middles = generator.normal(size=(50, 32))
